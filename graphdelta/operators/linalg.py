@@ -115,6 +115,8 @@ def laplacian(edges: DataFrame, keys=("snapshot",)) -> DataFrame:
 def profile(edges: DataFrame, keys=("snapshot",)) -> DataFrame:
     """One row per graph: node and edge counts, index range, weight stats."""
     ks = _k(keys)
+    if not ks:
+        raise ValueError("profile needs a graph key column")
     nodes = degree(edges, keys).groupBy(*ks).agg(F.count("*").alias("n_nodes"))
     stats = (edges.groupBy(*ks)
                   .agg(F.count("*").alias("n_entries"),
@@ -123,7 +125,7 @@ def profile(edges: DataFrame, keys=("snapshot",)) -> DataFrame:
                        F.sum("w").alias("total_w"),
                        F.min("w").alias("min_w"),
                        F.max("w").alias("max_w")))
-    return stats.join(nodes, ks) if ks else stats.crossJoin(nodes)
+    return stats.join(nodes, ks)
 
 
 def tile_edges(edges: DataFrame, block_size: int, keys=("snapshot",)) -> DataFrame:

@@ -28,7 +28,7 @@ from ..session import ensure_checkpoint_dir
 from .linalg import degree, row_normalize
 from .ordered import dense_index
 
-MAX_WIDTH = 64                      # columns per chunk row
+MAX_WIDTH = 16                      # columns per chunk row
 BROADCAST_LIMIT = 64 * 1024 * 1024  # bytes; a vector above this is shuffled, not broadcast
 CHECKPOINT_EVERY = 4                # walk steps between lineage cuts
 
@@ -128,6 +128,8 @@ def walk_series(edges: DataFrame, b: DataFrame, K: int, keys=("snapshot",),
     ``checkpoint()`` every ``checkpoint_every`` steps.
     """
     ks = list(keys)
+    if not ks:
+        raise ValueError("walk_series needs at least one graph key column")
     width = vector_width(b)
     cols = xcols(width)
     spark = edges.sparkSession
@@ -140,7 +142,7 @@ def walk_series(edges: DataFrame, b: DataFrame, K: int, keys=("snapshot",),
                         .otherwise(F.lit(0.0)).alias("inv"))
     chunks = b.select(*ks, "chunk").distinct()
     # every node of positive degree x every chunk of its graph (chunks: a handful per graph)
-    dense = nodes.join(F.broadcast(chunks), ks) if ks else nodes.crossJoin(F.broadcast(chunks))
+    dense = nodes.join(F.broadcast(chunks), ks)
     c = (dense.join(b, ks + ["chunk", "node"], "left")
               .select(*ks, "chunk", "node",
                       *[(F.coalesce(F.col(x), F.lit(0.0)) * F.col("inv")).alias(x) for x in cols]))

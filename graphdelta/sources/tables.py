@@ -87,3 +87,35 @@ def activity_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (day0 % 7).cast("int").alias("col"),
                        F.floor(day0 / 7).cast("int").alias("slice"))
               .agg(F.sum("value").alias("value")))
+
+
+def nation_points(spark: SparkSession, sf_dir: str, years=(1997, 1998),
+                  scale: float = 1000.0) -> DataFrame:
+    """Trade profile of every nation per order year as a 2-D point
+    ``(snapshot INT, node BIGINT, x ARRAY<DOUBLE>)``:
+    x = [ln(1 + exported quantity / scale), ln(1 + imported quantity / scale)].
+    Exports are keyed by the supplier's nation, imports by the customer's.
+    """
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
+    od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    od = od.filter(_year_filter(F.col("o_orderdate"), years))
+    cu = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    su = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    j = (li.join(od, li.l_orderkey == od.o_orderkey)
+           .join(cu, F.col("o_custkey") == cu.c_custkey)
+           .join(su, F.col("l_suppkey") == su.s_suppkey)
+           .select(F.year("o_orderdate").cast("int").alias("snapshot"),
+                   "c_nationkey", "s_nationkey", "l_quantity"))
+    # one pass: each line counts as an export of its supplier nation and an
+    # import of its customer nation
+    flows = j.select("snapshot", F.explode(F.array(
+        F.struct(F.col("s_nationkey").cast("bigint").alias("node"),
+                 F.col("l_quantity").alias("ex"), F.lit(0.0).alias("im")),
+        F.struct(F.col("c_nationkey").cast("bigint").alias("node"),
+                 F.lit(0.0).alias("ex"), F.col("l_quantity").alias("im")))).alias("f"))
+    agg = (flows.groupBy("snapshot", F.col("f.node").alias("node"))
+                .agg(F.sum("f.ex").alias("ex"), F.sum("f.im").alias("im")))
+    s = F.lit(float(scale))
+    return agg.select("snapshot", "node",
+                      F.array(F.log(F.lit(1.0) + F.col("ex") / s),
+                              F.log(F.lit(1.0) + F.col("im") / s)).alias("x"))
