@@ -372,7 +372,7 @@ FROM (SELECT year(o_orderdate) AS y, month(o_orderdate) AS m FROM orders) GROUP
     out["rbf_graph_grid"] = with_sql(at + [apts] + ag,
                                      f"SELECT snapshot, src, dst, {rnd('w', 'w')} FROM agraph")
     out["detect_activity"] = with_sql(
-        at + [apts] + ag + detect_ctes("agraph", Q.WEEKS[0], Q.WEEKS[1], [], "exact", "det"),
+        at + [apts] + ag + detect_ctes("agraph", Q.WEEKS[0], Q.WEEKS[1], [], "sketch", "det"),
         flag_select("det"))
     emb = ("pts", "SELECT CAST(vec_id AS BIGINT) AS node, CAST(embedding AS DOUBLE[]) AS x FROM embeddings")
     out["rbf_graph_vec"] = with_sql([emb] + rbf_ctes("pts", [], SIG, "g"),
@@ -390,7 +390,7 @@ WHERE pos < (SELECT floor(count(*) * {Q.perturb.ANOMALY_FRACTION} + 1e-9) FROM p
 
     def normal(tag):
         def u(s):
-            return (f"(CAST(('0x' || substr(md5(concat_ws('|', 0, node, '{tag}', '{s}')), 1, 13)) AS BIGINT)"
+            return (f"(CAST(('0x' || substr(md5(concat_ws('|', 0, p.node, '{tag}', '{s}')), 1, 13)) AS BIGINT)"
                     f" / {float(16 ** 13)!r})")
         return f"(sqrt(-2.0 * ln(1.0 - {u('a')})) * cos({2 * math.pi!r} * {u('b')}))"
     pert = top + [("sh", f"""SELECT p.node, p.x, t.node IS NOT NULL AS anomalous,

@@ -246,7 +246,7 @@ def q_rbf_graph_grid(spark, sf):
 
 def q_detect_activity(spark, sf):
     g = kernel.grid_graph(_activity_tiles(spark, sf), SIGMA, keys=["snapshot"])
-    flagged, _ = score.detect(g, WEEKS[0], WEEKS[1], mode="exact")
+    flagged, _ = score.detect(g, WEEKS[0], WEEKS[1], mode="sketch")
     return _flag_out(flagged)
 
 
