@@ -58,6 +58,18 @@ def sq_dist(a, b) -> Column:
     return F.aggregate(diffs, F.lit(0.0), lambda acc, v: acc + v)
 
 
+def sq_dist_fixed(a, b, dims: int) -> Column:
+    """Squared distance of two arrays of known length ``dims``, unrolled into one
+    arithmetic expression (element access + arithmetic stay in whole-stage
+    codegen, unlike the lambda form).  Summed left to right, like ``sq_dist``."""
+    a, b = _c(a), _c(b)
+    out = None
+    for u in range(int(dims)):
+        d = a[u].cast("double") - b[u].cast("double")
+        out = d * d if out is None else out + d * d
+    return out if out is not None else F.lit(0.0)
+
+
 def rbf(d2, sigma) -> Column:
     """Gaussian kernel weight exp(-d2 / (2 sigma^2))."""
     s = _c(sigma) if not isinstance(sigma, (int, float)) else F.lit(float(sigma))

@@ -54,6 +54,16 @@ def _sum_by_node(rows: DataFrame, keys, width: int) -> DataFrame:
         *[F.sum(c).alias(c) for c in xcols(width)])
 
 
+def _endpoints(signed: DataFrame, ks: list[str], width: int) -> DataFrame:
+    """+values at i, -values at j, in one pass over ``signed`` (an explode of two
+    structs rather than a union, which would compute the signs twice)."""
+    cols = xcols(width)
+    plus = F.struct(F.col("i").alias("node"), *[F.col(c).alias(c) for c in cols])
+    minus = F.struct(F.col("j").alias("node"), *[(-F.col(c)).alias(c) for c in cols])
+    return (signed.select(*ks, "chunk", F.explode(F.array(plus, minus)).alias("_e"))
+                  .select(*ks, "chunk", "_e.node", *[f"_e.{c}" for c in cols]))
+
+
 def incidence_sketch(half: DataFrame, k: int, keys=("snapshot",), seed: int = 0,
                      weight_power: float = 1.0, max_width: int = MAX_WIDTH) -> DataFrame:
     """B^T W Q for a k-column random +-1/sqrt(k) matrix Q (G1 + B12).
@@ -73,10 +83,7 @@ def incidence_sketch(half: DataFrame, k: int, keys=("snapshot",), seed: int = 0,
         v = F.col("wv") * hash_sign(seed, "i", "j", t) * F.lit(scale)
         vals.append(F.when(t < F.lit(k), v).otherwise(F.lit(0.0)).alias(f"x{u}"))
     signed = e.select(*ks, "chunk", "i", "j", *vals)
-    at_i = signed.select(*ks, "chunk", F.col("i").alias("node"), *xcols(width))
-    at_j = signed.select(*ks, "chunk", F.col("j").alias("node"),
-                         *[(-F.col(c)).alias(c) for c in xcols(width)])
-    return _sum_by_node(at_i.unionByName(at_j), ks, width)
+    return _sum_by_node(_endpoints(signed, ks, width), ks, width)
 
 
 def incidence_exact(half: DataFrame, keys=("snapshot",), weight_power: float = 1.0,
@@ -100,10 +107,7 @@ def incidence_exact(half: DataFrame, keys=("snapshot",), weight_power: float = 1
     vals = [F.when(F.col("col") == F.lit(u), F.col("wv")).otherwise(F.lit(0.0)).alias(f"x{u}")
             for u in range(width)]
     signed = e.select(*ks, "chunk", "i", "j", *vals)
-    at_i = signed.select(*ks, "chunk", F.col("i").alias("node"), *xcols(width))
-    at_j = signed.select(*ks, "chunk", F.col("j").alias("node"),
-                         *[(-F.col(c)).alias(c) for c in xcols(width)])
-    return _sum_by_node(at_i.unionByName(at_j), ks, width)
+    return _sum_by_node(_endpoints(signed, ks, width), ks, width)
 
 
 def _fits(rows: int, width: int, limit: int) -> bool:

@@ -57,9 +57,10 @@ def trade_pairs(spark: SparkSession, sf_dir: str, years=(1997, 1998),
 def symmetric(pairs: DataFrame, keys=("snapshot",), i="i", j="j", w="w") -> DataFrame:
     """Both directions ``(keys..., src, dst, w)`` from a canonical half."""
     ks = list(keys)
-    a = pairs.select(*ks, F.col(i).alias("src"), F.col(j).alias("dst"), F.col(w).alias("w"))
-    b = pairs.select(*ks, F.col(j).alias("src"), F.col(i).alias("dst"), F.col(w).alias("w"))
-    return a.unionByName(b)
+    ends = F.explode(F.array(F.struct(F.col(i).alias("src"), F.col(j).alias("dst")),
+                             F.struct(F.col(j).alias("src"), F.col(i).alias("dst"))))
+    return (pairs.select(*ks, ends.alias("_e"), F.col(w).alias("w"))
+                 .select(*ks, "_e.src", "_e.dst", "w"))
 
 
 def trade_edges(spark: SparkSession, sf_dir: str, years=(1997, 1998),
