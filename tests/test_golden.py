@@ -97,3 +97,19 @@ def test_partitioning_invariance(spark):
     e2 = e.repartition(7, F.rand(3)).sortWithinPartitions(F.rand(5))
     b = sorted((r.i, r.j, round(r.delta_e, 12), r.anomalous) for r in detect(e2, 1, 2)[0].collect())
     assert a == b
+
+
+def test_shuffle_path_with_salted_hubs(spark):
+    """Vector too big to broadcast (limit 0) and every destination salted
+    (bucket of 1 edge): same distances as the broadcast path."""
+    from graphdelta.operators import walk
+    from graphdelta.operators.linalg import half_edges
+    e = edges_df(spark, {1: G1, 2: G2})
+    b = walk.incidence_exact(half_edges(e))
+    z1 = walk.walk_series(e, b, 12)
+    z2 = walk.walk_series(e, b, 12, broadcast_limit=0, min_bucket=1)
+    cols = [c for c in z1.columns if c.startswith("x")]
+    a = {(r.snapshot, r.chunk, r.node): [r[c] for c in cols] for r in z1.collect()}
+    bb = {(r.snapshot, r.chunk, r.node): [r[c] for c in cols] for r in z2.collect()}
+    assert a.keys() == bb.keys()
+    assert all(x == pytest.approx(y, abs=1e-12) for k in a for x, y in zip(a[k], bb[k]))
