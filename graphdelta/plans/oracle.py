@@ -326,6 +326,28 @@ SELECT src, dst, sum(w) AS w FROM (
 SELECT snapshot, src, dst, sum(w) AS w FROM (
   SELECT snapshot, src, src AS dst, sum(w) AS w FROM edges GROUP BY 1, 2, 3
   UNION ALL SELECT snapshot, src, dst, -w FROM edges) GROUP BY 1, 2, 3) WHERE w <> 0""")
+    def mm(a, b):
+        return f"""SELECT x.snapshot, x.src, y.dst, sum(x.w * y.w) AS w FROM {a} x JOIN {b} y
+  ON x.snapshot = y.snapshot AND x.dst = y.src GROUP BY 1, 2, 3 HAVING sum(x.w * y.w) <> 0"""
+
+    def add(a, b):
+        return f"""SELECT snapshot, src, dst, sum(w) AS w FROM (SELECT snapshot, src, dst, w FROM {a}
+  UNION ALL SELECT snapshot, src, dst, w FROM {b}) GROUP BY 1, 2, 3 HAVING sum(w) <> 0"""
+    chain = [
+        ("cdeg", """SELECT snapshot, src AS node, sum(w) AS deg,
+  CASE WHEN sum(w) > 0 THEN pow(sum(w), -0.5) ELSE 0.0 END AS isq FROM edges GROUP BY 1, 2"""),
+        ("cS", """SELECT e.snapshot, e.src, e.dst, a.isq * e.w * b.isq AS w FROM edges e
+  JOIN cdeg a ON e.snapshot = a.snapshot AND e.src = a.node
+  JOIN cdeg b ON e.snapshot = b.snapshot AND e.dst = b.node"""),
+        ("cI", "SELECT snapshot, node AS src, node AS dst, 1.0 AS w FROM cdeg"),
+        ("cC0", "SELECT snapshot, node AS src, node AS dst, isq AS w FROM cdeg WHERE isq <> 0"),
+        ("cSI", add("cS", "cI")),
+        ("cC1", mm("cSI", "cC0")),
+        ("cS2", mm("cS", "cS")),
+        ("cS2I", add("cS2", "cI")),
+        ("cC2", mm("cS2I", "cC1")),
+    ]
+    out["chain_product"] = _trade(f"SELECT snapshot, src, dst, {rnd('w', 'w')} FROM cC2", chain)
     # incidence projection (sketch), walk series (exact), pair distances
     ic = [half_cte("edges", K)] + incidence_sketch_ctes("edges", "half", K, "b")
     out["incidence_project"] = _trade(

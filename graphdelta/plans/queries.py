@@ -113,6 +113,11 @@ def q_mat_subtract(spark, sf):
     return linalg.mat_add(a, b, -1.0, keys=()).select("src", "dst", _r("w"))
 
 
+def q_chain_product(spark, sf):
+    from ..operators.chain import chain_product
+    return chain_product(_edges(spark, sf), 3).select("snapshot", "src", "dst", _r("w"))
+
+
 def q_laplacian(spark, sf):
     return linalg.laplacian(_edges(spark, sf)).select("snapshot", "src", "dst", _r("w"))
 
@@ -362,6 +367,7 @@ QUERIES = {
     "matmul": q_matmul,
     "mat_subtract": q_mat_subtract,
     "laplacian": q_laplacian,
+    "chain_product": q_chain_product,
     "incidence_project": q_incidence_project,
     "walk_series": q_walk_series,
     "pair_distance_exact": q_pair_distance_exact,

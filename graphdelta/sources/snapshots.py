@@ -103,3 +103,21 @@ def write_node_locations(tiles: DataFrame, path: str) -> None:
 def write_trace(trace: DataFrame, path: str) -> None:
     """Calibration trace as Parquet."""
     trace.write.mode("overwrite").parquet(path)
+
+
+def write_cube(cube: DataFrame, path: str, slice_col: str = "slice") -> None:
+    """A ``(row, col, slice, value)`` cube partitioned by time slice, so one slice
+    is read by partition pruning (A6)."""
+    cube.write.mode("overwrite").partitionBy(slice_col).parquet(path)
+
+
+def read_slice(spark: SparkSession, path: str, index: int, slice_col: str = "slice") -> DataFrame:
+    """One slice of a stored cube: the filter on the partition column becomes a
+    ``PartitionFilters`` entry of the scan."""
+    return (spark.read.parquet(path).filter(F.col(slice_col) == F.lit(int(index)))
+                 .select("row", "col", "value"))
+
+
+def edge_order(df: DataFrame, i: str = "i", j: str = "j") -> DataFrame:
+    """Presentation order of an edge list: by j, then i."""
+    return df.orderBy(F.col(j), F.col(i))

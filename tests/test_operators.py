@@ -174,3 +174,15 @@ def test_matmul_matches_numpy(spark):
     got = {(r.src, r.dst): r.w for r in linalg.matmul(e, e).collect()}
     AA = A @ A
     assert got == {(i, j): pytest.approx(AA[i, j]) for i in range(3) for j in range(3) if AA[i, j] != 0}
+
+
+def test_cube_slice_is_partition_pruned(spark, tmp_path):
+    from graphdelta.sources.tables import activity_cube
+    from conftest import SF001
+    path = str(tmp_path / "cube")
+    snapshots.write_cube(activity_cube(spark, SF001), path)
+    sl = snapshots.read_slice(spark, path, 1)
+    plan = sl._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "slice" in plan
+    direct = kernel.time_slice(activity_cube(spark, SF001), 1)
+    assert sorted(map(tuple, sl.collect())) == sorted(map(tuple, direct.collect()))
