@@ -1,0 +1,6 @@
+"""Streaming: nothing to build.
+
+The method compares two snapshots of a graph; the original has no streaming
+surface (no watermarks, windows over event time, or state).  A new snapshot is
+a batch input to ``operators.score.detect``.
+"""
