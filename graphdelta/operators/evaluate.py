@@ -132,6 +132,15 @@ def sigma_sweep(points: DataFrame, sigmas, truth_sigma: float, s1, s2,
     return summary, flagged, nodes
 
 
+def evaluate_sigma(points: DataFrame, sigma: float, truth_sigma: float, s1, s2,
+                   **kw) -> DataFrame:
+    """One candidate against the truth (G7): ``(sigma, loss, same, score)`` where
+    score is 0 on a node-set match and the loss otherwise (the search objective)."""
+    summary, _, _ = sigma_sweep(points, [sigma], truth_sigma, s1, s2, **kw)
+    return (summary.filter(F.col("sigma") == F.lit(float(sigma)))
+                   .withColumn("score", F.when(F.col("same"), F.lit(0.0)).otherwise(F.col("loss"))))
+
+
 def calibrate_sigma(points: DataFrame, truth_sigma: float, s1, s2, sigma0: float,
                     learning_rate: float, iterations: int = 10, snapshot: str = "snapshot",
                     mode: str = "exact", threshold: float = 0.1, **detect_opts) -> DataFrame:

@@ -421,6 +421,12 @@ WHERE pos < (SELECT floor(count(*) * {Q.perturb.ANOMALY_FRACTION} + 1e-9) FROM p
 FROM pts p LEFT JOIN top t ON p.node = t.node""")]
     out["perturb"] = with_sql(pert, f"""SELECT node, {rnd('shift', 'shift')}, anomalous,
   {rnd('sqrt(list_sum(list_transform(x, lambda v: (v + shift) * (v + shift))))', 'norm')} FROM sh""")
+    pp = pert + [("pboth", """SELECT 1 AS snapshot, node, x FROM pts
+UNION ALL SELECT 2 AS snapshot, node, list_transform(x, lambda v: v + shift) AS x FROM sh""")]
+    pp += rbf_ctes("pboth", K, SIG, "pg") + detect_ctes("pg", 1, 2, [], "sketch", "pdet")
+    out["detect_perturbed"] = with_sql(pp, """SELECT CAST(coalesce(t.node, f.node) AS BIGINT) AS node,
+  t.node IS NOT NULL AS planted, f.node IS NOT NULL AS found
+FROM top t FULL OUTER JOIN pdet_nodes f ON t.node = f.node""")
     # evaluation: truth = exact detection, prediction = sketch detection
     tp = detect_ctes("edges", S1, S2, [], "exact", "tru") + detect_ctes("edges", S1, S2, [], "sketch", "pre")
     diff = ("diff", """SELECT coalesce(t.i, p.i) AS i, coalesce(t.j, p.j) AS j,

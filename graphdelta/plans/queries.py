@@ -276,6 +276,23 @@ def q_perturb(spark, sf):
     return p.select("node", _r("shift"), "anomalous", _r(l2_norm("x"), "norm"))
 
 
+def q_detect_perturbed(spark, sf):
+    """The synthetic experiment on real vectors: embeddings as snapshot 1, a
+    perturbed copy (noise on all, a shift on the top 10% by norm) as snapshot 2,
+    Gaussian graphs at sigma = 1/sqrt(2), sketch detection; per node whether it
+    was planted and whether it was found."""
+    pts = tables.embedding_points(spark, sf)
+    both = perturb.two_snapshots(pts, seed=0)
+    g = kernel.rbf_graph(both, SIGMA, keys=["snapshot"])
+    _, nodes = score.detect(g, 1, 2, mode="sketch")
+    planted = perturb.top_fraction(pts).select("node", F.lit(True).alias("planted"))
+    found = nodes.select("node", F.lit(True).alias("found"))
+    return (planted.join(found, "node", "full_outer")
+                   .select(F.col("node").cast("bigint"),
+                           F.coalesce("planted", F.lit(False)).alias("planted"),
+                           F.coalesce("found", F.lit(False)).alias("found")))
+
+
 # ---------------------------------------------------------------- evaluation
 
 def _truth_and_pred(spark, sf):
@@ -388,6 +405,7 @@ QUERIES = {
     "rbf_graph_vec": q_rbf_graph_vec,
     "rbf_graph_pruned": q_rbf_graph_pruned,
     "top_fraction": q_top_fraction,
+    "detect_perturbed": q_detect_perturbed,
     "perturb": q_perturb,
     "edge_diff": q_edge_diff,
     "squared_loss": q_squared_loss,
