@@ -22,7 +22,7 @@ def solve_columns(edges: DataFrame, keys=("snapshot",), mode: str = "exact",
                   weight_power: float = 1.0, scope: str = "all",
                   block_size: int | None = None, seed: int = 0,
                   max_width: int = MAX_WIDTH, n_nodes: int | None = None,
-                  sign_hash: str = "md5") -> DataFrame:
+                  sign_hash: str = "md5", independent: bool = False) -> DataFrame:
     """The solved columns z ``(keys..., chunk, node, x...)`` for every graph."""
     ks = list(keys)
     half = half_edges(edges, ks, scope, block_size)
@@ -34,7 +34,7 @@ def solve_columns(edges: DataFrame, keys=("snapshot",), mode: str = "exact",
             n_nodes = (edges.groupBy(*ks).agg(F.countDistinct("src").alias("n"))
                             .agg(F.max("n")).first()[0] or 0)
         k = sketch_width(int(n_nodes), eps)
-        b = incidence_sketch(half, k, ks, seed, weight_power, max_width, sign_hash)
+        b = incidence_sketch(half, k, ks, seed, weight_power, max_width, sign_hash, independent)
     else:
         raise ValueError(f"unknown mode {mode!r}")
     return walk_series(edges, b, series_length(tol, d), ks)

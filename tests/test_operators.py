@@ -186,3 +186,14 @@ def test_cube_slice_is_partition_pruned(spark, tmp_path):
     assert "PartitionFilters" in plan and "slice" in plan
     direct = kernel.time_slice(activity_cube(spark, SF001), 1)
     assert sorted(map(tuple, sl.collect())) == sorted(map(tuple, direct.collect()))
+
+
+def test_independent_signs_differ_per_snapshot(spark):
+    from graphdelta.operators.walk import incidence_sketch
+    g = {(1, 0): 1.0, (2, 1): 1.0, (3, 2): 1.0}
+    e = edges_df(spark, {1: g, 2: g})
+    half = linalg.half_edges(e)
+    shared = {(r.snapshot, r.chunk, r.node): r.x0 for r in incidence_sketch(half, 8).collect()}
+    indep = {(r.snapshot, r.chunk, r.node): r.x0 for r in incidence_sketch(half, 8, independent=True).collect()}
+    assert all(shared[(1, c, n)] == shared[(2, c, n)] for (s, c, n) in shared if s == 1)
+    assert any(indep[(1, c, n)] != indep[(2, c, n)] for (s, c, n) in indep if s == 1)
