@@ -8,13 +8,15 @@ sketch's expectation); ``sketch`` takes k = int(ceil(log2 n)/eps) random
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import DEFAULT_D, DEFAULT_EPS, DEFAULT_TOL, series_length, sketch_width
 from .linalg import half_edges
-from .walk import (BROADCAST_LIMIT, MAX_WIDTH, _fits, incidence_exact, incidence_sketch,
-                   walk_series, xcols, vector_width)
+from .walk import (BROADCAST_LIMIT, MAX_WIDTH, ROWS_PER_TASK, _fits, incidence_exact,
+                   incidence_sketch, walk_series, xcols, vector_width)
 
 
 def solve_columns(edges: DataFrame, keys=("snapshot",), mode: str = "exact",
@@ -51,9 +53,15 @@ def gather_pairs(pairs: DataFrame, z: DataFrame, keys=("snapshot",),
     cols = xcols(width)
     zi = z.select(*ks, "chunk", F.col("node").alias("i"), *[F.col(c).alias("a" + c) for c in cols])
     zj = z.select(*ks, "chunk", F.col("node").alias("j"), *[F.col(c).alias("b" + c) for c in cols])
+    p = pairs.select(*ks, "i", "j")
     if _fits(z.count(), width, broadcast_limit):
         zi, zj = F.broadcast(zi), F.broadcast(zj)
-    p = pairs.select(*ks, "i", "j")
+        # pairs x chunks joined rows per task, not the pair table's bytes, set
+        # the partition count (capped by the configured shuffle partitions)
+        n_chunks = z.select(*ks, "chunk").distinct().count()
+        n_parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        work = max(1, math.ceil(p.count() * max(n_chunks, 1) / ROWS_PER_TASK))
+        p = p.repartition(min(n_parts, work), *ks, "i", "j")
     sq = None
     for c in cols:
         t = (F.col("a" + c) - F.col("b" + c)) * (F.col("a" + c) - F.col("b" + c))

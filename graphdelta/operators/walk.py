@@ -30,6 +30,7 @@ from .ordered import dense_index
 MAX_WIDTH = 8                       # columns per chunk row (measured: 8 < 16 < 64 s/step)
 BROADCAST_LIMIT = 64 * 1024 * 1024  # bytes; a vector above this is shuffled, not broadcast
 CHECKPOINT_EVERY = 4                # walk steps between lineage cuts
+ROWS_PER_TASK = 2_000_000           # joined rows per task in a broadcast-path step
 
 
 def xcols(width: int) -> list[str]:
@@ -204,11 +205,16 @@ def walk_series(edges: DataFrame, b: DataFrame, K: int, keys=("snapshot",),
     P = row_normalize(edges, ks)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if bc:
-        # Spread P evenly over a fixed number of partitions: the step's work is
-        # |P| x chunks rows, far more than P's bytes suggest, so AQE's size-based
-        # coalescing would otherwise leave it to a couple of tasks.  Hashing
-        # (src, dst), not src, keeps a hub's edges spread too.
-        P = P.repartition(n_parts, *ks, "src", "dst").persist(StorageLevel.MEMORY_AND_DISK)
+        # Spread P evenly over a partition count sized by the step's work
+        # (|P| x chunks joined rows, far more than P's bytes suggest, so AQE's
+        # size-based coalescing would leave it to a couple of tasks), capped by
+        # the configured shuffle partitions.  Hashing (src, dst), not src, keeps
+        # a hub's edges spread too.
+        m = edges.count()
+        n_chunks = chunks.count()
+        work_parts = max(1, math.ceil(m * max(n_chunks, 1) / ROWS_PER_TASK))
+        P = (P.repartition(min(n_parts, work_parts), *ks, "src", "dst")
+              .persist(StorageLevel.MEMORY_AND_DISK))
         hot = None
     else:
         P, hot = _salted_edges(P, ks, n_parts, min_bucket)
