@@ -197,3 +197,25 @@ def test_independent_signs_differ_per_snapshot(spark):
     indep = {(r.snapshot, r.chunk, r.node): r.x0 for r in incidence_sketch(half, 8, independent=True).collect()}
     assert all(shared[(1, c, n)] == shared[(2, c, n)] for (s, c, n) in shared if s == 1)
     assert any(indep[(1, c, n)] != indep[(2, c, n)] for (s, c, n) in indep if s == 1)
+
+
+def test_result_trace_locations_written(spark, tmp_path):
+    flagged = spark.createDataFrame([(7, 0, 0.38, True), (7, 6, 0.02, False)],
+                                    "i BIGINT, j BIGINT, delta_e DOUBLE, anomalous BOOLEAN")
+    nodes = spark.createDataFrame([(0,), (7,)], "node BIGINT")
+    base = snapshots.write_result(flagged, nodes, str(tmp_path / "res"), ground_truth=True)
+    assert base.endswith("/truth")
+    assert sorted(r.node for r in spark.read.parquet(base + "/nodes").collect()) == [0, 7]
+    snapshots.write_result(flagged.limit(1), nodes, str(tmp_path / "res"), ground_truth=True)
+    assert spark.read.parquet(base + "/delta_e").count() == 1          # overwritten
+    tr = spark.createDataFrame([(0, 1.0, 0.0, 0.5)], "iter INT, sigma DOUBLE, loss DOUBLE, learning_rate DOUBLE")
+    snapshots.write_trace(tr, str(tmp_path / "trace"))
+    assert spark.read.parquet(str(tmp_path / "trace")).first().sigma == 1.0
+    tiles = spark.createDataFrame([(0, 0, 0, 1.0)], "node BIGINT, row INT, col INT, value DOUBLE")
+    snapshots.write_node_locations(tiles, str(tmp_path / "loc"))
+    assert spark.read.parquet(str(tmp_path / "loc")).columns == ["node", "row", "col"]
+
+
+def test_edge_order(spark):
+    df = spark.createDataFrame([(3, 1), (2, 0), (5, 0), (4, 1)], "i BIGINT, j BIGINT")
+    assert [(r.i, r.j) for r in snapshots.edge_order(df).collect()] == [(2, 0), (5, 0), (3, 1), (4, 1)]
