@@ -62,7 +62,7 @@ def richardson_solve(edges: DataFrame, b: DataFrame, tol: float = DEFAULT_TOL,
     zs = z.join(F.broadcast(slots), ks)
     z2s = z2.join(F.broadcast(slots), ks)
     chi = matvec(zs, b, ks + ["slot"]).checkpoint(eager=True)
-    y = chi.limit(0)
+    y = chi.filter(F.lit(False))  # y = 0: an empty sparse vector
     for _ in range(max(q - 1, 0)):
         t = matvec(z2s, y, ks + ["slot"]).select(*ks, "slot", "node", (-F.col("x")).alias("x"))
         y = (y.unionByName(t).unionByName(chi)
