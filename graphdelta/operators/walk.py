@@ -132,7 +132,8 @@ def _fits(rows: int, width: int, limit: int) -> bool:
     return rows * (width + 4) * 8 <= limit
 
 
-def _salted_edges(P: DataFrame, ks: list[str], n_parts: int, min_bucket: int):
+def _salted_edges(P: DataFrame, ks: list[str], n_parts: int, min_bucket: int,
+                  bucket_rows: int | None = None):
     """Shuffle-path layout of P: hash partitioned on (keys, dst, salt), persisted.
 
     A destination with more in-edges than one bucket's share (a hub) is split
@@ -140,8 +141,11 @@ def _salted_edges(P: DataFrame, ks: list[str], n_parts: int, min_bucket: int):
     rows are replicated S times at join time.  ``hot`` has at most
     ``#edges / bucket`` rows, so broadcasting it is bounded by construction.
     """
-    m = P.count()
-    bucket = max(int(math.ceil(m / max(n_parts, 1))), int(min_bucket))
+    if bucket_rows:
+        bucket = int(bucket_rows)
+    else:
+        m = P.count()
+        bucket = max(int(math.ceil(m / max(n_parts, 1))), int(min_bucket))
     hot = (P.groupBy(*ks, "dst").count().filter(F.col("count") > F.lit(bucket))
             .select(*ks, "dst", F.ceil(F.col("count") / F.lit(bucket)).cast("int").alias("S")))
     hot = hot.checkpoint(eager=True)
@@ -157,7 +161,7 @@ def _salted_edges(P: DataFrame, ks: list[str], n_parts: int, min_bucket: int):
 def walk_series(edges: DataFrame, b: DataFrame, K: int, keys=("snapshot",),
                 broadcast_limit: int = BROADCAST_LIMIT,
                 checkpoint_every: int = CHECKPOINT_EVERY,
-                min_bucket: int = 100_000) -> DataFrame:
+                min_bucket: int = 100_000, bucket_rows: int | None = None) -> DataFrame:
     """z = sum_{j<K} P^j (b/deg) for every slot of ``b``.
 
     Returns ``(keys..., chunk, node, x...)``, dense over the nodes of positive
@@ -217,7 +221,8 @@ def walk_series(edges: DataFrame, b: DataFrame, K: int, keys=("snapshot",),
               .persist(StorageLevel.MEMORY_AND_DISK))
         hot = None
     else:
-        P, hot = _salted_edges(P, ks, n_parts, min_bucket)
+        P, hot = _salted_edges(P, ks, n_parts, min_bucket, bucket_rows)
+        walk_series.last_hot_count = hot.count()  # hub destinations split this run
     y = c
     for step in range(1, K):
         yv = y.withColumnRenamed("node", "dst")
