@@ -91,8 +91,9 @@ def incidence_sketch(half: DataFrame, k: int, keys=("snapshot",), seed: int = 0,
     for u in range(width):
         t = F.col("chunk") * F.lit(width) + F.lit(u)
         if sign_hash == "md5":
-            digit = F.substring(F.md5(F.concat(F.col("_pre"), t.cast("string"))), 1, 1)
-            sign = F.when(digit < F.lit("8"), F.lit(1.0)).otherwise(F.lit(-1.0))
+            # hex < "8" compares the first digit only: "7f.." < "8" < "80.."
+            hexd = F.md5(F.concat(F.col("_pre"), t.cast("string")))
+            sign = F.when(hexd < F.lit("8"), F.lit(1.0)).otherwise(F.lit(-1.0))
         elif sign_hash == "xxhash64":
             sign = F.when(F.xxhash64(F.lit(int(seed)), *(ks if independent else []), "i", "j", t) >= 0,
                           F.lit(1.0)).otherwise(F.lit(-1.0))
