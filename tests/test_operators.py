@@ -219,3 +219,9 @@ def test_result_trace_locations_written(spark, tmp_path):
 def test_edge_order(spark):
     df = spark.createDataFrame([(3, 1), (2, 0), (5, 0), (4, 1)], "i BIGINT, j BIGINT")
     assert [(r.i, r.j) for r in snapshots.edge_order(df).collect()] == [(2, 0), (5, 0), (3, 1), (4, 1)]
+
+
+def test_rbf_rejects_mixed_dimensions(spark):
+    pts = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0])], "node BIGINT, x ARRAY<DOUBLE>")
+    with pytest.raises(ValueError):
+        kernel.rbf_graph(pts, SIG)
