@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text",
     (at least one row)."""
     for b in batches:
         col = b.column(b.schema.get_field_index(text))
-        lens = pa.compute.binary_length(col).to_pylist()
+        lens = pc.binary_length(col).to_pylist()
         lo, held = 0, 0
         for i, n in enumerate(lens):
             if i > lo and (held + (n or 0) > size or i - lo >= rows):

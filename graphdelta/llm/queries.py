@@ -12,11 +12,29 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), limit=4096)
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphdelta.llm.secrets import digest, fit_secret_model, scan_secrets
+    docs = documents(spark, sf_dir)
+    return digest(scan_secrets(docs, fit_secret_model(docs)))
+
+
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphdelta.llm.fingerprints import fingerprint_edits
+    return fingerprint_edits(documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphdelta.llm.packing import pack
     return pack(documents(spark, sf_dir), size=1024)
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op6_packing)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphdelta.llm.toxicity import fit_toxicity, score_toxicity
+    docs = documents(spark, sf_dir)
+    return score_toxicity(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+QUERIES = {f.__name__: f for f in (
+    op3_secret_scans, op4_token_counts, op5_document_fingerprints, op6_packing, op10_toxicity)}
 
 SQL: dict[str, str] = {}

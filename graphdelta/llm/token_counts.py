@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from graphdelta.llm.common import id_text, slices
@@ -140,7 +141,7 @@ def token_counts(docs: DataFrame, limit: int = 4096, model_path: str | None = No
             tokens = [of(t) for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"),
-                 pa.compute.binary_length(texts.cast(pa.binary())).cast(pa.int64()),
+                 pc.binary_length(texts.cast(pa.binary())).cast(pa.int64()),
                  pa.array(tokens, pa.int64()),
                  pa.array([n > limit for n in tokens], pa.bool_())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
