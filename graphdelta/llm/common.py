@@ -2,6 +2,7 @@
 Arrow batches in small slices, and a place for intermediate tables."""
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -54,6 +55,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps.  Spark deletes them once the
+    driver's JVM has collected the plans that made them; a driver with little to
+    do may not collect for long, while the files fill the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions_for(df: DataFrame, rows: int, per_task: int) -> int:
     """Number of shuffle partitions for so many rows (or bytes) of work."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

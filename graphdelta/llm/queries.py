@@ -28,6 +28,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), size=1024)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphdelta.llm.substring_dedup import digest, remove_repeats
+    return digest(remove_repeats(documents(spark, sf_dir), window=35))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphdelta.llm.toxicity import fit_toxicity, score_toxicity
     docs = documents(spark, sf_dir)
@@ -35,6 +40,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_secret_scans, op4_token_counts, op5_document_fingerprints, op6_packing, op10_toxicity)}
+    op3_secret_scans, op4_token_counts, op5_document_fingerprints, op6_packing,
+    op8_substring_dedup, op10_toxicity)}
 
 SQL: dict[str, str] = {}
