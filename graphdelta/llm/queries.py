@@ -12,6 +12,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), limit=4096)
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphdelta.llm.ngram_join import near_duplicates
+    return near_duplicates(documents(spark, sf_dir), words=5, percent=80).select(
+        "doc_id", "n_shingles", "component_id")
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphdelta.llm.secrets import digest, fit_secret_model, scan_secrets
     docs = documents(spark, sf_dir)
@@ -40,7 +46,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_secret_scans, op4_token_counts, op5_document_fingerprints, op6_packing,
+    op1_ngram_jaccard_join, op3_secret_scans, op4_token_counts, op5_document_fingerprints, op6_packing,
     op8_substring_dedup, op10_toxicity)}
 
 SQL: dict[str, str] = {}
