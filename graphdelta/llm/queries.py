@@ -39,6 +39,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(remove_repeats(documents(spark, sf_dir), window=35))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphdelta.llm.line_dedup import digest, repeated_lines
+    return digest(repeated_lines(documents(spark, sf_dir), words=5, percent=80))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphdelta.llm.toxicity import fit_toxicity, score_toxicity
     docs = documents(spark, sf_dir)
@@ -47,6 +52,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op3_secret_scans, op4_token_counts, op5_document_fingerprints, op6_packing,
-    op8_substring_dedup, op10_toxicity)}
+    op8_substring_dedup, op9_line_dedup, op10_toxicity)}
 
 SQL: dict[str, str] = {}
