@@ -18,6 +18,12 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id")
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphdelta.llm.decontamination import contaminated, digest
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return digest(contaminated(documents(spark, sf_dir), benchmark, words=5, percent=80))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphdelta.llm.secrets import digest, fit_secret_model, scan_secrets
     docs = documents(spark, sf_dir)
@@ -51,7 +57,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_ngram_jaccard_join, op3_secret_scans, op4_token_counts, op5_document_fingerprints, op6_packing,
-    op8_substring_dedup, op9_line_dedup, op10_toxicity)}
+    op1_ngram_jaccard_join, op2_benchmark_decontamination, op3_secret_scans,
+    op4_token_counts, op5_document_fingerprints, op6_packing, op8_substring_dedup, op9_line_dedup, op10_toxicity)}
 
 SQL: dict[str, str] = {}
