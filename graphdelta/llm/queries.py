@@ -40,6 +40,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), size=1024)
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphdelta.llm.suffix_dedup import digest, repeated_passages
+    return digest(repeated_passages(documents(spark, sf_dir), least=50))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphdelta.llm.substring_dedup import digest, remove_repeats
     return digest(remove_repeats(documents(spark, sf_dir), window=35))
@@ -57,7 +62,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_ngram_jaccard_join, op2_benchmark_decontamination, op3_secret_scans,
-    op4_token_counts, op5_document_fingerprints, op6_packing, op8_substring_dedup, op9_line_dedup, op10_toxicity)}
+    op1_ngram_jaccard_join, op2_benchmark_decontamination, op3_secret_scans, op4_token_counts,
+    op5_document_fingerprints, op6_packing, op7_suffix_array_dedup, op8_substring_dedup,
+    op9_line_dedup, op10_toxicity)}
 
 SQL: dict[str, str] = {}
