@@ -331,7 +331,7 @@ def class_components(rows: DataFrame, profiles: DataFrame, words: int, percent:
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose n-gram sets have a Jaccard similarity of at
-    least ``percent`` / 100: (doc_id, doc, th, n_shingles, component_id).
+    least ``percent`` / 100: (doc_id, doc, th, n_shingles, component_id, root).
 
     Words are lower-cased (A-Z) runs of characters other than ASCII white space;
     a text of fewer words is one n-gram of all of them.  ``component_id`` is the
@@ -339,7 +339,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     repeated rows included.  Null, empty and blank texts have no n-grams and are
     linked with nothing, not even each other.  Null ids take part, but are no
     smallest id unless a component has no other.  (doc, th) tell rows apart as in
-    ``repeats.keyed``.  N-grams are compared by 48 bits and more of hash within a
+    ``repeats.keyed``; ``root`` names the component, null without n-grams.  N-grams are compared by 48 bits and more of hash within a
     pair, sets of equal classes by 128.
     """
     rows = keyed(docs, id_col, text_col)
@@ -350,7 +350,26 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     at = (classes.join(linked, F.col("key") == F.col("node"), "left")
           .select("key", "least", F.coalesce("root", "key").alias("root")))
     least = at.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = at.join(least, "root").select("key", "component_id")
-    columns = ["doc_id", "doc", "th", F.col("n").alias("n_shingles"), "component_id"]
-    return (filled.join(labels, "key").select(*columns)
-            .union(profiles.where("n = 0").withColumn("component_id", F.col("doc_id")).select(*columns)))
+    labels = at.join(least, "root").select("key", "root", "component_id")
+    columns = ["doc_id", "doc", "th", F.col("n").alias("n_shingles"), "component_id", "root"]
+    alone = profiles.where("n = 0").select(
+        "*", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("root"))
+    return filled.join(labels, "key").select(*columns).union(alone.select(*columns))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
+                         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, all columns kept: the one of the smallest id
+    (of equal ids the smallest row hash; a null id counts as 0).  Of repeated rows
+    one stays.  Documents without words are linked with nothing and all stay."""
+    grouped = near_duplicates(docs, words, percent, id_col, text_col).where("root is not null")
+    chosen = grouped.groupBy("root").agg(F.min(F.struct("doc", "th")).alias("one")).select("one.*")
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    text = F.coalesce(F.col(f"c{names.index(text_col)}"), F.lit(""))
+    has_words = F.rlike(text, F.lit("[^\\x20\\x09-\\x0D]"))
+    doc = F.col(f"c{names.index(id_col)}").cast("long")
+    marked = plain.where(has_words).withColumn("doc", F.coalesce(doc, F.lit(0))).withColumn(
+        "th", F.xxhash64(doc, text))
+    kept = marked.join(chosen, ["doc", "th"]).dropDuplicates(["doc", "th"]).select(*plain.columns)
+    return kept.union(plain.where(~has_words)).toDF(*names)
