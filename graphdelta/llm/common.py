@@ -3,6 +3,7 @@ Arrow batches in small slices, and a place for intermediate tables."""
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -59,8 +60,10 @@ def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished steps.  Spark deletes them once the
     driver's JVM has collected the plans that made them; a driver with little to
     do may not collect for long, while the files fill the executors' disks."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # Python's references reach the JVM with a delay
+        gc.collect()
+        time.sleep(0.5)
+        spark.sparkContext._jvm.System.gc()
 
 
 def partitions_for(df: DataFrame, rows: int, per_task: int) -> int:
