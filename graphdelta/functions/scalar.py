@@ -46,36 +46,20 @@ def missing_to_zero(value, sentinel: float = MISSING_SENTINEL) -> Column:
     return F.when(v == F.lit(sentinel), F.lit(0.0)).otherwise(v.cast("double"))
 
 
+def floor_div(x, p: int) -> Column:
+    """floor(x / p) of integers, exact over all 64-bit values: a division of doubles
+    rounds ids beyond 2**53 into the wrong tile.  A negative x goes through its
+    complement, which can't overflow."""
+    c, n = _c(x).cast("bigint"), F.lit(int(p)).cast("bigint")
+    return F.when(c >= 0, F.call_function("div", c, n)).otherwise(
+        F.bitwise_not(F.call_function("div", F.bitwise_not(c), n)))
+
+
 def flat_index(row, col, ncols) -> Column:
     """Row-major node id of a grid cell."""
     return (_c(row).cast("bigint") * _c(ncols) + _c(col)).cast("bigint")
 
 
-def sq_dist(a, b) -> Column:
-    """Squared Euclidean distance of two equal-length numeric arrays."""
-    diffs = F.zip_with(_c(a), _c(b), lambda x, y: (x.cast("double") - y.cast("double")) *
-                       (x.cast("double") - y.cast("double")))
-    return F.aggregate(diffs, F.lit(0.0), lambda acc, v: acc + v)
-
-
-def sq_dist_fixed(a, b, dims: int) -> Column:
-    """Squared distance of two arrays of known length ``dims``, unrolled into one
-    arithmetic expression (element access + arithmetic stay in whole-stage
-    codegen, unlike the lambda form).  Summed left to right, like ``sq_dist``."""
-    a, b = _c(a), _c(b)
-    out = None
-    for u in range(int(dims)):
-        d = a[u].cast("double") - b[u].cast("double")
-        out = d * d if out is None else out + d * d
-    return out if out is not None else F.lit(0.0)
-
-
-def rbf(d2, sigma) -> Column:
-    """Gaussian kernel weight exp(-d2 / (2 sigma^2))."""
-    s = _c(sigma) if not isinstance(sigma, (int, float)) else F.lit(float(sigma))
-    return F.exp(-_c(d2) / (F.lit(2.0) * s * s))
-
-
 def inv_degree(deg, power: float = -0.5) -> Column:
     """deg ** power with the division-by-zero case mapped to 0."""
     d = _c(deg)
@@ -87,17 +71,6 @@ def l2_norm(x) -> Column:
                               lambda acc, v: acc + v.cast("double") * v.cast("double")))
 
 
-def hash_sign(seed, *parts) -> Column:
-    """+1 / -1 with probability 1/2 from md5 of ``seed|part1|part2|...``.
-
-    Partition- and engine-independent (DuckDB's md5 gives the same draw), unlike
-    ``rand()``.  +1 when the first hex digit is below '8'.
-    """
-    key = F.concat_ws("|", *[(_c(p) if not isinstance(p, (int, float)) else F.lit(p))
-                            .cast("string") for p in (seed, *parts)])
-    return F.when(F.substring(F.md5(key), 1, 1) < F.lit("8"), F.lit(1.0)).otherwise(F.lit(-1.0))
-
-
 def hash_uniform(seed, *parts) -> Column:
     """Uniform draw in [0, 1) from the first 13 hex digits of md5(seed|parts)."""
     key = F.concat_ws("|", *[(_c(p) if not isinstance(p, (int, float)) else F.lit(p))

@@ -14,6 +14,8 @@ graphs only.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 
 from pyspark.sql import DataFrame
@@ -38,12 +40,12 @@ def chain_product(edges: DataFrame, d: int = DEFAULT_D, keys=("snapshot",)) -> D
               .join(isq.withColumnRenamed("node", "dst").withColumnRenamed("isq", "b"), ks + ["dst"])
               .select(*ks, "src", "dst", (F.col("a") * F.col("w") * F.col("b")).alias("w")))
     ident = _diag(deg.withColumn("one", F.lit(1.0)), ks, "one")
-    c = _diag(deg, ks, "isq")
-    for i in range(max(d, 1) - 1):
-        if i > 0:
-            s = matmul(s, s, ks).checkpoint(eager=True)
-        c = matmul(mat_add(s, ident, 1.0, ks), c, ks).checkpoint(eager=True)
-    return c
+    factors = max(d, 1) - 1
+    powers = list(itertools.accumulate(  # S, S^2, S^4, ...
+        range(1, factors), lambda p, _: matmul(p, p, ks).checkpoint(eager=True), initial=s))
+    return functools.reduce(
+        lambda c, p: matmul(mat_add(p, ident, 1.0, ks), c, ks).checkpoint(eager=True),
+        powers[:factors], _diag(deg, ks, "isq"))
 
 
 def richardson_solve(edges: DataFrame, b: DataFrame, tol: float = DEFAULT_TOL,

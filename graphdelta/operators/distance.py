@@ -19,12 +19,13 @@ from .walk import (BROADCAST_LIMIT, MAX_WIDTH, ROWS_PER_TASK, _fits, incidence_e
                    incidence_sketch, walk_series, xcols, vector_width)
 
 
-def solve_columns(edges: DataFrame, keys=("snapshot",), mode: str = "exact",
+def solve_columns(edges: DataFrame, keys=("snapshot",), mode: str = "sketch",
                   eps: float = DEFAULT_EPS, tol: float = DEFAULT_TOL, d: int = DEFAULT_D,
                   weight_power: float = 1.0, scope: str = "all",
                   block_size: int | None = None, seed: int = 0,
                   max_width: int = MAX_WIDTH, n_nodes: int | None = None,
-                  sign_hash: str = "md5", independent: bool = False) -> DataFrame:
+                  sign_hash: str = "md5", independent: bool = False,
+                  broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
     """The solved columns z ``(keys..., chunk, node, x...)`` for every graph."""
     ks = list(keys)
     half = half_edges(edges, ks, scope, block_size)
@@ -39,7 +40,7 @@ def solve_columns(edges: DataFrame, keys=("snapshot",), mode: str = "exact",
         b = incidence_sketch(half, k, ks, seed, weight_power, max_width, sign_hash, independent)
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    return walk_series(edges, b, series_length(tol, d), ks)
+    return walk_series(edges, b, series_length(tol, d), ks, broadcast_limit)
 
 
 def gather_pairs(pairs: DataFrame, z: DataFrame, keys=("snapshot",),
@@ -71,11 +72,12 @@ def gather_pairs(pairs: DataFrame, z: DataFrame, keys=("snapshot",),
 
 
 def pair_distance(edges: DataFrame, pairs: DataFrame | None = None, keys=("snapshot",),
-                  mode: str = "exact", eps: float = DEFAULT_EPS, tol: float = DEFAULT_TOL,
+                  mode: str = "sketch", eps: float = DEFAULT_EPS, tol: float = DEFAULT_TOL,
                   d: int = DEFAULT_D, weight_power: float = 1.0, scope: str = "all",
                   block_size: int | None = None, seed: int = 0,
                   n_nodes: int | None = None, sign_hash: str = "md5",
-                  materialize: bool = True) -> DataFrame:
+                  materialize: bool = True, independent: bool = False,
+                  broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Distances ``(keys..., i, j, d)``; default pairs = the graph's half edges in scope.
 
     ``materialize`` checkpoints the edge table first (it is read four times);
@@ -84,9 +86,10 @@ def pair_distance(edges: DataFrame, pairs: DataFrame | None = None, keys=("snaps
     if materialize:
         edges = edges.checkpoint(eager=True)
     z = solve_columns(edges, ks, mode, eps, tol, d, weight_power, scope, block_size, seed,
-                      n_nodes=n_nodes, sign_hash=sign_hash)
+                      n_nodes=n_nodes, sign_hash=sign_hash, independent=independent,
+                      broadcast_limit=broadcast_limit)
     if pairs is None:
         pairs = half_edges(edges, ks, scope, block_size).select(*ks, "i", "j")
-    dist = gather_pairs(pairs, z, ks)
+    dist = gather_pairs(pairs, z, ks, broadcast_limit)
     return (pairs.select(*ks, "i", "j").join(dist, ks + ["i", "j"], "left")
                  .select(*ks, "i", "j", F.coalesce(F.col("d"), F.lit(0.0)).alias("d")))

@@ -8,6 +8,8 @@ are evaluated by one batched job instead of one job per candidate.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,23 +34,32 @@ def squared_loss(diff: DataFrame, group_keys=()) -> DataFrame:
     return diff.groupBy(*gk).agg(F.sum(F.col("diff") * F.col("diff")).alias("loss"))
 
 
-def node_mismatch(truth_nodes: DataFrame, pred_nodes: DataFrame, group_keys=()) -> DataFrame:
+def node_mismatch(truth_nodes: DataFrame, pred_nodes: DataFrame, group_keys=(),
+                  groups: DataFrame | None = None) -> DataFrame:
     """Per group: nodes in exactly one of the two sets (C8), via a full outer
-    join -> ``(group_keys..., n_truth, n_pred, n_mismatch)``."""
+    join -> ``(group_keys..., n_truth, n_pred, n_mismatch)``.
+
+    Two empty sets agree.  Without keys there is always one row; with keys,
+    ``groups (group_keys...)`` names the groups that must have one even if both
+    of their sets are empty.
+    """
     gk = list(group_keys)
     t = truth_nodes.select(*gk, "node", F.lit(1).alias("_t"))
     p = pred_nodes.select(*gk, "node", F.lit(1).alias("_p"))
-    j = t.join(p, gk + ["node"], "full_outer")
-    return j.groupBy(*gk).agg(
+    counts = t.join(p, gk + ["node"], "full_outer").groupBy(*gk).agg(
         F.count("_t").alias("n_truth"), F.count("_p").alias("n_pred"),
-        F.sum(F.when(F.col("_t").isNull() | F.col("_p").isNull(), 1).otherwise(0))
-         .cast("bigint").alias("n_mismatch"))
+        F.count_if(F.col("_t").isNull() | F.col("_p").isNull()).alias("n_mismatch"))
+    if gk and groups is not None:
+        counts = groups.select(*gk).distinct().join(counts, gk, "left").na.fill(
+            0, ["n_truth", "n_pred", "n_mismatch"])
+    return counts
 
 
-def same_nodes(truth_nodes: DataFrame, pred_nodes: DataFrame, group_keys=()) -> DataFrame:
-    """Node-set equality (C8) -> ``(group_keys..., same BOOLEAN)``."""
-    m = node_mismatch(truth_nodes, pred_nodes, group_keys)
-    return m.select(*list(group_keys), (F.col("n_mismatch") == 0).alias("same"))
+def same_nodes(truth_nodes: DataFrame, pred_nodes: DataFrame, group_keys=(),
+               groups: DataFrame | None = None) -> DataFrame:
+    """Node-set equality (C8) -> ``(group_keys..., n_truth, n_pred, n_mismatch, same)``."""
+    m = node_mismatch(truth_nodes, pred_nodes, group_keys, groups)
+    return m.withColumn("same", F.col("n_mismatch") == 0)
 
 
 def rank_agreement(ranked: DataFrame, known: DataFrame, n: int, factor: float = 1.0,
@@ -56,7 +67,8 @@ def rank_agreement(ranked: DataFrame, known: DataFrame, n: int, factor: float =
     """1 - factor * sum (i - j)^2 / (N (N^2 - 1)).
 
     ``ranked`` / ``known``: ``(group_keys..., node, pos)``; a node of ``ranked``
-    missing from ``known`` takes position N.  The original used ``^`` (XOR) and
+    missing from ``known`` takes position N; with N = 1 there is nothing to order and
+    the agreement is 1.  The original used ``^`` (XOR) and
     integer division and had no factor 6; we compute the arithmetic it intended,
     with ``factor=6`` giving Spearman's rho.
     """
@@ -64,24 +76,24 @@ def rank_agreement(ranked: DataFrame, known: DataFrame, n: int, factor: float =
     k = known.select(*gk, "node", F.col("pos").alias("_kpos"))
     j = ranked.join(k, gk + ["node"], "left").withColumn(
         "_kpos", F.coalesce(F.col("_kpos"), F.lit(int(n)).cast("bigint")))
-    nn = float(n)
-    return j.groupBy(*gk).agg(
-        (F.lit(1.0) - F.lit(float(factor)) *
-         F.sum(F.pow(F.col("pos") - F.col("_kpos"), 2)) / F.lit(nn * (nn * nn - 1.0)))
-        .alias("rho"))
+    spread = float(n) * (float(n) * float(n) - 1.0)
+    off = j.groupBy(*gk).agg(F.sum(F.pow(F.col("pos") - F.col("_kpos"), 2)).alias("_off"))
+    rho = F.lit(1.0) - F.lit(float(factor)) * F.col("_off") / F.lit(spread) if spread else F.lit(1.0)
+    return off.select(*gk, rho.alias("rho"))
 
 
 def secant_step(trace: DataFrame, run: str = "run_id", first_step: float = 0.4) -> DataFrame:
     """Next sigma per trace row (E6): the first row of a run steps by +0.4, later
     rows take ``sigma - lr * (loss - prev_loss) / (sigma - prev_sigma)``.
 
-    Trace: ``(run_id, iter, sigma, loss, learning_rate)``; the window is per run
-    (one run = a few iterations).
+    A repeated sigma has no slope: the next one is NULL.  Trace: ``(run_id, iter,
+    sigma, loss, learning_rate)``; the window is per run (one run = a few iterations).
     """
     w = Window.partitionBy(run).orderBy("iter")
     prev_s = F.lag("sigma").over(w)
     prev_l = F.lag("loss").over(w)
-    step = F.col("sigma") - F.col("learning_rate") * (F.col("loss") - prev_l) / (F.col("sigma") - prev_s)
+    slope = F.try_divide(F.col("loss") - prev_l, F.col("sigma") - prev_s)
+    step = F.col("sigma") - F.col("learning_rate") * slope
     return trace.withColumn("next_sigma",
                             F.when(prev_s.isNull(), F.col("sigma") + F.lit(first_step))
                              .otherwise(step))
@@ -101,8 +113,38 @@ def trace_summary(trace: DataFrame, by: str = "learning_rate") -> DataFrame:
         F.min_by("iter", F.struct("loss", "iter")).alias("argmin_iter"))
 
 
+def _detected(points: DataFrame, keys, s1, s2, snapshot: str, min_weight: float,
+              detect_opts: dict) -> tuple[DataFrame, DataFrame]:
+    """Graph and detection of ``points (keys..., sigma, snapshot, node, x)``."""
+    ks = list(keys)
+    graph = ks if "sigma" in ks else ks + ["sigma"]
+    edges = rbf_graph(points, "sigma", min_weight, keys=graph + [snapshot])
+    flagged, nodes = detect(edges.select(*ks, snapshot, "src", "dst", "w"), s1, s2, ks, snapshot,
+                            **detect_opts)
+    return flagged.checkpoint(eager=True), nodes.checkpoint(eager=True)
+
+
+def _compared(flagged: DataFrame, nodes: DataFrame, truth: DataFrame, truth_nodes: DataFrame,
+              groups: DataFrame, keys) -> DataFrame:
+    """``(groups..., loss, same, n_nodes)``; the truth carries the keys, one copy for
+    each group."""
+    ks = list(keys)
+    loss = squared_loss(edge_diff(truth, flagged, ks), ks)
+    same = same_nodes(truth_nodes, nodes, ks, groups)
+    return groups.join(loss, ks, "left").join(same, ks, "left").select(
+        *groups.columns, F.coalesce("loss", F.lit(0.0)).alias("loss"), "same",
+        F.col("n_pred").cast("bigint").alias("n_nodes"))
+
+
+def _for_each(df: DataFrame, rows: list[tuple], names: list[str]) -> DataFrame:
+    """Every row of ``df`` with each of a few parameter rows (a literal list)."""
+    each = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names)]) for r in rows])
+    return df.withColumn("_each", F.explode(each)).select(
+        *df.columns, *[F.col(f"_each.{n}").alias(n) for n in names])
+
+
 def sigma_sweep(points: DataFrame, sigmas, truth_sigma: float, s1, s2,
-                snapshot: str = "snapshot", mode: str = "exact", threshold: float = 0.1,
+                snapshot: str = "snapshot", mode: str = "sketch", threshold: float = 0.1,
                 min_weight: float = 0.0, **detect_opts) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Evaluate every candidate sigma against the detection at ``truth_sigma``.
 
@@ -111,72 +153,63 @@ def sigma_sweep(points: DataFrame, sigmas, truth_sigma: float, s1, s2,
     ``(sigma, loss, same, n_nodes)``: the squared loss of the dE lists and
     whether the anomalous node sets match; the truth itself is included.
     """
-    cands = sorted(set(float(s) for s in sigmas) | {float(truth_sigma)})
-    arr = F.array(*[F.lit(s) for s in cands])
-    pts = points.withColumn("sigma", F.explode(arr))
-    edges = rbf_graph(pts, "sigma", min_weight, keys=["sigma", snapshot])
-    flagged, nodes = detect(edges, s1, s2, ["sigma"], snapshot, mode, threshold, **detect_opts)
-    truth = flagged.filter(F.col("sigma") == F.lit(float(truth_sigma))).drop("sigma")
-    truth_nodes = nodes.filter(F.col("sigma") == F.lit(float(truth_sigma))).drop("sigma")
-    sig = points.sparkSession.createDataFrame([(s,) for s in cands], "sigma double")
-    # the truth, once per candidate: (#candidates) x (truth rows), an equi-join on nothing
-    # else would be a cross product, so we explode the candidate list instead
-    truth_x = truth.withColumn("sigma", F.explode(arr))
-    tnodes_x = truth_nodes.withColumn("sigma", F.explode(arr))
-    loss = squared_loss(edge_diff(truth_x, flagged, ["sigma"]), ["sigma"])
-    same = node_mismatch(tnodes_x, nodes, ["sigma"])
-    summary = (sig.join(loss, "sigma", "left").join(same, "sigma", "left")
-                  .select("sigma", F.coalesce("loss", F.lit(0.0)).alias("loss"),
-                          (F.coalesce("n_mismatch", F.lit(0)) == 0).alias("same"),
-                          F.coalesce("n_pred", F.lit(0)).cast("bigint").alias("n_nodes")))
+    cands = [(s,) for s in sorted({float(s) for s in sigmas} | {float(truth_sigma)})]
+    flagged, nodes = _detected(
+        _for_each(points.checkpoint(eager=True), cands, ["sigma"]), ["sigma"], s1, s2, snapshot,
+        min_weight, dict(detect_opts, mode=mode, threshold=threshold))
+    at_truth = F.col("sigma") == F.lit(float(truth_sigma))
+    summary = _compared(flagged, nodes,
+                        _for_each(flagged.filter(at_truth).drop("sigma"), cands, ["sigma"]),
+                        _for_each(nodes.filter(at_truth).drop("sigma"), cands, ["sigma"]),
+                        points.sparkSession.createDataFrame(cands, "sigma double"), ["sigma"])
     return summary, flagged, nodes
 
 
 def evaluate_sigma(points: DataFrame, sigma: float, truth_sigma: float, s1, s2,
                    **kw) -> DataFrame:
-    """One candidate against the truth (G7): ``(sigma, loss, same, score)`` where
+    """One candidate against the truth (G7): ``(sigma, loss, same, n_nodes, score)`` where
     score is 0 on a node-set match and the loss otherwise (the search objective)."""
     summary, _, _ = sigma_sweep(points, [sigma], truth_sigma, s1, s2, **kw)
     return (summary.filter(F.col("sigma") == F.lit(float(sigma)))
                    .withColumn("score", F.when(F.col("same"), F.lit(0.0)).otherwise(F.col("loss"))))
 
 
-def calibrate_sigma(points: DataFrame, truth_sigma: float, s1, s2, sigma0: float,
-                    learning_rate: float, iterations: int = 10, snapshot: str = "snapshot",
-                    mode: str = "exact", threshold: float = 0.1, **detect_opts) -> DataFrame:
-    """Secant search for sigma until the anomalous nodes match the truth.
+TRACE = "run_id int, learning_rate double, iter int, sigma double, loss double, same boolean"
 
-    A driver loop over Spark jobs; only the scalar loss and the match flag come
-    back per iteration.  The trace follows the original's layout: row 0 is
-    ``(0, sigma0, 0, lr)``, row i+1 holds the new sigma and the loss measured at
-    the previous one.  Stops when the nodes match (not on iteration 0), when
-    sigma does not move, or after ``iterations``.
+
+def calibrate_sigma(points: DataFrame, truth_sigma: float, s1, s2, starts, learning_rates,
+                    iterations: int = 20, snapshot: str = "snapshot", mode: str = "sketch",
+                    threshold: float = 0.1, min_weight: float = 0.0, **detect_opts) -> DataFrame:
+    """Secant search for sigma until the anomalous nodes match the truth (G9), from
+    every start with every learning rate -> the trace ``(run_id, learning_rate, iter,
+    sigma, loss, same)``, one row for each sigma tried.
+
+    The trace is the whole state.  Each round judges the current sigma of all open
+    runs in one batched pass (the run is a graph key), adds a row to each, and takes
+    their next sigma from ``secant_step``.  A run is closed by a match after its
+    first row, by a step that does not move or has no slope, at sigma 0, or after
+    ``iterations`` rounds.  Per round a row of scalars for each run reaches the driver.
     """
     spark = points.sparkSession
-    pts_t = points.withColumn("sigma", F.lit(float(truth_sigma)))
-    e_t = rbf_graph(pts_t, "sigma", 0.0, keys=["sigma", snapshot])
-    truth, truth_nodes = detect(e_t, s1, s2, ["sigma"], snapshot, mode, threshold, **detect_opts)
-    truth = truth.drop("sigma").checkpoint(eager=True)
-    truth_nodes = truth_nodes.drop("sigma").checkpoint(eager=True)
-    sigma, prev_sigma, prev_loss = float(sigma0), 0.0, None
-    rows = [(0, sigma, 0.0, float(learning_rate))]
+    opts = dict(detect_opts, mode=mode, threshold=threshold)
+    points = points.checkpoint(eager=True)
+    truth, truth_nodes = _detected(points.withColumn("sigma", F.lit(float(truth_sigma))), (), s1, s2,
+                                   snapshot, min_weight, opts)
+    rates = {i: float(lr) for i, (lr, _) in enumerate(itertools.product(learning_rates, starts))}
+    open_runs = {i: float(s) for i, (_, s) in enumerate(itertools.product(learning_rates, starts))}
+    trace: list[tuple] = []
     for it in range(iterations):
-        pts = points.withColumn("sigma", F.lit(sigma))
-        e = rbf_graph(pts, "sigma", 0.0, keys=["sigma", snapshot])
-        flagged, nodes = detect(e, s1, s2, ["sigma"], snapshot, mode, threshold, **detect_opts)
-        flagged, nodes = flagged.drop("sigma"), nodes.drop("sigma")
-        mism = node_mismatch(truth_nodes.withColumn("_g", F.lit(0)),
-                             nodes.withColumn("_g", F.lit(0)), ["_g"]).first()
-        same = mism is None or mism["n_mismatch"] == 0
-        if it > 0 and same:
-            break
-        loss = squared_loss(edge_diff(truth, flagged)).first()["loss"] or 0.0
-        if prev_loss is None:
-            new_sigma = sigma + 0.4
-        else:
-            new_sigma = sigma - learning_rate * (loss - prev_loss) / (sigma - prev_sigma)
-        rows.append((it + 1, new_sigma, float(loss), float(learning_rate)))
-        if new_sigma == sigma:
+        runs = [(i,) for i in open_runs]
+        at = spark.createDataFrame(list(open_runs.items()), "run_id int, sigma double")
+        flagged, nodes = _detected(_for_each(points, list(open_runs.items()), ["run_id", "sigma"]),
+                                   ["run_id"], s1, s2, snapshot, min_weight, opts)
+        judged = _compared(flagged, nodes, _for_each(truth, runs, ["run_id"]),
+                           _for_each(truth_nodes, runs, ["run_id"]), at, ["run_id"])
+        trace += [(r.run_id, rates[r.run_id], it, r.sigma, r.loss, r.same) for r in judged.collect()]
+        stepped = secant_step(spark.createDataFrame(trace, TRACE)).filter(F.col("iter") == it)
+        moves = stepped.filter((~F.col("same") | (F.col("iter") == 0))
+                               & (F.col("next_sigma") != F.col("sigma")) & (F.col("next_sigma") != 0))
+        open_runs = {r.run_id: r.next_sigma for r in moves.collect()}
+        if not open_runs:
             break
-        prev_loss, prev_sigma, sigma = loss, sigma, new_sigma
-    return spark.createDataFrame(rows, "iter int, sigma double, loss double, learning_rate double")
+    return spark.createDataFrame(trace, TRACE)

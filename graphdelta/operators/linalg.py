@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import floor_div
 from ..functions.scalar import inv_degree as _inv_degree
 
 
@@ -32,8 +33,7 @@ def scope_filter(scope: str = "all", block_size: int | None = None,
     if scope == "cross_block":
         if not block_size:
             raise ValueError("scope='cross_block' needs block_size")
-        p = F.lit(int(block_size))
-        return F.floor(F.col(i) / p) > F.floor(F.col(j) / p)
+        return floor_div(i, block_size) > floor_div(j, block_size)
     raise ValueError(f"unknown scope {scope!r}")
 
 
@@ -136,8 +136,8 @@ def tile_edges(edges: DataFrame, block_size: int, keys=("snapshot",)) -> DataFra
     """
     p = F.lit(int(block_size))
     return edges.select(*_k(keys),
-                        F.floor(F.col("src") / p).cast("int").alias("bi"),
-                        F.floor(F.col("dst") / p).cast("int").alias("bj"),
+                        floor_div("src", block_size).alias("bi"),
+                        floor_div("dst", block_size).alias("bj"),
                         F.pmod(F.col("src"), p).cast("int").alias("r"),
                         F.pmod(F.col("dst"), p).cast("int").alias("c"),
                         "w")

@@ -9,6 +9,7 @@ from ..functions.scalar import DEFAULT_D, DEFAULT_EPS, DEFAULT_THRESHOLD, DEFAUL
 from .distance import pair_distance
 from .linalg import scope_filter
 from .ordered import running_sum
+from .walk import BROADCAST_LIMIT
 
 
 def _with_key(df: DataFrame, keys) -> tuple[DataFrame, list[str], bool]:
@@ -58,20 +59,22 @@ def anomaly_cut(scores: DataFrame, threshold: float = DEFAULT_THRESHOLD, group_k
 
     A row is anomalous from the first row whose running sum exceeds the threshold
     (strictly) to the end.  When no running sum exceeds it the original flags
-    *every* row (``on_none='all'``); ``on_none='empty'`` flags none.
+    *every* row (``on_none='all'``); ``on_none='empty'`` flags none.  Whether one
+    exceeds it is read off the running sums themselves: a separately added total
+    may differ from the last of them by rounding.
     """
     df, gk, added = _with_key(scores, group_keys)
     rs = running_sum(df, value, [value, "i", "j"], gk, "running_sum", n_partitions)
-    totals = df.groupBy(*gk).agg(F.sum(value).alias("_total"))  # one row per group
-    out = rs.join(F.broadcast(totals), gk)
-    none_exceeds = F.col("_total") <= F.lit(float(threshold))
+    largest = rs.groupBy(*gk).agg(F.max("running_sum").alias("_largest"))  # one row per group
+    out = rs.join(largest, gk)
+    none_exceeds = F.col("_largest") <= F.lit(float(threshold))
     if on_none == "all":
         flag = (F.col("running_sum") > F.lit(float(threshold))) | none_exceeds
     elif on_none == "empty":
         flag = F.col("running_sum") > F.lit(float(threshold))
     else:
         raise ValueError(f"unknown on_none {on_none!r}")
-    out = out.withColumn("anomalous", flag).drop("_total")
+    out = out.withColumn("anomalous", flag).drop("_largest")
     return out.drop("_g") if added else out
 
 
@@ -84,16 +87,22 @@ def anomalous_nodes(flagged: DataFrame, group_keys=()) -> DataFrame:
 
 
 def detect(edges: DataFrame, s1, s2, group_keys=(), snapshot: str = "snapshot",
-           mode: str = "exact", threshold: float = DEFAULT_THRESHOLD, scope: str = "all",
+           mode: str = "sketch", threshold: float = DEFAULT_THRESHOLD, scope: str = "all",
            block_size: int | None = None, eps: float = DEFAULT_EPS, tol: float = DEFAULT_TOL,
            d: int = DEFAULT_D, weight_power: float = 1.0, seed: int = 0,
-           on_none: str = "all", n_nodes: int | None = None,
-           sign_hash: str = "md5") -> tuple[DataFrame, DataFrame]:
+           on_none: str = "all", n_nodes: int | None = None, sign_hash: str = "md5",
+           independent: bool = False,
+           broadcast_limit: int = BROADCAST_LIMIT) -> tuple[DataFrame, DataFrame]:
     """Two snapshots -> (scored changed pairs with the cut, anomalous nodes).
 
     Both snapshots (and every ``group_keys`` value, e.g. candidate sigmas) go
     through one batched walk.  Distances are computed only for the changed pairs
     that are edges of the snapshot -- the only ones the score reads.
+
+    ``mode='sketch'`` works on any graph; ``'exact'`` has a slot for every half edge,
+    so its vectors hold nodes x edges numbers: for small graphs only.  With
+    ``independent`` each snapshot draws its own signs.  Vectors of up to
+    ``broadcast_limit`` bytes, counted, are broadcast; the result is the same.
     """
     gk = list(group_keys)
     # The edge table feeds the change join, the incidence, the degrees and P:
@@ -104,7 +113,8 @@ def detect(edges: DataFrame, s1, s2, group_keys=(), snapshot: str = "snapshot",
              .unionByName(change.filter(F.col("w2").isNotNull())
                           .select(*gk, F.lit(s2).alias(snapshot), "i", "j")))
     dist = pair_distance(e, pairs, gk + [snapshot], mode, eps, tol, d, weight_power, scope,
-                         block_size, seed, n_nodes, sign_hash=sign_hash, materialize=False)
+                         block_size, seed, n_nodes, sign_hash=sign_hash, materialize=False,
+                         independent=independent, broadcast_limit=broadcast_limit)
     scores = delta_e(change, dist, s1, s2, gk, snapshot).checkpoint(eager=True)
     flagged = anomaly_cut(scores, threshold, gk, on_none=on_none)
     return flagged, anomalous_nodes(flagged, gk)

@@ -23,6 +23,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import floor_div
 from ..session import ensure_checkpoint_dir
 from .linalg import degree, row_normalize
 from .ordered import dense_index
@@ -70,8 +71,8 @@ def incidence_sketch(half: DataFrame, k: int, keys=("snapshot",), seed: int = 0,
     """B^T W Q for a k-column random +-1/sqrt(k) matrix Q (G1 + B12).
 
     Half edge (i, j, w) adds ``+w^p s/sqrt(k)`` at i and the negation at j, with
-    s = sign(md5("seed|i|j|t")) for slot t (first hex digit < '8' -> +1), the
-    draw DuckDB reproduces.  The ``"seed|i|j|"`` prefix is built once per edge.
+    the sign of slot t in hex digit t % 32 of md5("seed|i|j|t div 32") (below 8: +1),
+    a draw that DuckDB reproduces: one digest serves 32 slots, once per edge.
     ``sign_hash="xxhash64"`` draws s from Spark's xxhash64 instead: about 19x
     cheaper per draw, for production runs that need no SQL oracle.
     ``independent=True`` puts the graph keys into the hash, so each snapshot
@@ -83,17 +84,18 @@ def incidence_sketch(half: DataFrame, k: int, keys=("snapshot",), seed: int = 0,
     scale = 1.0 / math.sqrt(k)
     wv = F.pow(F.col("w"), F.lit(float(weight_power))) if weight_power != 1.0 else F.col("w")
     graph = [F.col(c).cast("string") for c in ks] if independent else []
-    e = (half.select(*ks, "i", "j", wv.alias("wv"),
-                     F.concat_ws("|", F.lit(str(seed)), *graph, F.col("i").cast("string"),
-                                 F.col("j").cast("string"), F.lit("")).alias("_pre"))
+    edge = F.concat_ws("|", F.lit(str(seed)), *graph, F.col("i").cast("string"),
+                       F.col("j").cast("string"), F.lit(""))
+    digits = F.concat(F.lit(""), *[F.md5(F.concat(edge, F.lit(str(b))))
+                                   for b in range(-(-k // 32) if sign_hash == "md5" else 0)])
+    e = (half.select(*ks, "i", "j", wv.alias("wv"), digits.alias("_digits"))
              .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(nch - 1)))))
     vals = []
     for u in range(width):
         t = F.col("chunk") * F.lit(width) + F.lit(u)
         if sign_hash == "md5":
-            # hex < "8" compares the first digit only: "7f.." < "8" < "80.."
-            hexd = F.md5(F.concat(F.col("_pre"), t.cast("string")))
-            sign = F.when(hexd < F.lit("8"), F.lit(1.0)).otherwise(F.lit(-1.0))
+            digit = F.substring(F.col("_digits"), t + 1, F.lit(1))
+            sign = F.when(digit < F.lit("8"), F.lit(1.0)).otherwise(F.lit(-1.0))
         elif sign_hash == "xxhash64":
             sign = F.when(F.xxhash64(F.lit(int(seed)), *(ks if independent else []), "i", "j", t) >= 0,
                           F.lit(1.0)).otherwise(F.lit(-1.0))
@@ -121,7 +123,7 @@ def incidence_exact(half: DataFrame, keys=("snapshot",), weight_power: float = 1
     if nch == 0:
         width = 1
     e = idx.select(*ks, "i", "j", "wv",
-                   (F.col("slot") / F.lit(width)).cast("int").alias("chunk"),
+                   floor_div("slot", width).cast("int").alias("chunk"),
                    F.pmod(F.col("slot"), F.lit(width)).cast("int").alias("col"))
     vals = [F.when(F.col("col") == F.lit(u), F.col("wv")).otherwise(F.lit(0.0)).alias(f"x{u}")
             for u in range(width)]
@@ -195,9 +197,11 @@ def walk_series(edges: DataFrame, b: DataFrame, K: int, keys=("snapshot",),
     nodes = deg.select(*ks, "node",
                        F.when(F.col("deg") != 0, F.lit(1.0) / F.col("deg"))
                         .otherwise(F.lit(0.0)).alias("inv"))
-    chunks = b.select(*ks, "chunk").distinct()
-    # every node of positive degree x every chunk of its graph (chunks: a handful per graph)
-    dense = nodes.join(F.broadcast(chunks), ks)
+    # every node of positive degree with every chunk of its graph: the chunks are
+    # numbered from 0, so their count per graph, one row each, says them all
+    chunks = b.groupBy(*ks).agg((F.max("chunk") + 1).alias("_n"))
+    dense = (nodes.join(chunks, ks)
+             .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n"))
     c = (dense.join(b, ks + ["chunk", "node"], "left")
               .select(*ks, "chunk", "node",
                       *[(F.coalesce(F.col(x), F.lit(0.0)) * F.col("inv")).alias(x) for x in cols]))
@@ -216,14 +220,13 @@ def walk_series(edges: DataFrame, b: DataFrame, K: int, keys=("snapshot",),
         # the configured shuffle partitions.  Hashing (src, dst), not src, keeps
         # a hub's edges spread too.
         m = edges.count()
-        n_chunks = chunks.count()
+        n_chunks = chunks.agg(F.sum("_n")).first()[0] or 0
         work_parts = max(1, math.ceil(m * max(n_chunks, 1) / ROWS_PER_TASK))
         P = (P.repartition(min(n_parts, work_parts), *ks, "src", "dst")
               .persist(StorageLevel.MEMORY_AND_DISK))
         hot = None
     else:
         P, hot = _salted_edges(P, ks, n_parts, min_bucket, bucket_rows)
-        walk_series.last_hot_count = hot.count()  # hub destinations split this run
     y = c
     for step in range(1, K):
         yv = y.withColumnRenamed("node", "dst")

@@ -45,8 +45,8 @@ def with_sql(ctes: list[tuple[str, str]], final: str) -> str:
 
 # ------------------------------------------------------------------ inputs
 
-def trade_ctes(years=Q.YEARS) -> list[tuple[str, str]]:
-    ys = ", ".join(str(y) for y in years)
+def trade_ctes(years=None) -> list[tuple[str, str]]:
+    only = f" AND year(o.o_orderdate) IN ({', '.join(map(str, years))})" if years else ""
     return [
         ("trade", f"""SELECT CAST(year(o.o_orderdate) AS INTEGER) AS snapshot,
        CAST(greatest(c.c_nationkey, s.s_nationkey) AS BIGINT) AS i,
@@ -55,7 +55,7 @@ def trade_ctes(years=Q.YEARS) -> list[tuple[str, str]]:
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 JOIN customer c ON o.o_custkey = c.c_custkey
 JOIN supplier s ON l.l_suppkey = s.s_suppkey
-WHERE c.c_nationkey <> s.s_nationkey AND year(o.o_orderdate) IN ({ys})
+WHERE c.c_nationkey <> s.s_nationkey{only}
 GROUP BY 1, 2, 3"""),
         ("edges", """SELECT snapshot, i AS src, j AS dst, w FROM trade WHERE w <> 0
 UNION ALL SELECT snapshot, j AS src, i AS dst, w FROM trade WHERE w <> 0"""),
@@ -81,53 +81,55 @@ FROM flows"""),
 
 
 def cube_cte() -> tuple[str, str]:
-    return ("cube", """SELECT CAST(user_id AS INTEGER) AS row,
-       CAST((day(ts) - 1) % 7 AS INTEGER) AS col,
-       CAST(floor((day(ts) - 1) / 7) AS INTEGER) AS slice,
+    return ("cube", """SELECT CAST(user_id AS BIGINT) AS row,
+       CAST(date_diff('day', DATE '1970-01-05', CAST(ts AS DATE)) % 7 AS INTEGER) AS col,
+       CAST(date_diff('day', DATE '1970-01-05', CAST(ts AS DATE)) // 7 AS INTEGER) AS slice,
        sum(value) AS value
 FROM events GROUP BY 1, 2, 3""")
 
 
-def clean_grid_ctes(week: int) -> list[tuple[str, str]]:
+def clean_grid_ctes() -> list[tuple[str, str]]:
     return [
         cube_cte(),
         ("ext", "SELECT max(user_id) + 1 AS nrows FROM events"),
-        ("cells", """SELECT CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col FROM
+        ("cells", """SELECT slice, CAST(r AS BIGINT) AS row, CAST(c AS INTEGER) AS col FROM
+  (SELECT DISTINCT slice FROM cube) ss,
   (SELECT unnest(range(0, nrows)) AS r FROM ext) rr,
   (SELECT unnest(range(0, 7)) AS c) cc"""),
-        ("dense", f"""SELECT cells.row, cells.col, coalesce(s.value, -9999.0) AS value
-FROM cells LEFT JOIN (SELECT row, col, value FROM cube WHERE slice = {week}) s
-ON cells.row = s.row AND cells.col = s.col"""),
-        ("clean", """SELECT row, col, CASE WHEN value = -9999.0 THEN 0.0 ELSE CAST(value AS DOUBLE) END AS value
+        ("dense", """SELECT cells.slice, cells.row, cells.col, coalesce(s.value, -9999.0) AS value
+FROM cells LEFT JOIN cube s
+ON cells.slice = s.slice AND cells.row = s.row AND cells.col = s.col"""),
+        ("clean", """SELECT slice, row, col, CASE WHEN value = -9999.0 THEN 0.0 ELSE CAST(value AS DOUBLE) END AS value
 FROM dense"""),
     ]
 
 
 def tiles_ctes(grid: str, keys, spacing: int = Q.GRID_SPACING, ncols: int = 7,
                name: str = "tiles") -> list[tuple[str, str]]:
-    """Downsample ``grid(keys..., row, col, value)``: all full tiles, mean of > 0."""
+    """Downsample ``grid(keys..., row, col, value)``: all tiles, the last ones smaller,
+    mean of > 0."""
     s = max(spacing, 1)
-    tc_n = ncols // s
+    tc_n = -(-ncols // s)
     return [
-        (f"{name}_n", f"SELECT CAST((max(user_id) + 1) // {s} AS BIGINT) AS tr_n FROM events"),
+        (f"{name}_n", f"SELECT CAST((max(user_id) + {s}) // {s} AS BIGINT) AS tr_n FROM events"),
         (f"{name}_all", f"""SELECT {kc(keys, 'g')}CAST(t AS BIGINT) AS node,
-       CAST(t // {tc_n} AS INTEGER) AS tr, CAST(t % {tc_n} AS INTEGER) AS tc
+       CAST(t // {tc_n} AS BIGINT) AS tr, CAST(t % {tc_n} AS BIGINT) AS tc
 FROM (SELECT unnest(range(0, tr_n * {tc_n})) AS t FROM {name}_n) tt,
      (SELECT DISTINCT {kl(keys) if keys else '1 AS one'} FROM {grid}) g"""),
-        (f"{name}_mean", f"""SELECT {kc(keys)}CAST(floor(row / {s}) AS INTEGER) AS tr,
-       CAST(floor(col / {s}) AS INTEGER) AS tc,
+        (f"{name}_mean", f"""SELECT {kc(keys)}CAST(row // {s} AS BIGINT) AS tr,
+       CAST(col // {s} AS BIGINT) AS tc,
        avg(CASE WHEN value > 0 THEN value END) AS m
 FROM {grid} GROUP BY ALL"""),
-        (name, f"""SELECT {kc(keys, 'a')}a.node, CAST(a.tr * {s} AS INTEGER) AS row,
+        (name, f"""SELECT {kc(keys, 'a')}a.node, CAST(a.tr * {s} AS BIGINT) AS row,
        CAST(a.tc * {s} AS INTEGER) AS col, coalesce(m.m, 0.0) AS value
 FROM {name}_all a LEFT JOIN {name}_mean m ON {on('a', 'm', keys, 'a.tr = m.tr AND a.tc = m.tc')}"""),
     ]
 
 
-def activity_tiles_ctes() -> list[tuple[str, str]]:
-    wk = ", ".join(str(w) for w in Q.WEEKS)
+def activity_tiles_ctes(weeks=None) -> list[tuple[str, str]]:
+    only = f" WHERE slice IN ({', '.join(map(str, weeks))})" if weeks else ""
     return [cube_cte(),
-            ("agrid", f"SELECT slice AS snapshot, row, col, value FROM cube WHERE slice IN ({wk})")
+            ("agrid", f"SELECT slice AS snapshot, row, col, value FROM cube{only}")
             ] + tiles_ctes("agrid", ["snapshot"], name="atiles")
 
 
@@ -148,7 +150,7 @@ WHERE w <> 0{extra}""")]
 def half_cte(E: str, keys, scope: str = "all", p: int | None = None, name: str = "half"):
     cond = "src > dst"
     if scope == "cross_block":
-        cond = f"floor(src / {p}) > floor(dst / {p})"
+        cond = f"src // {p} > dst // {p}"
     return (name, f"SELECT {kc(keys)}src AS i, dst AS j, w FROM {E} WHERE {cond} AND w <> 0")
 
 
@@ -170,7 +172,7 @@ def incidence_sketch_ctes(E: str, half: str, keys, name: str, eps: float = DEFAU
   (SELECT {kc(keys)}count(DISTINCT src) AS n FROM {E} GROUP BY ALL)"""),
         (name + "_t", f"SELECT unnest(range(0, k)) AS t FROM {name}_k"),
         (name + "_s", f"""SELECT {kc(keys, 'h')}h.i, h.j, tt.t,
-  (h.w * CASE WHEN substr(md5(concat_ws('|', {seed}, h.i, h.j, tt.t)), 1, 1) < '8'
+  (h.w * CASE WHEN substr(md5(concat_ws('|', {seed}, h.i, h.j, tt.t // 32)), 1 + CAST(tt.t % 32 AS INTEGER), 1) < '8'
               THEN 1.0 ELSE -1.0 END) * (1.0 / sqrt(kk.k)) AS v
 FROM {half} h, {name}_t tt, {name}_k kk"""),
         (name, f"""SELECT {kc(keys)}t AS slot, node, sum(x) AS x FROM (
@@ -215,21 +217,21 @@ JOIN {Z} zj ON {on('q', 'zj', keys, 'zj.node = q.j AND zj.slot = zi.slot')}
 GROUP BY ALL""")]
 
 
-def solve_ctes(E: str, keys, mode: str, name: str, scope="all", p=None) -> tuple[list, str]:
+def solve_ctes(E: str, keys, mode: str, name: str, scope="all", p=None, seed: int = 0) -> tuple[list, str]:
     ctes = [half_cte(E, keys, scope, p, name + "_half")]
     if mode == "exact":
         ctes += incidence_exact_ctes(name + "_half", keys, name + "_b")
     else:
-        ctes += incidence_sketch_ctes(E, name + "_half", keys, name + "_b")
+        ctes += incidence_sketch_ctes(E, name + "_half", keys, name + "_b", seed=seed)
     w, z = walk_ctes(E, name + "_b", keys, series_length(DEFAULT_TOL, DEFAULT_D), name + "_w")
     return ctes + w, z
 
 
 def detect_ctes(E: str, s1, s2, gk, mode: str, name: str, scope="all", p=None,
-                threshold: float = DEFAULT_THRESHOLD, snapshot: str = "snapshot") -> list:
+                threshold: float = DEFAULT_THRESHOLD, snapshot: str = "snapshot", seed: int = 0) -> list:
     """CTEs ending in ``{name}`` (scored pairs with the cut) and ``{name}_nodes``."""
     keys = list(gk) + [snapshot]
-    cond = "i > j" if scope == "all" else f"floor(i / {p}) > floor(j / {p})"
+    cond = "i > j" if scope == "all" else f"i // {p} > j // {p}"
     ctes = [
         (name + "_h", f"SELECT {kc(gk)}{snapshot}, src AS i, dst AS j, w FROM {E} WHERE src > dst"),
         (name + "_ch", f"""SELECT {kc(gk, 'a')}a.i, a.j, a.w1, b.w2,
@@ -251,7 +253,7 @@ WHERE abs_da <> 0 AND {cond}"""),
 UNION ALL SELECT {kc(gk)}{s2} AS {snapshot}, i, j FROM {name}_chg WHERE w2 IS NOT NULL"""),
         (name + "_E", f"SELECT * FROM {E} WHERE {snapshot} IN ({s1}, {s2})"),
     ]
-    solve, z = solve_ctes(name + "_E", keys, mode, name + "_s", scope, p)
+    solve, z = solve_ctes(name + "_E", keys, mode, name + "_s", scope, p, seed)
     ctes += solve
     ctes += distance_ctes(name + "_pairs", z, keys, name + "_dist")
     ctes += [
@@ -261,11 +263,10 @@ UNION ALL SELECT {kc(gk)}{s2} AS {snapshot}, i, j FROM {name}_chg WHERE w2 IS NO
 FROM {name}_chg c
 LEFT JOIN (SELECT * FROM {name}_dist WHERE {snapshot} = {s1}) d1 ON {on('c', 'd1', gk, 'd1.i = c.i AND d1.j = c.j')}
 LEFT JOIN (SELECT * FROM {name}_dist WHERE {snapshot} = {s2}) d2 ON {on('c', 'd2', gk, 'd2.i = c.i AND d2.j = c.j')}"""),
-        (name, f"""SELECT *, (running_sum > {threshold} OR total <= {threshold}) AS anomalous FROM (
-  SELECT *, sum(delta_e) OVER (PARTITION BY {kl(gk) if gk else '1'} ORDER BY delta_e, i, j
-             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_sum,
-         sum(delta_e) OVER (PARTITION BY {kl(gk) if gk else '1'}) AS total
-  FROM {name}_de)"""),
+        (name + "_run", f"""SELECT *, sum(delta_e) OVER (PARTITION BY {kl(gk) if gk else '1'}
+  ORDER BY delta_e, i, j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_sum FROM {name}_de"""),
+        (name, f"""SELECT *, (running_sum > {threshold} OR NOT bool_or(running_sum > {threshold})
+  OVER (PARTITION BY {kl(gk) if gk else '1'})) AS anomalous FROM {name}_run"""),
         (name + "_nodes", f"""SELECT DISTINCT {kc(gk)}node FROM (
   SELECT {kc(gk)}i AS node FROM {name} WHERE anomalous
   UNION ALL SELECT {kc(gk)}j AS node FROM {name} WHERE anomalous)"""),
@@ -281,8 +282,13 @@ def flag_select(name: str, keys=()) -> str:
 
 # ------------------------------------------------------------------ per query
 
-def _trade(final: str, extra=()) -> str:
-    return with_sql(trade_ctes() + list(extra), final)
+def _trade(final: str, extra=(), years=None) -> str:
+    return with_sql(trade_ctes(years) + list(extra), final)
+
+
+def _pair(final: str, extra=()) -> str:
+    """Over the two years that are compared."""
+    return _trade(final, extra, Q.YEARS)
 
 
 def sql_queries() -> dict[str, str]:
@@ -302,11 +308,20 @@ FROM (SELECT snapshot, src AS node, sum(w) AS deg FROM edges GROUP BY 1, 2)""")
 FROM edges GROUP BY snapshot""")
     out["half_edges_cross_block"] = _trade(
         f"SELECT snapshot, src AS i, dst AS j, {rnd('w', 'w')} FROM edges "
-        f"WHERE floor(src / {T}) > floor(dst / {T}) AND w <> 0")
+        f"WHERE src // {T} > dst // {T} AND w <> 0")
     out["tile_edges"] = _trade(
-        f"""SELECT snapshot, CAST(floor(src / {T}) AS INTEGER) AS bi, CAST(floor(dst / {T}) AS INTEGER) AS bj,
+        f"""SELECT snapshot, CAST(src // {T} AS BIGINT) AS bi, CAST(dst // {T} AS BIGINT) AS bj,
   CAST(src % {T} AS INTEGER) AS r, CAST(dst % {T} AS INTEGER) AS c, {rnd('w', 'w')} FROM edges""")
-    out["tiles_roundtrip"] = out["trade_edges"]
+    out["tiles_roundtrip"] = _trade(f"""SELECT snapshot, CAST(src // {T} AS BIGINT) AS bi,
+  CAST(dst // {T} AS BIGINT) AS bj, CAST({T} AS INTEGER) AS n_rows, CAST({T * T} AS INTEGER) AS n_cells,
+  CAST(count(*) AS INTEGER) AS n_entries, {rnd('sum(w)', 'total')},
+  {rnd(f'sum(CASE WHEN src % {T} = 0 AND dst % {T} = 1 THEN w ELSE 0.0 END)', 'second')}
+FROM edges GROUP BY ALL""")
+    out["whole_tile"] = out["trade_edges"]
+    ys = ", ".join(map(str, Q.YEARS))
+    out["stored_edge_list"] = _trade(f"SELECT snapshot, src, dst FROM edges WHERE snapshot IN ({ys})")
+    out["edge_order"] = _trade("""SELECT snapshot, src AS i, dst AS j,
+  row_number() OVER (PARTITION BY snapshot ORDER BY dst, src) - 1 AS place FROM edges WHERE src > dst""")
     out["matvec"] = _trade(
         f"""SELECT e.snapshot, e.src AS node, {rnd('sum(e.w * x.x)', 'x')}
 FROM edges e JOIN (SELECT snapshot, src AS node,
@@ -316,7 +331,7 @@ ON e.snapshot = x.snapshot AND e.dst = x.node GROUP BY 1, 2""")
         f"""SELECT snapshot, src, dst, {rnd('w', 'w')} FROM (
 SELECT a.snapshot, a.src, b.dst, sum(a.w * b.w) AS w FROM edges a JOIN edges b
 ON a.snapshot = b.snapshot AND a.dst = b.src GROUP BY 1, 2, 3) WHERE w <> 0""")
-    out["mat_subtract"] = _trade(
+    out["mat_subtract"] = _pair(
         f"""SELECT src, dst, {rnd('w', 'w')} FROM (
 SELECT src, dst, sum(w) AS w FROM (
   SELECT src, dst, w FROM edges WHERE snapshot = {S1}
@@ -351,8 +366,7 @@ SELECT snapshot, src, dst, sum(w) AS w FROM (
     # incidence projection (sketch), walk series (exact), pair distances
     ic = [half_cte("edges", K)] + incidence_sketch_ctes("edges", "half", K, "b")
     out["incidence_project"] = _trade(
-        f"SELECT snapshot, CAST(slot AS BIGINT) AS slot, node, {rnd('x', 'x')} FROM b "
-        f"WHERE round(x, {R}) <> 0", ic)
+        f"SELECT snapshot, CAST(slot AS BIGINT) AS slot, node, {rnd('x', 'x')} FROM b", ic)
     sc, z = solve_ctes("edges", K, "exact", "sv")
     out["walk_series"] = _trade(
         f"SELECT snapshot, CAST(slot AS BIGINT) AS slot, node, {rnd('x', 'x')} FROM {z}", sc)
@@ -364,37 +378,39 @@ SELECT snapshot, src, dst, sum(w) AS w FROM (
 FROM sv_half h LEFT JOIN dist d ON h.snapshot = d.snapshot AND h.i = d.i AND h.j = d.j""",
             sc + dc)
     # detection
-    dt = detect_ctes("edges", S1, S2, [], "exact", "det")
-    out["delta_e"] = _trade(
+    dt = detect_ctes("edges", S1, S2, [], "sketch", "det")
+    out["delta_e"] = _pair(
         f"SELECT i, j, {rnd('abs_da', 'abs_da')}, {rnd('d1', 'd1')}, {rnd('d2', 'd2')}, "
         f"{rnd('delta_e', 'delta_e')} FROM det_de", dt)
-    out["detect_trade"] = _trade(flag_select("det"), dt)
-    out["anomaly_cut"] = _trade(flag_select("det") + " WHERE anomalous", dt)
-    out["anomalous_nodes"] = _trade("SELECT CAST(node AS BIGINT) AS node FROM det_nodes", dt)
-    out["detect_trade_cross_block"] = _trade(
-        flag_select("det"), detect_ctes("edges", S1, S2, [], "exact", "det", "cross_block", T))
-    out["detect_trade_sketch"] = _trade(flag_select("det"),
-                                        detect_ctes("edges", S1, S2, [], "sketch", "det"))
-    out["detect_trade_empty_cut"] = _trade(
+    out["detect_trade"] = _pair(flag_select("det"), detect_ctes("edges", S1, S2, [], "exact", "det"))
+    out["stored_result"] = _pair(f"""SELECT i, j, {rnd('delta_e', 'delta_e')}, anomalous,
+  i IN (SELECT node FROM det_nodes) AS i_found, j IN (SELECT node FROM det_nodes) AS j_found FROM det""", dt)
+    out["anomaly_cut"] = _pair(flag_select("det") + " WHERE anomalous", dt)
+    out["anomalous_nodes"] = _pair("SELECT CAST(node AS BIGINT) AS node FROM det_nodes", dt)
+    out["detect_trade_cross_block"] = _pair(
+        flag_select("det"), detect_ctes("edges", S1, S2, [], "sketch", "det", "cross_block", T))
+    out["detect_trade_sketch"] = _pair(flag_select("det"), dt)
+    out["detect_trade_empty_cut"] = _pair(
         "SELECT CAST(node AS BIGINT) AS node FROM det_nodes",
-        detect_ctes("edges", S1, S2, [], "exact", "det", threshold=10.0))
+        detect_ctes("edges", S1, S2, [], "sketch", "det", threshold=10.0))
     # grids
     out["month_index"] = """SELECT CAST(CASE WHEN y BETWEEN 1982 AND 2002 AND m BETWEEN 0 AND 12
   THEN (y - 1982) * 12 + m - 1 END AS INTEGER) AS month_idx, count(*) AS n_orders
 FROM (SELECT year(o_orderdate) AS y, month(o_orderdate) AS m FROM orders) GROUP BY 1"""
     out["time_slice"] = with_sql([cube_cte()],
                                  f"SELECT row, col, {rnd('value', 'value')} FROM cube WHERE slice = {Q.WEEKS[1]}")
-    out["missing_to_zero"] = with_sql(clean_grid_ctes(Q.WEEKS[1]),
-                                      f"SELECT row, col, {rnd('value', 'value')} FROM clean")
-    out["downsample"] = with_sql(clean_grid_ctes(Q.WEEKS[1]) + tiles_ctes("clean", []),
-                                 f"SELECT node, row, col, {rnd('value', 'value')} FROM tiles")
+    out["missing_to_zero"] = with_sql(clean_grid_ctes(),
+                                      f"SELECT slice, row, col, {rnd('value', 'value')} FROM clean")
+    out["downsample"] = with_sql(clean_grid_ctes() + tiles_ctes("clean", ["slice"]),
+                                 f"SELECT slice, node, row, col, {rnd('value', 'value')} FROM tiles")
     at = activity_tiles_ctes()
     apts = ("apts", "SELECT snapshot, node, [CAST(value AS DOUBLE)] AS x FROM atiles")
     ag = rbf_ctes("apts", K, SIG, "agraph")
     out["rbf_graph_grid"] = with_sql(at + [apts] + ag,
                                      f"SELECT snapshot, src, dst, {rnd('w', 'w')} FROM agraph")
+    ag = rbf_ctes("apts", K, SIG, "agraph", Q.DETECT_MIN_WEIGHT)
     out["detect_activity"] = with_sql(
-        at + [apts] + ag + detect_ctes("agraph", Q.WEEKS[0], Q.WEEKS[1], [], "sketch", "det"),
+        activity_tiles_ctes(Q.WEEKS) + [apts] + ag + detect_ctes("agraph", Q.WEEKS[0], Q.WEEKS[1], [], "sketch", "det"),
         flag_select("det"))
     emb = ("pts", "SELECT CAST(vec_id AS BIGINT) AS node, CAST(embedding AS DOUBLE[]) AS x FROM embeddings")
     out["rbf_graph_vec"] = with_sql([emb] + rbf_ctes("pts", [], SIG, "g"),
@@ -427,14 +443,15 @@ UNION ALL SELECT 2 AS snapshot, node, list_transform(x, lambda v: v + shift) AS
     out["detect_perturbed"] = with_sql(pp, """SELECT CAST(coalesce(t.node, f.node) AS BIGINT) AS node,
   t.node IS NOT NULL AS planted, f.node IS NOT NULL AS found
 FROM top t FULL OUTER JOIN pdet_nodes f ON t.node = f.node""")
-    # evaluation: truth = exact detection, prediction = sketch detection
-    tp = detect_ctes("edges", S1, S2, [], "exact", "tru") + detect_ctes("edges", S1, S2, [], "sketch", "pre")
+    # evaluation: the detection under two seeds
+    tp = [c for seed, name in enumerate(("tru", "pre"))
+          for c in detect_ctes("edges", S1, S2, [], "sketch", name, threshold=Q.EVAL_THRESHOLD, seed=seed)]
     diff = ("diff", """SELECT coalesce(t.i, p.i) AS i, coalesce(t.j, p.j) AS j,
   coalesce(t.delta_e, 0.0) - coalesce(p.delta_e, 0.0) AS diff
 FROM tru t FULL OUTER JOIN pre p ON t.i = p.i AND t.j = p.j""")
-    out["edge_diff"] = _trade(f"SELECT i, j, {rnd('diff', 'diff')} FROM diff", tp + [diff])
-    out["squared_loss"] = _trade(f"SELECT {rnd('sum(diff * diff)', 'loss')} FROM diff", tp + [diff])
-    out["same_nodes"] = _trade("""SELECT count(t.node) AS n_truth, count(p.node) AS n_pred,
+    out["edge_diff"] = _pair(f"SELECT i, j, {rnd('diff', 'diff')} FROM diff", tp + [diff])
+    out["squared_loss"] = _pair(f"SELECT {rnd('sum(diff * diff)', 'loss')} FROM diff", tp + [diff])
+    out["same_nodes"] = _pair("""SELECT count(t.node) AS n_truth, count(p.node) AS n_pred,
   CAST(sum(CASE WHEN t.node IS NULL OR p.node IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_mismatch,
   sum(CASE WHEN t.node IS NULL OR p.node IS NULL THEN 1 ELSE 0 END) = 0 AS same
 FROM tru_nodes t FULL OUTER JOIN pre_nodes p ON t.node = p.node""", tp)
@@ -445,7 +462,7 @@ FROM tru_nodes t FULL OUTER JOIN pre_nodes p ON t.node = p.node""", tp)
   (SELECT node, max(delta_e) AS score FROM (SELECT i AS node, delta_e FROM tru UNION ALL
    SELECT j AS node, delta_e FROM tru) GROUP BY node)"""),
              ("nn", "SELECT CAST(count(DISTINCT src) AS DOUBLE) AS n FROM edges")]
-    out["rank_agreement"] = _trade(
+    out["rank_agreement"] = _pair(
         f"""SELECT {rnd('1.0 - 6.0 * sum(pow(p.pos - coalesce(t.pos, nn.n), 2)) / (max(nn.n) * (max(nn.n) * max(nn.n) - 1.0))', 'rho')}
 FROM rk_p p LEFT JOIN rk_t t ON p.node = t.node, nn""", tp + ranks)
     # sigma sweep over nation trade profiles
@@ -455,7 +472,7 @@ FROM rk_p p LEFT JOIN rk_t t ON p.node = t.node, nn""", tp + ranks)
         ("sigmas", f"SELECT * FROM (VALUES {sig_vals}) t(sigma)"),
         ("spts", "SELECT s.sigma, p.snapshot, p.node, p.x FROM points p, sigmas s"),
     ] + rbf_ctes("spts", ["sigma", "snapshot"], "a.sigma", "sg") \
-      + detect_ctes("sg", S1, S2, ["sigma"], "exact", "sw") + [
+      + detect_ctes("sg", S1, S2, ["sigma"], "sketch", "sw", threshold=Q.SWEEP_THRESHOLD) + [
         ("tr", f"SELECT * FROM sw WHERE sigma = {Q.SIGMA!r}"),
         ("trn", f"SELECT * FROM sw_nodes WHERE sigma = {Q.SIGMA!r}"),
         ("loss", """SELECT s.sigma, sum(diff * diff) AS loss FROM sigmas s JOIN (
@@ -471,12 +488,20 @@ FULL OUTER JOIN sw_nodes p ON t.sigma = p.sigma AND t.node = p.node GROUP BY 1""
         ("summary", """SELECT s.sigma, coalesce(l.loss, 0.0) AS loss,
   coalesce(m.n_mismatch, 0) = 0 AS same, CAST(coalesce(m.n_pred, 0) AS BIGINT) AS n_nodes
 FROM sigmas s LEFT JOIN loss l ON s.sigma = l.sigma LEFT JOIN mm m ON s.sigma = m.sigma"""),
-        ("trace", f"""SELECT 0 AS run_id, CAST(row_number() OVER (ORDER BY sigma) - 1 AS INTEGER) AS iter,
-  sigma, loss, {Q.LEARNING_RATE!r} AS learning_rate FROM summary WHERE sigma <> {Q.SIGMA!r}"""),
+        ("rates", f"""SELECT * FROM (VALUES {', '.join(f'({i}, CAST({lr!r} AS DOUBLE))' for i, lr in
+                                                  enumerate(Q.LEARNING_RATES))}) t(run_id, learning_rate)"""),
+        ("trace", f"""SELECT run_id, iter, sigma, loss, learning_rate FROM rates,
+  (SELECT CAST(row_number() OVER (ORDER BY sigma) - 1 AS INTEGER) AS iter, sigma, loss
+   FROM summary WHERE sigma <> {Q.SIGMA!r})"""),
     ]
     out["sigma_sweep"] = with_sql(
         sw, f"SELECT {rnd('sigma', 'sigma')}, {rnd('loss', 'loss')}, same, n_nodes FROM summary")
-    out["secant_step"] = with_sql(sw, f"""SELECT iter, {rnd('sigma', 'sigma')}, {rnd('loss', 'loss')},
+    out["evaluate_sigma"] = with_sql(sw, f"""SELECT {rnd('sigma', 'sigma')}, {rnd('loss', 'loss')}, same, n_nodes,
+  {rnd('CASE WHEN same THEN 0.0 ELSE loss END', 'score')} FROM summary WHERE sigma = {Q.SWEEP[2]!r}""")
+    out["stored_trace"] = with_sql(
+        sw, f"SELECT run_id, iter, {rnd('sigma', 'sigma')}, {rnd('loss', 'loss')}, "
+            f"{rnd('learning_rate', 'learning_rate')} FROM trace")
+    out["secant_step"] = with_sql(sw, f"""SELECT run_id, iter, {rnd('sigma', 'sigma')}, {rnd('loss', 'loss')},
   {rnd('CASE WHEN ps IS NULL THEN sigma + 0.4 ELSE sigma - learning_rate * (loss - pl) / (sigma - ps) END', 'next_sigma')}
 FROM (SELECT *, lag(sigma) OVER (PARTITION BY run_id ORDER BY iter) AS ps,
              lag(loss) OVER (PARTITION BY run_id ORDER BY iter) AS pl FROM trace)""")

@@ -4,9 +4,10 @@ from them) and returns a DataFrame with rounded doubles and explicit types.
 Inputs, fixed for every query (chosen so the driver tables exercise the method):
 
 * trade graph: nations as nodes, ``sum(l_quantity)/1000`` per order year as the
-  weight of a nation pair, snapshots 1997 and 1998;
+  weight of a nation pair; every year is a snapshot, and where two snapshots are
+  compared they are 1997 and 1998;
 * activity grid: events as ``row = user_id``, ``col = day of week``, one slice per
-  week; weeks 0 and 1 are the two snapshots;
+  week; where two weeks are compared they are the first two of January 2024;
 * embedding points: ``embeddings.embedding`` as 64-d points;
 * nation trade profiles: 2-d points per nation and year, for the sigma sweep.
 """
@@ -14,6 +15,7 @@ Inputs, fixed for every query (chosen so the driver tables exercise the method):
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,7 @@ from ..operators import kernel, linalg, perturb, score
 from ..operators.distance import pair_distance, solve_columns
 from ..operators.ordered import dense_index
 from ..operators.walk import incidence_sketch, vector_width, xcols
+from ..session import ensure_checkpoint_dir
 from ..sources import snapshots, tables
 
 # Parameters of the registered queries.
@@ -32,9 +35,12 @@ S1, S2 = YEARS
 TILE = 5                      # tile size for the cross_block scope and tiling
 SIGMA = 1.0 / math.sqrt(2.0)  # kernel width of the original runs
 SWEEP = (0.1, 0.25, 0.5, 1.0)
-LEARNING_RATE = 0.5
-GRID_SPACING = 2
-WEEKS = (0, 1)
+EVAL_THRESHOLD = 0.3          # flags some of the nodes under either seed
+SWEEP_THRESHOLD = 0.06        # flags some of the nodes at the truth, not all
+LEARNING_RATES, STARTS, ITERATIONS = (0.5, 20.0), (0.25, 1.0), 20
+GRID_SPACING = 7              # a tile is a week of seven users
+DETECT_MIN_WEIGHT = 0.1
+WEEKS = (2817, 2818)          # weeks since Monday, 5 January 1970
 ROUND = 9
 
 
@@ -44,6 +50,12 @@ def _r(c, name=None):
 
 
 def _edges(spark, sf):
+    """All order years."""
+    return tables.trade_edges(spark, sf)
+
+
+def _pair_edges(spark, sf):
+    """The two years that are compared."""
     return tables.trade_edges(spark, sf, YEARS)
 
 
@@ -90,9 +102,62 @@ def q_tile_edges(spark, sf):
     return t.select("snapshot", "bi", "bj", "r", "c", _r("w"))
 
 
+def _stored(spark, df: DataFrame, write) -> str:
+    """Where ``write(df, path)`` has put it: a fresh folder beside the checkpoints."""
+    path = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    write(df, path)
+    return path
+
+
 def q_tiles_roundtrip(spark, sf):
+    """Dense tiles as stored: size and content of each."""
     tiles = snapshots.to_tiles(_edges(spark, sf), TILE)
-    return snapshots.read_tiles(tiles).select("snapshot", "src", "dst", _r("w"))
+    path = _stored(spark, tiles, lambda t, p: t.write.parquet(p))
+    flat = F.flatten("values")
+    return spark.read.parquet(path).select(
+        "snapshot", "bi", "bj", F.size("values").alias("n_rows"), F.size(flat).alias("n_cells"),
+        F.size(F.filter(flat, lambda v: v != 0)).alias("n_entries"),
+        _r(F.aggregate(flat, F.lit(0.0), lambda a, v: a + v), "total"),
+        _r(F.element_at(flat, 2), "second"))
+
+
+def q_whole_tile(spark, sf):
+    """Every snapshot as one dense tile, written, read and turned back into edges."""
+    e = _edges(spark, sf)
+    n = e.agg(F.max("src")).first()[0] + 1
+    path = _stored(spark, snapshots.to_tiles(e, n), lambda t, p: t.write.parquet(p))
+    return snapshots.read_tiles(spark.read.parquet(path)).select("snapshot", "src", "dst", _r("w"))
+
+
+def q_stored_edge_list(spark, sf):
+    """The edge list without weights of two snapshots, from a stored graph."""
+    path = _stored(spark, _edges(spark, sf), lambda e, p: snapshots.write_snapshot(e, p, TILE))
+    return snapshots.edge_pairs(snapshots.read_snapshot(spark, path, YEARS))
+
+
+def q_stored_result(spark, sf):
+    """A detection's result, written as the truth and read back: the scored pairs, and
+    for each whether its ends are among the stored nodes."""
+    flagged, nodes = score.detect(_pair_edges(spark, sf), S1, S2)
+    base = _stored(spark, flagged, lambda f, p: snapshots.write_result(f, nodes, p, True)) + "/truth"
+    pairs, found = spark.read.parquet(base + "/delta_e"), spark.read.parquet(base + "/nodes")
+    ends = found.select(F.col("node"), F.lit(True).alias("known"))
+    return (pairs.join(ends.withColumnsRenamed({"node": "i", "known": "i_found"}), "i", "left")
+            .join(ends.withColumnsRenamed({"node": "j", "known": "j_found"}), "j", "left")
+            .select("i", "j", _r("delta_e"), "anomalous",
+                    F.coalesce("i_found", F.lit(False)).alias("i_found"),
+                    F.coalesce("j_found", F.lit(False)).alias("j_found")))
+
+
+def q_stored_trace(spark, sf):
+    path = _stored(spark, _sweep_trace(spark, sf), snapshots.write_trace)
+    return spark.read.parquet(path).select("run_id", "iter", _r("sigma"), _r("loss"), _r("learning_rate"))
+
+
+def q_edge_order(spark, sf):
+    """Place of every pair in the order in which edge lists are shown."""
+    h = linalg.half_edges(_edges(spark, sf))
+    return dense_index(h, ["j", "i"], ["snapshot"], "place").select("snapshot", "i", "j", "place")
 
 
 def q_matvec(spark, sf):
@@ -107,7 +172,7 @@ def q_matmul(spark, sf):
 
 
 def q_mat_subtract(spark, sf):
-    e = _edges(spark, sf)
+    e = _pair_edges(spark, sf)
     a = e.filter(F.col("snapshot") == S1).drop("snapshot")
     b = e.filter(F.col("snapshot") == S2).drop("snapshot")
     return linalg.mat_add(a, b, -1.0, keys=()).select("src", "dst", _r("w"))
@@ -129,8 +194,7 @@ def q_incidence_project(spark, sf):
     n = e.groupBy("snapshot").agg(F.countDistinct("src").alias("n")).agg(F.max("n")).first()[0]
     k = sketch_width(n)
     b = incidence_sketch(linalg.half_edges(e), k)
-    return (to_long(b, n_slots=k).select("snapshot", "slot", "node", _r("x"))
-            .filter(F.col("x") != 0))
+    return to_long(b, n_slots=k).select("snapshot", "slot", "node", _r("x"))
 
 
 def q_walk_series(spark, sf):
@@ -159,46 +223,47 @@ def _flag_out(flagged, keys=()):
 
 
 def q_delta_e(spark, sf):
-    e = _edges(spark, sf)
+    e = _pair_edges(spark, sf)
     ch = score.weight_change(e, S1, S2)
     pairs = (ch.filter(F.col("w1").isNotNull()).select(F.lit(S1).alias("snapshot"), "i", "j")
              .unionByName(ch.filter(F.col("w2").isNotNull())
                           .select(F.lit(S2).alias("snapshot"), "i", "j")))
-    dist = pair_distance(e, pairs, mode="exact")
+    dist = pair_distance(e, pairs)
     d = score.delta_e(ch, dist, S1, S2)
     return d.select("i", "j", _r("abs_da"), _r("d1"), _r("d2"), _r("delta_e"))
 
 
 def q_detect_trade(spark, sf):
-    flagged, _ = score.detect(_edges(spark, sf), S1, S2, mode="exact")
+    """Exactly, with a slot for every half edge: for graphs as small as this one."""
+    flagged, _ = score.detect(_pair_edges(spark, sf), S1, S2, mode="exact")
     return _flag_out(flagged)
 
 
 def q_anomaly_cut(spark, sf):
-    flagged, _ = score.detect(_edges(spark, sf), S1, S2, mode="exact")
+    flagged, _ = score.detect(_pair_edges(spark, sf), S1, S2)
     return _flag_out(flagged.filter("anomalous"))
 
 
 def q_anomalous_nodes(spark, sf):
-    _, nodes = score.detect(_edges(spark, sf), S1, S2, mode="exact")
+    _, nodes = score.detect(_pair_edges(spark, sf), S1, S2)
     return nodes.select(F.col("node").cast("bigint"))
 
 
 def q_detect_trade_cross_block(spark, sf):
-    flagged, _ = score.detect(_edges(spark, sf), S1, S2, mode="exact", scope="cross_block",
+    flagged, _ = score.detect(_pair_edges(spark, sf), S1, S2, scope="cross_block",
                               block_size=TILE)
     return _flag_out(flagged)
 
 
 def q_detect_trade_sketch(spark, sf):
-    flagged, _ = score.detect(_edges(spark, sf), S1, S2, mode="sketch")
+    flagged, _ = score.detect(_pair_edges(spark, sf), S1, S2)
     return _flag_out(flagged)
 
 
 def q_detect_trade_empty_cut(spark, sf):
     """A threshold no running sum reaches: 'all' flags every pair (the original),
     so the node set is every endpoint."""
-    _, nodes = score.detect(_edges(spark, sf), S1, S2, mode="exact", threshold=10.0)
+    _, nodes = score.detect(_pair_edges(spark, sf), S1, S2, threshold=10.0)
     return nodes.select(F.col("node").cast("bigint"))
 
 
@@ -220,28 +285,31 @@ def q_time_slice(spark, sf):
     return kernel.time_slice(cube, WEEKS[1]).select("row", "col", _r("value"))
 
 
-def _clean_slice(spark, sf, week):
+def _clean_weeks(spark, sf):
+    """All weeks, every cell: absent ones hold the missing value until it is cleaned."""
     nrows, ncols = _grid_extent(spark, sf)
-    s = kernel.time_slice(tables.activity_cube(spark, sf), week)
-    return kernel.clean_grid(kernel.dense_grid(s, nrows, ncols, fill=-9999.0)), nrows, ncols
+    cube = tables.activity_cube(spark, sf)
+    return kernel.clean_grid(kernel.dense_grid(cube, nrows, ncols, fill=-9999.0, keys=["slice"])), nrows, ncols
 
 
 def q_missing_to_zero(spark, sf):
-    g, _, _ = _clean_slice(spark, sf, WEEKS[1])
-    return g.select("row", "col", _r("value"))
+    g, _, _ = _clean_weeks(spark, sf)
+    return g.select("slice", "row", "col", _r("value"))
 
 
 def q_downsample(spark, sf):
-    g, nrows, ncols = _clean_slice(spark, sf, WEEKS[1])
-    t = kernel.downsample(g, GRID_SPACING, nrows, ncols)
-    return t.select("node", "row", "col", _r("value"))
+    g, nrows, ncols = _clean_weeks(spark, sf)
+    t = kernel.downsample(g, GRID_SPACING, nrows, ncols, keys=["slice"], tail="keep")
+    return t.select("slice", "node", "row", "col", _r("value"))
 
 
-def _activity_tiles(spark, sf):
+def _activity_tiles(spark, sf, weeks=None):
     nrows, ncols = _grid_extent(spark, sf)
-    cube = tables.activity_cube(spark, sf).filter(F.col("slice").isin(*WEEKS))
+    cube = tables.activity_cube(spark, sf)
+    if weeks:
+        cube = cube.filter(F.col("slice").isin(*weeks))
     grid = cube.select(F.col("slice").alias("snapshot"), "row", "col", "value")
-    return kernel.downsample(grid, GRID_SPACING, nrows, ncols, keys=["snapshot"])
+    return kernel.downsample(grid, GRID_SPACING, nrows, ncols, keys=["snapshot"], tail="keep")
 
 
 def q_rbf_graph_grid(spark, sf):
@@ -250,8 +318,9 @@ def q_rbf_graph_grid(spark, sf):
 
 
 def q_detect_activity(spark, sf):
-    g = kernel.grid_graph(_activity_tiles(spark, sf), SIGMA, keys=["snapshot"])
-    flagged, _ = score.detect(g, WEEKS[0], WEEKS[1], mode="sketch")
+    """Two weeks; weights under a tenth are cut, which keeps the graphs sparse."""
+    g = kernel.grid_graph(_activity_tiles(spark, sf, WEEKS), SIGMA, DETECT_MIN_WEIGHT, keys=["snapshot"])
+    flagged, _ = score.detect(g, WEEKS[0], WEEKS[1])
     return _flag_out(flagged)
 
 
@@ -296,27 +365,28 @@ def q_detect_perturbed(spark, sf):
 # ---------------------------------------------------------------- evaluation
 
 def _truth_and_pred(spark, sf):
-    e = _edges(spark, sf)
-    truth, tnodes = score.detect(e, S1, S2, mode="exact")
-    pred, pnodes = score.detect(e, S1, S2, mode="sketch")
-    return truth, tnodes, pred, pnodes
+    """The detection under two seeds: one is the truth, the other the prediction."""
+    e = _pair_edges(spark, sf).checkpoint(eager=True)
+    out = []
+    for seed in (0, 1):
+        flagged, nodes = score.detect(e, S1, S2, threshold=EVAL_THRESHOLD, seed=seed)
+        out += [flagged.checkpoint(eager=True), nodes.checkpoint(eager=True)]
+    return e, *out
 
 
 def q_edge_diff(spark, sf):
-    truth, _, pred, _ = _truth_and_pred(spark, sf)
+    _, truth, _, pred, _ = _truth_and_pred(spark, sf)
     return ev.edge_diff(truth, pred).select("i", "j", _r("diff"))
 
 
 def q_squared_loss(spark, sf):
-    truth, _, pred, _ = _truth_and_pred(spark, sf)
+    _, truth, _, pred, _ = _truth_and_pred(spark, sf)
     return ev.squared_loss(ev.edge_diff(truth, pred)).select(_r("loss"))
 
 
 def q_same_nodes(spark, sf):
-    _, tn, _, pn = _truth_and_pred(spark, sf)
-    m = ev.node_mismatch(tn.withColumn("g", F.lit(0)), pn.withColumn("g", F.lit(0)), ["g"])
-    return m.select(F.col("n_truth").cast("bigint"), F.col("n_pred").cast("bigint"),
-                    "n_mismatch", (F.col("n_mismatch") == 0).alias("same"))
+    _, _, tn, _, pn = _truth_and_pred(spark, sf)
+    return ev.same_nodes(tn, pn).select("n_truth", "n_pred", "n_mismatch", "same")
 
 
 def _node_ranks(flagged):
@@ -328,16 +398,14 @@ def _node_ranks(flagged):
 
 
 def q_rank_agreement(spark, sf):
-    truth, _, pred, _ = _truth_and_pred(spark, sf)
-    n = linalg.degree(_edges(spark, sf)).select("node").distinct().count()
-    rho = ev.rank_agreement(_node_ranks(pred).withColumn("g", F.lit(0)),
-                            _node_ranks(truth).withColumn("g", F.lit(0)), n, 6.0, ["g"])
-    return rho.select(_r("rho"))
+    e, truth, _, pred, _ = _truth_and_pred(spark, sf)
+    n = linalg.degree(e).select("node").distinct().count()
+    return ev.rank_agreement(_node_ranks(pred), _node_ranks(truth), n, 6.0).select(_r("rho"))
 
 
 def _sweep(spark, sf):
     pts = tables.nation_points(spark, sf, YEARS)
-    return ev.sigma_sweep(pts, SWEEP, SIGMA, S1, S2, mode="exact")
+    return ev.sigma_sweep(pts, SWEEP, SIGMA, S1, S2, threshold=SWEEP_THRESHOLD)
 
 
 def q_sigma_sweep(spark, sf):
@@ -345,17 +413,26 @@ def q_sigma_sweep(spark, sf):
     return summary.select(_r("sigma"), _r("loss"), "same", "n_nodes")
 
 
+def q_evaluate_sigma(spark, sf):
+    pts = tables.nation_points(spark, sf, YEARS)
+    one = ev.evaluate_sigma(pts, SWEEP[2], SIGMA, S1, S2, threshold=SWEEP_THRESHOLD)
+    return one.select(_r("sigma"), _r("loss"), "same", "n_nodes", _r("score"))
+
+
 def _sweep_trace(spark, sf):
+    """The candidates in order as the trace of one run for each learning rate."""
     summary, _, _ = _sweep(spark, sf)
     s = summary.filter(F.col("sigma") != F.lit(SIGMA))
     t = dense_index(s, ["sigma"], [], "iter")
-    return t.select(F.lit(0).alias("run_id"), F.col("iter").cast("int"), "sigma", "loss",
-                    F.lit(LEARNING_RATE).alias("learning_rate"))
+    rates = F.array(*[F.struct(F.lit(i).alias("run_id"), F.lit(float(lr)).alias("learning_rate"))
+                      for i, lr in enumerate(LEARNING_RATES)])
+    return t.select(F.col("iter").cast("int"), "sigma", "loss", F.explode(rates).alias("run")).select(
+        "run.run_id", "iter", "sigma", "loss", "run.learning_rate")
 
 
 def q_secant_step(spark, sf):
     s = ev.secant_step(_sweep_trace(spark, sf))
-    return s.select("iter", _r("sigma"), _r("loss"), _r("next_sigma"))
+    return s.select("run_id", "iter", _r("sigma"), _r("loss"), _r("next_sigma"))
 
 
 def q_trace_summary(spark, sf):
@@ -366,10 +443,11 @@ def q_trace_summary(spark, sf):
 
 
 def q_calibrate_sigma(spark, sf):
+    """Up to 20 rounds of four runs; the walk is the short one (d = 1) throughout."""
     pts = tables.nation_points(spark, sf, YEARS)
-    tr = ev.calibrate_sigma(pts, SIGMA, S1, S2, sigma0=1.0, learning_rate=LEARNING_RATE,
-                            iterations=3, mode="exact")
-    return tr.select("iter", _r("sigma"), _r("loss"), _r("learning_rate"))
+    tr = ev.calibrate_sigma(pts, SIGMA, S1, S2, STARTS, LEARNING_RATES, ITERATIONS,
+                            threshold=SWEEP_THRESHOLD, d=1)
+    return tr.select("run_id", "iter", _r("sigma"), _r("loss"), "same", _r("learning_rate"))
 
 
 QUERIES = {
@@ -380,6 +458,11 @@ QUERIES = {
     "half_edges_cross_block": q_half_edges_cross_block,
     "tile_edges": q_tile_edges,
     "tiles_roundtrip": q_tiles_roundtrip,
+    "whole_tile": q_whole_tile,
+    "stored_edge_list": q_stored_edge_list,
+    "stored_result": q_stored_result,
+    "stored_trace": q_stored_trace,
+    "edge_order": q_edge_order,
     "matvec": q_matvec,
     "matmul": q_matmul,
     "mat_subtract": q_mat_subtract,
@@ -412,6 +495,7 @@ QUERIES = {
     "same_nodes": q_same_nodes,
     "rank_agreement": q_rank_agreement,
     "sigma_sweep": q_sigma_sweep,
+    "evaluate_sigma": q_evaluate_sigma,
     "secant_step": q_secant_step,
     "trace_summary": q_trace_summary,
     "calibrate_sigma": q_calibrate_sigma,

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import floor_div
+
 EDGE_SCHEMA = "snapshot INT, src BIGINT, dst BIGINT, w DOUBLE"
 
 
@@ -43,8 +45,8 @@ def to_tiles(edges: DataFrame, block_size: int, keys=("snapshot",)) -> DataFrame
     ks = list(keys)
     p = int(block_size)
     t = edges.select(*ks,
-                     F.floor(F.col("src") / p).cast("int").alias("bi"),
-                     F.floor(F.col("dst") / p).cast("int").alias("bj"),
+                     floor_div("src", p).alias("bi"),
+                     floor_div("dst", p).alias("bj"),
                      F.pmod(F.col("src"), F.lit(p)).cast("int").alias("r"),
                      F.pmod(F.col("dst"), F.lit(p)).cast("int").alias("c"), "w")
     rows = (t.groupBy(*ks, "bi", "bj", "r")
@@ -67,8 +69,8 @@ def write_snapshot(edges: DataFrame, path: str, block_size: int | None = None,
     out = edges
     if block_size:
         p = int(block_size)
-        out = out.withColumn("bi", F.floor(F.col("src") / p).cast("int")) \
-                 .withColumn("bj", F.floor(F.col("dst") / p).cast("int"))
+        out = out.withColumn("bi", floor_div("src", p)) \
+                 .withColumn("bj", floor_div("dst", p))
     out.write.mode(mode).partitionBy("snapshot").parquet(path)
 
 

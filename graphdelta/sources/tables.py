@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import floor_div
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
@@ -23,15 +25,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _year_filter(col, years) -> F.Column:
-    """OR of [Jan 1, Jan 1 next year) ranges: pushable, unlike year(col) IN (...)."""
+    """OR of [Jan 1, Jan 1 next year) ranges: pushable, unlike year(col) IN (...).
+    ``None``: every year."""
+    if years is None:
+        return F.lit(True)
     conds = [(col >= F.lit(_dt.datetime(y, 1, 1))) & (col < F.lit(_dt.datetime(y + 1, 1, 1)))
              for y in sorted(set(int(y) for y in years))]
     return reduce(lambda a, b: a | b, conds)
 
 
-def trade_pairs(spark: SparkSession, sf_dir: str, years=(1997, 1998),
+def trade_pairs(spark: SparkSession, sf_dir: str, years=None,
                 scale: float = 1000.0) -> DataFrame:
-    """Undirected nation-pair trade volume per order year.
+    """Undirected nation-pair trade volume per order year (all years, or those given).
 
     ``(snapshot INT, i BIGINT, j BIGINT, w DOUBLE)`` with i > j: customer nation and
     supplier nation of every line item, sum(l_quantity) / scale per order year,
@@ -63,7 +68,7 @@ def symmetric(pairs: DataFrame, keys=("snapshot",), i="i", j="j", w="w") -> Data
                  .select(*ks, "_e.src", "_e.dst", "w"))
 
 
-def trade_edges(spark: SparkSession, sf_dir: str, years=(1997, 1998),
+def trade_edges(spark: SparkSession, sf_dir: str, years=None,
                 scale: float = 1000.0) -> DataFrame:
     """Trade graph edges ``(snapshot, src, dst, w)``, both directions, no zeros."""
     return symmetric(trade_pairs(spark, sf_dir, years, scale).filter(F.col("w") != 0))
@@ -77,20 +82,20 @@ def embedding_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def activity_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a cube ``(row INT, col INT, slice INT, value DOUBLE)``.
+    """Events as a cube ``(row BIGINT, col INT, slice INT, value DOUBLE)``.
 
-    row = user_id, slice = week of the month (0-based, days 1-7 -> 0, ...),
-    col = day within that week (0-6), value = sum of event values that day.
+    row = user_id, slice = week (weeks since Monday, 5 January 1970), col = day of
+    that week (0-6), value = sum of event values that day.
     """
     ev = table(spark, sf_dir, "events").select("user_id", "ts", "value")
-    day0 = F.dayofmonth("ts") - 1
-    return (ev.groupBy(F.col("user_id").cast("int").alias("row"),
-                       (day0 % 7).cast("int").alias("col"),
-                       F.floor(day0 / 7).cast("int").alias("slice"))
+    day = F.datediff(F.to_date("ts"), F.lit("1970-01-05"))
+    return (ev.groupBy(F.col("user_id").cast("bigint").alias("row"),
+                       F.pmod(day, F.lit(7)).cast("int").alias("col"),
+                       floor_div(day, 7).cast("int").alias("slice"))
               .agg(F.sum("value").alias("value")))
 
 
-def nation_points(spark: SparkSession, sf_dir: str, years=(1997, 1998),
+def nation_points(spark: SparkSession, sf_dir: str, years=None,
                   scale: float = 1000.0) -> DataFrame:
     """Trade profile of every nation per order year as a 2-D point
     ``(snapshot INT, node BIGINT, x ARRAY<DOUBLE>)``:

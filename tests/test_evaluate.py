@@ -27,13 +27,52 @@ def test_sigma_sweep_truth_row(spark):
     assert flagged.select("sigma").distinct().count() == 3
 
 
-def test_calibrate_trace_layout(spark):
+def test_calibration_follows_the_secant_rule(spark):
+    """Every run against the rule worked out from single evaluations; the threshold
+    flags some of the nodes at the truth and not all."""
+    pts = _points(spark, 1, 8).checkpoint()
+    truth = 1.0
+    starts, rates, rounds = (0.5, 2.0), (0.5, 3.0), 3
+    _, flagged, _ = ev.sigma_sweep(pts, [], truth, 1, 2, mode="exact")
+    sums = sorted(r.running_sum for r in flagged.select("running_sum").collect())
+    opts = dict(mode="exact", threshold=sums[-3])
+    _, _, nodes = ev.sigma_sweep(pts, [], truth, 1, 2, **opts)
+    assert 0 < nodes.count() < 8
+    trace = ev.calibrate_sigma(pts, truth, 1, 2, starts, rates, rounds, **opts).collect()
+    runs = {}
+    for r in trace:
+        runs.setdefault(r.run_id, []).append(r)
+    assert len(runs) == 4
+    judged = {}
+    sigmas = sorted({r.sigma for r in trace})
+    summary, _, _ = ev.sigma_sweep(pts, sigmas, truth, 1, 2, **opts)
+    for r in summary.collect():
+        judged[r.sigma] = r
+    moved = 0
+    for run, (lr, start) in enumerate((lr, s) for lr in rates for s in starts):
+        rows = sorted(runs[run], key=lambda r: r.iter)
+        assert rows[0].sigma == start and {r.learning_rate for r in rows} == {lr}
+        for n, r in enumerate(rows):
+            assert r.iter == n and r.loss == pytest.approx(judged[r.sigma].loss) and r.same == judged[r.sigma].same
+            if n == 0:
+                step = r.sigma + 0.4
+            else:
+                p = rows[n - 1]
+                step = r.sigma - lr * (r.loss - p.loss) / (r.sigma - p.sigma)
+                moved += 1
+            if n + 1 < len(rows):
+                assert not (r.same and n > 0) and rows[n + 1].sigma == pytest.approx(step)
+            else:
+                assert n == rounds - 1 or (r.same and n > 0) or step in (r.sigma, 0.0)
+    assert moved >= 3
+
+
+def test_one_sigma_is_scored_by_loss_or_match(spark):
     pts = _points(spark, 1, 8)
-    tr = ev.calibrate_sigma(pts, 1.0, 1, 2, sigma0=0.5, learning_rate=0.5, iterations=2)
-    rows = tr.orderBy("iter").collect()
-    assert rows[0].iter == 0 and rows[0].sigma == 0.5 and rows[0].loss == 0.0
-    assert rows[1].sigma == pytest.approx(0.9)          # first step: sigma + 0.4
-    assert len(rows) <= 3
+    r = ev.evaluate_sigma(pts, 1.0, 1.0, 1, 2, mode="exact", threshold=0.05).first()
+    assert r.same and r.loss == 0.0 and r.score == 0.0
+    r = ev.evaluate_sigma(pts, 0.2, 1.0, 1, 2, mode="exact", threshold=0.05).first()
+    assert r.loss > 0 and r.score == (0.0 if r.same else r.loss)
 
 
 def test_top_fraction_and_perturb(spark):

@@ -5,9 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphdelta.functions.scalar import (hash_sign, month_index, series_length, sketch_width)
+from graphdelta.functions.scalar import floor_div, month_index, series_length, sketch_width
 from graphdelta.operators import evaluate as ev
-from graphdelta.operators import kernel, linalg
+from graphdelta.operators import kernel, linalg, perturb, score
 from graphdelta.operators.ordered import dense_index, running_sum
 from graphdelta.operators.walk import incidence_exact, walk_series, xcols
 from graphdelta.sources import snapshots
@@ -21,9 +21,23 @@ def test_sketch_width_and_series_length():
     assert [series_length(t, d) for t, d in ((1e-2, 3), (1e-2, 1), (1e-4, 3), (0.5, 3))] == [12, 3, 32, 0]
 
 
-def test_md5_sign(spark):
-    df = spark.range(6).select(hash_sign(F.col("id"), F.lit(3)).alias("s"))
-    assert [r.s for r in df.orderBy(F.monotonically_increasing_id()).collect()] == [-1, -1, 1, 1, 1, 1]
+def test_floor_div_is_exact_for_all_ids(spark):
+    ids = [0, 1, 7, -1, -7, -8, 2**55 - 1, -2**55 - 1, 2**63 - 1, -2**63]
+    df = spark.createDataFrame([(i,) for i in ids], "id BIGINT")
+    for p in (1, 7, 2**30):
+        got = {r.id: r.q for r in df.select("id", floor_div("id", p).alias("q")).collect()}
+        assert got == {i: i // p for i in ids}
+
+
+def test_tiles_and_scope_of_large_ids(spark):
+    p, far = 2**30, 2**55 - 1
+    e = spark.createDataFrame([(1, far, far - p, 1.0), (1, far, far + 1, 1.0)],
+                              "snapshot INT, src BIGINT, dst BIGINT, w DOUBLE")
+    t = {(r.bi, r.bj) for r in linalg.tile_edges(e, p).collect()}
+    assert t == {(far // p, (far - p) // p), (far // p, (far + 1) // p)}
+    back = e.select("snapshot", F.col("dst").alias("src"), F.col("src").alias("dst"), "w").union(e)
+    half = {(r.i, r.j) for r in linalg.half_edges(back, scope="cross_block", block_size=p).collect()}
+    assert half == {(far, far - p), (far + 1, far)}
 
 
 def test_month_index(spark):
@@ -225,3 +239,55 @@ def test_rbf_rejects_mixed_dimensions(spark):
     pts = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0])], "node BIGINT, x ARRAY<DOUBLE>")
     with pytest.raises(ValueError):
         kernel.rbf_graph(pts, SIG)
+
+
+def test_downsample_tails_keys_and_counted_elements(spark):
+    df = spark.createDataFrame([(s, r, c, float((r * 5 + c) % 4 - 1)) for s in (1, 2) for r in range(5)
+                                for c in range(5)], "s INT, row BIGINT, col INT, value DOUBLE")
+    for tail, keep, n in (("drop", "positive", 4), ("keep", "positive", 9), ("keep", "nonzero", 9)):
+        got = {(r.s, r.row, r.col): r.value
+               for r in kernel.downsample(df, 2, 5, 5, ["s"], tail, keep).collect()}
+        assert len(got) == 2 * n
+        for (_, r0, c0), v in got.items():
+            cells = [float((r * 5 + c) % 4 - 1) for r in range(r0, min(r0 + 2, 5)) for c in range(c0, min(c0 + 2, 5))]
+            cells = [x for x in cells if (x > 0 if keep == "positive" else x != 0)]
+            assert v == pytest.approx(sum(cells) / len(cells) if cells else 0.0)
+
+
+def test_cut_reads_the_running_sum_itself(spark):
+    """0.1 + 0.2 + 0.3 is 0.6000000000000001 in order, 0.6 otherwise: one row is past 0.6."""
+    df = spark.createDataFrame([(1, 0, 0.3), (2, 0, 0.2), (3, 0, 0.1)], "i BIGINT, j BIGINT, delta_e DOUBLE")
+    got = {r.i: r.anomalous for r in score.anomaly_cut(df, 0.6).collect()}
+    assert got == {1: True, 2: False, 3: False}
+    assert all(r.anomalous for r in score.anomaly_cut(df, 0.7).collect())
+
+
+def test_top_fraction_counts_each_key(spark):
+    pts = spark.createDataFrame([(g, i, [float(i)]) for g, n in ((1, 20), (2, 40)) for i in range(n)],
+                                "g INT, node BIGINT, x ARRAY<DOUBLE>")
+    got = sorted((r.g, r.node) for r in perturb.top_fraction(pts, 0.1, ["g"]).collect())
+    assert got == [(1, 18), (1, 19), (2, 36), (2, 37), (2, 38), (2, 39)]
+
+
+def test_empty_node_sets_agree(spark):
+    none = spark.createDataFrame([], "node BIGINT")
+    assert ev.same_nodes(none, none).first().same
+    keyed = spark.createDataFrame([(1, 5)], "g INT, node BIGINT")
+    groups = spark.createDataFrame([(1,), (2,)], "g INT")
+    got = {r.g: (r.n_truth, r.n_pred, r.same) for r in ev.same_nodes(keyed, keyed.limit(0), ["g"], groups).collect()}
+    assert got == {1: (1, 0, False), 2: (0, 0, True)}
+
+
+def test_degenerate_steps_and_ranks(spark):
+    tr = spark.createDataFrame([(0, 0, 1.0, 2.0, 0.5), (0, 1, 1.0, 3.0, 0.5)],
+                               "run_id INT, iter INT, sigma DOUBLE, loss DOUBLE, learning_rate DOUBLE")
+    assert {r.iter: r.next_sigma for r in ev.secant_step(tr).collect()} == {0: 1.4, 1: None}
+    one = spark.createDataFrame([(7, 0)], "node BIGINT, pos BIGINT")
+    assert ev.rank_agreement(one, one, 1, 6.0).first().rho == 1.0
+
+
+def test_crowded_cells_are_split_before_any_join_by_cell(spark):
+    """All points in one cell: sub-blocks of block_rows, and the same graph."""
+    pts = spark.createDataFrame([(i, [i / 1000.0, 0.0]) for i in range(60)], "node BIGINT, x ARRAY<DOUBLE>")
+    a, b = ({(r.src, r.dst): r.w for r in kernel.rbf_graph(pts, SIG, block_rows=n).collect()} for n in (7, 1000))
+    assert a == b and len(a) == 60 * 59
