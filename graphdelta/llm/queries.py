@@ -1,10 +1,11 @@
-"""Registered queries of the numbered operators, over the whole tables, and the
-DuckDB SQL of those that SQL can express."""
+"""Registered queries of the numbered operators, over the whole tables; ``SQL`` is
+the DuckDB SQL of those that SQL can express."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from graphdelta.llm.common import documents
+from graphdelta.llm.sql import SQL
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +67,4 @@ QUERIES = {f.__name__: f for f in (
     op5_document_fingerprints, op6_packing, op7_suffix_array_dedup, op8_substring_dedup,
     op9_line_dedup, op10_toxicity)}
 
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
