@@ -20,6 +20,27 @@ def _k(keys) -> list[str]:
     return list(keys or [])
 
 
+HUB_ROWS = 100_000  # rows of one join key that a task takes
+
+
+def hub_join(big: DataFrame, small: DataFrame, on: list[str], by: str,
+             bucket: int = HUB_ROWS) -> DataFrame:
+    """Inner join in which a key with more than ``bucket`` rows of ``big`` (a hub) is
+    split by hash of the column ``by``; its rows of ``small`` go to every part.
+
+    The table of hubs has at most rows / ``bucket`` rows, so Spark measures it as
+    small and broadcasts it; keys that are no hubs stay whole.
+    """
+    hubs = (big.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > bucket)
+            .select(*on, F.ceil(F.col("_n") / F.lit(bucket)).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = (big.join(hubs, on, "left")
+             .withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts"))
+    spread = (small.join(hubs, on, "left")
+              .withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts"))
+    return dealt.join(spread, on + ["_part"]).drop("_part")
+
+
 def scope_filter(scope: str = "all", block_size: int | None = None,
                  i: str = "i", j: str = "j") -> F.Column:
     """Which canonical pairs (i > j) take part.
@@ -56,18 +77,18 @@ def inv_degree(edges: DataFrame, keys=("snapshot",), power: float = -0.5) -> Dat
                                       _inv_degree("deg", power).alias("inv"))
 
 
-def row_normalize(edges: DataFrame, keys=("snapshot",)) -> DataFrame:
+def row_normalize(edges: DataFrame, keys=("snapshot",), bucket: int = HUB_ROWS) -> DataFrame:
     """Transition matrix P = D^-1 A as ``(keys..., src, dst, p)``."""
     ks = _k(keys)
     deg = degree(edges, keys).withColumnRenamed("node", "src")
-    return (edges.join(deg, ks + ["src"])
+    return (hub_join(edges, deg, ks + ["src"], "dst", bucket)
                  .select(*ks, "src", "dst",
                          F.when(F.col("deg") != 0, F.col("w") / F.col("deg"))
                           .otherwise(F.lit(0.0)).alias("p")))
 
 
 def matvec(edges: DataFrame, vec: DataFrame, keys=("snapshot",), w: str = "w",
-           x: str = "x") -> DataFrame:
+           x: str = "x", bucket: int = HUB_ROWS) -> DataFrame:
     """A . x for a scalar vector ``(keys..., node, x)`` -> ``(keys..., node, x)``.
 
     Join on the column index, multiply, sum per row index.  A node whose row has
@@ -75,12 +96,12 @@ def matvec(edges: DataFrame, vec: DataFrame, keys=("snapshot",), w: str = "w",
     """
     ks = _k(keys)
     v = vec.select(*ks, F.col("node").alias("dst"), F.col(x).alias("_x"))
-    return (edges.join(v, ks + ["dst"])
+    return (hub_join(edges, v, ks + ["dst"], "src", bucket)
                  .groupBy(*ks, F.col("src").alias("node"))
                  .agg(F.sum(F.col(w) * F.col("_x")).alias("x")))
 
 
-def matmul(a: DataFrame, b: DataFrame, keys=("snapshot",)) -> DataFrame:
+def matmul(a: DataFrame, b: DataFrame, keys=("snapshot",), bucket: int = HUB_ROWS) -> DataFrame:
     """A . B for COO matrices ``(keys..., src, dst, w)``.
 
     Equi-join on the inner index and a partial+final sum per output cell; entries
@@ -89,7 +110,7 @@ def matmul(a: DataFrame, b: DataFrame, keys=("snapshot",)) -> DataFrame:
     ks = _k(keys)
     aa = a.select(*ks, F.col("src").alias("r"), F.col("dst").alias("m"), F.col("w").alias("wa"))
     bb = b.select(*ks, F.col("src").alias("m"), F.col("dst").alias("c"), F.col("w").alias("wb"))
-    return (aa.join(bb, ks + ["m"])
+    return (hub_join(aa, bb, ks + ["m"], "r", bucket)
               .groupBy(*ks, F.col("r").alias("src"), F.col("c").alias("dst"))
               .agg(F.sum(F.col("wa") * F.col("wb")).alias("w"))
               .filter(F.col("w") != 0))

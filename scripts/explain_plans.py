@@ -18,8 +18,9 @@ from graphdelta.sources import tables  # noqa: E402
 
 
 def plan(df) -> str:
-    df.write.format("noop").mode("overwrite").save()
-    txt = df._jdf.queryExecution().executedPlan().toString()
+    query = df._jdf.queryExecution()
+    query.toRdd().count()  # runs this very plan, which makes it final
+    txt = query.executedPlan().toString()
     txt = re.sub(r"#\d+L?", "", txt)
     lines = [ln for ln in txt.splitlines() if "Initial Plan" not in ln]
     keep, skip = [], False

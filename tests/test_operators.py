@@ -291,3 +291,18 @@ def test_crowded_cells_are_split_before_any_join_by_cell(spark):
     pts = spark.createDataFrame([(i, [i / 1000.0, 0.0]) for i in range(60)], "node BIGINT, x ARRAY<DOUBLE>")
     a, b = ({(r.src, r.dst): r.w for r in kernel.rbf_graph(pts, SIG, block_rows=n).collect()} for n in (7, 1000))
     assert a == b and len(a) == 60 * 59
+
+
+def test_hubs_are_split_and_change_nothing(spark):
+    """A star: with a bucket of 3 its centre is dealt to parts; same products."""
+    pairs = [(0, i, 1.0 + i) for i in range(1, 20)] + [(3, 4, 2.0)]
+    e = spark.createDataFrame([(1, a, b, w) for x in pairs for a, b, w in (x, (x[1], x[0], x[2]))],
+                              "snapshot INT, src BIGINT, dst BIGINT, w DOUBLE")
+    v = spark.createDataFrame([(1, i, float(i)) for i in range(20)], "snapshot INT, node BIGINT, x DOUBLE")
+    for f in (lambda b: linalg.row_normalize(e, bucket=b), lambda b: linalg.matvec(e, v, bucket=b),
+              lambda b: linalg.matmul(e, e, bucket=b)):
+        one, split = (sorted(tuple(r) for r in f(b).collect()) for b in (10**6, 3))
+        assert len(one) == len(split)
+        assert all(x[:-1] == y[:-1] and x[-1] == pytest.approx(y[-1]) for x, y in zip(one, split))
+    parts = linalg.hub_join(e, v.withColumnRenamed("node", "dst"), ["snapshot", "dst"], "src", 3)
+    assert parts.count() == e.count()
