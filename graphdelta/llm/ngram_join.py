@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from graphdelta.llm.common import materialise, release, slices
 from graphdelta.llm.components import connected_components
-from graphdelta.llm.repeats import joined, keyed, part_bits
+from graphdelta.llm.repeats import in_order, joined, keyed, part_of, parts_for
 from graphdelta.llm.textops import shingle_set, word_hashes
 
 WORDS = 5
@@ -113,7 +113,7 @@ def frequent(profiles: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def shared_grams(rows: DataFrame, words: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(key, n, grams, ranks): for each class parts of the n-grams that other
     classes have too, with a rank that grows with their frequency."""
-    bits = min(part_bits(rows), 15)
+    parts = parts_for(rows)
     known = rows.sparkSession.sparkContext.broadcast(hot)
     dealt_schema = "part int, frequent boolean, owners binary, sizes binary, grams binary"
     names = [c.split()[0] for c in dealt_schema.split(", ")]
@@ -132,11 +132,11 @@ def shared_grams(rows: DataFrame, words: int, hot: tuple[np.ndarray, np.ndarray]
                 owner = np.repeat(np.arange(len(block)), sizes)
                 grams = np.concatenate(grams)
                 if is_hot:  # by class: of copies one goes on
-                    spread = np.array([o[0] | o[1] << 8 for o, _, _ in block]) & ((1 << bits) - 1)
-                    part = spread[owner].astype(np.uint16)
+                    part = np.array([int.from_bytes(o[:4], "little") % parts for o, _, _ in block],
+                                    dtype=np.int64)[owner]
                 else:
-                    part = (grams >> np.uint64(64 - bits)).astype(np.uint16)
-                order = np.argsort(part, kind="stable")
+                    part = part_of(grams, parts)
+                order = in_order(part, parts)
                 part = part[order]
                 edges = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
                 for lo, hi in zip(edges[:-1], edges[1:]):
@@ -204,7 +204,7 @@ def shared_grams(rows: DataFrame, words: int, hot: tuple[np.ndarray, np.ndarray]
                 df[order] = np.repeat(count, count)
                 keep = np.flatnonzero(df > 1)
                 owner, ranks = owner[keep], df[keep]
-                ids = grams[keep].astype(np.int64) | (part << 48)
+                ids = grams[keep].astype(np.int64) | (part % (1 << 15) << 48)
             if not len(owner):
                 continue
             edges = np.r_[0, np.flatnonzero(np.diff(owner)) + 1, len(owner)]

@@ -21,6 +21,7 @@ from graphdelta.llm.common import SLICE_BYTES, id_text, slices
 
 BLOCK_ENTRIES = 400_000
 PART_ENTRIES = 4_000_000
+LEAST_PARTS = 32
 CHUNK = 1 << 16  # positions are sent as 16 bits within chunks of a document
 
 DEALT = "part int, known boolean, owners binary, sizes binary, positions binary, hashes binary, more binary"
@@ -38,20 +39,28 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                        F.xxhash64("doc_id", "text").alias("th"), "text")
 
 
-def part_bits(docs: DataFrame, text_col: str = "text") -> int:
-    """Bits that number enough parts for the words of all texts."""
+def parts_for(docs: DataFrame, text_col: str = "text") -> int:
+    """Enough parts for the words of all texts."""
     chars = docs.agg(F.sum(F.length(text_col).cast("long"))).first()[0] or 0
-    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(chars // 6 // PART_ENTRIES, min(least, 64))
-    return max(1, int(parts - 1).bit_length())
+    return max(LEAST_PARTS, chars // 6 // PART_ENTRIES)
+
+
+def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The part of a hash by its high bits."""
+    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def in_order(part: np.ndarray, parts: int) -> np.ndarray:
+    """Stable order by part (16-bit numbers are sorted by counting)."""
+    return np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.int64), kind="stable")
 
 
 class Block:
     """Entries of some documents: (doc, th), position and hash (and a second
     hash) of windows."""
 
-    def __init__(self, bits: int, wide: bool):
-        self.bits, self.wide = bits, wide
+    def __init__(self, parts: int, wide: bool):
+        self.parts, self.wide = parts, wide
         self.clear()
 
     def clear(self):
@@ -88,12 +97,11 @@ class Block:
         sent = np.ones(self.n, dtype=bool)
         sent[again] = False
         out = []
-        spread = (owners[:, 1] & ((1 << self.bits) - 1)).astype(np.uint16)
+        spread = owners[:, 1] % self.parts
         for chosen, is_known in ((np.flatnonzero(sent), False), (np.flatnonzero(known), True)):
-            part = (spread[owner[chosen]] if is_known
-                    else (hashes[chosen] >> np.uint64(64 - self.bits)).astype(np.uint16))
-            by_part = chosen[np.argsort(part, kind="stable")]
-            part = np.sort(part, kind="stable")
+            part = spread[owner[chosen]] if is_known else part_of(hashes[chosen], self.parts)
+            order = in_order(part, self.parts)
+            by_part, part = chosen[order], part[order]
             edges = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
             for lo, hi in zip(edges[:-1], edges[1:]):
                 if hi == lo:
@@ -116,7 +124,7 @@ def _runs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[edges[:-1]], np.diff(edges)
 
 
-def repeated(rows: DataFrame, bits: int, wide: bool,
+def repeated(rows: DataFrame, parts: int, wide: bool,
              windows: Callable[[dict], tuple]) -> DataFrame:
     """(doc, th, positions) of the repeated ones among each row's windows.
 
@@ -129,7 +137,7 @@ def repeated(rows: DataFrame, bits: int, wide: bool,
     names = [c for c in rows.columns if c != "doc_id"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Block(bits, wide)
+        block = Block(parts, wide)
         for b in slices(batches, size=SLICE_BYTES // 2):
             for r in b.to_pylist():
                 pos, hashes, more = windows(r)

@@ -43,7 +43,7 @@ def covered(starts: np.ndarray, n_words: int, length: int) -> np.ndarray:
 def repeated_windows(rows: DataFrame, window: int, start: int) -> DataFrame:
     """(doc, th, found): starts of the windows whose words also start elsewhere.
     ``rows`` as ``repeats.keyed`` gives them."""
-    bits = repeats.part_bits(rows)
+    parts = repeats.parts_for(rows)
     found, steps = None, levels(window, start)
     for before, length in zip([0, *steps], steps):
         last = length == window
@@ -61,7 +61,7 @@ def repeated_windows(rows: DataFrame, window: int, start: int) -> DataFrame:
 
         source = rows if found is None else rows.join(found, ["doc", "th"])
         found = materialise(repeats.by_document(
-            repeats.repeated(source, bits, last, windows)))
+            repeats.repeated(source, parts, last, windows)))
         release(rows.sparkSession)
         if found.isEmpty():
             break

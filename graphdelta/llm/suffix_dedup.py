@@ -133,7 +133,7 @@ def suffixes(rows: DataFrame, least: int, kmer: int, run: int) -> DataFrame:
                 schema=_SUFFIX)
 
     found = materialise(repeats.by_document(
-        repeats.repeated(rows, repeats.part_bits(rows), False, windows)))
+        repeats.repeated(rows, repeats.parts_for(rows), False, windows)))
     release(rows.sparkSession)
     texts = rows.select("doc", "th", "text").dropDuplicates(["doc", "th"])
     return texts.join(found, ["doc", "th"]).select("doc", "th", "text", "found").mapInArrow(build, SUFFIX)
