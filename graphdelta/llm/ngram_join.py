@@ -35,7 +35,8 @@ PERCENT = 80
 FREQUENT_BITS = 18
 COUNT_ENTRIES = 2_000_000  # n-grams a task holds while it counts
 BLOCK_ENTRIES = 400_000
-BUCKETS = 8  # of the suffix filter
+MAPS = 16  # words of 64 bits, for the suffix filter
+ROUNDS = 3  # of proposing pairs with a few members of an n-gram's list
 
 _LOW48 = np.uint64((1 << 48) - 1)
 
@@ -224,10 +225,10 @@ def shared_grams(rows: DataFrame, words: int, hot: tuple[np.ndarray, np.ndarray]
 
 
 def prefixes(shared: DataFrame, percent: int) -> DataFrame:
-    """(key, n, grams, first, n_prefix, buckets) of the classes that can be linked:
+    """(key, n, grams, first, n_prefix, maps) of the classes that can be linked:
     shared n-grams by rarity, the place of the first of them in the whole order,
-    how many of them lie in the prefix, and counts for the suffix filter."""
-    schema = "key binary, n long, grams array<long>, first long, n_prefix long, buckets array<int>"
+    how many of them lie in the prefix, and a bitmap of them."""
+    schema = "key binary, n long, grams array<long>, first long, n_prefix long, maps array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -240,30 +241,39 @@ def prefixes(shared: DataFrame, percent: int) -> DataFrame:
                 if n_prefix <= 0:
                     continue
                 grams = grams[np.lexsort((grams, ranks))]
+                bits = np.zeros(MAPS * 64, dtype=np.uint8)
+                bits[grams & (MAPS * 64 - 1)] = 1
                 out.append({"key": r["key"], "n": n, "grams": grams, "first": first,
                             "n_prefix": min(n_prefix, len(grams)),
-                            "buckets": np.bincount(grams & (BUCKETS - 1), minlength=BUCKETS)})
+                            "maps": np.packbits(bits).view(np.int64)})
             if out:
                 yield pa.RecordBatch.from_pylist(out, pa.schema(
                     [("key", pa.binary()), ("n", pa.int64()), ("grams", pa.list_(pa.int64())),
                      ("first", pa.int64()), ("n_prefix", pa.int64()),
-                     ("buckets", pa.list_(pa.int32()))]))
+                     ("maps", pa.list_(pa.int64()))]))
 
     whole = shared.groupBy("key").agg(F.first("n").alias("n"), F.collect_list("grams").alias("grams"),
                                       F.collect_list("ranks").alias("ranks"))
     return whole.mapInArrow(run, schema)
 
 
-def may_link(x: str, y: str, percent: int) -> Column:
-    """Length, positional and suffix filter on two postings of one n-gram."""
+def may_link(x: str, y: str, percent: int, suffix: bool = False) -> Column:
+    """Length and positional filter on two postings of one n-gram and, if wanted,
+    the suffix filter: a bit that only one set has stands for an n-gram that the
+    other lacks, wherever it is, so what is left of its shared n-grams bounds the
+    overlap."""
     def c(side: str, name: str) -> Column:
         return F.col(f"{side}.{name}")
+
+    def at_most(one: str, other: str) -> Column:
+        lacking = sum((F.bit_count(F.get(c(one, "maps"), k).bitwiseAND(
+            F.bitwise_not(F.get(c(other, "maps"), k)))) for k in range(MAPS)), F.lit(0))
+        return c(one, "n") - c(one, "first") - lacking
     least = F.ceil(percent * (c(x, "n") + c(y, "n")) / F.lit(100 + percent))
     rest = 1 + F.least(c(x, "n") - c(x, "pos") - 1, c(y, "n") - c(y, "pos") - 1)
-    common = F.aggregate(F.zip_with(c(x, "buckets"), c(y, "buckets"), lambda v, w: F.least(v, w)), F.lit(0),
-                         lambda s, v: s + v)
-    return ((100 * F.least(c(x, "n"), c(y, "n")) >= percent * F.greatest(c(x, "n"), c(y, "n")))
-            & (rest >= least) & (common >= least))
+    may = ((100 * F.least(c(x, "n"), c(y, "n")) >= percent * F.greatest(c(x, "n"), c(y, "n")))
+           & (rest >= least))
+    return may & (at_most(x, y) >= least) & (at_most(y, x) >= least) if suffix else may
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -282,6 +292,55 @@ def ordered_pair(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def mixed(postings: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Postings with the component so far (``root``), of the n-grams that more than
+    one component has."""
+    if found is None:
+        at = postings.withColumn("root", F.col("key"))
+    else:
+        at = postings.join(found, F.col("key") == F.col("node"), "left").select(
+            *postings.columns, F.coalesce("root", "key").alias("root"))
+    several = at.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    return materialise(at.join(several.where("lo <> hi").select("gram"), "gram"))
+
+
+def star_pairs(at: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of every posting with two of its n-gram's, other ones each turn."""
+    one, by = F.struct("key", "root", "n", "pos"), F.xxhash64("key", F.lit(turn))
+    centres = at.groupBy("gram").agg(F.min_by(one, by).alias("lo"), F.max_by(one, by).alias("hi"))
+    sides = []
+    for end in ("lo", "hi"):
+        other = centres.select("gram", F.col(f"{end}.*")).alias("y")
+        sides.append(at.alias("x").join(other, F.col("x.gram") == F.col("y.gram"))
+                     .where((F.col("x.root") != F.col("y.root")) & may_link("x", "y", percent))
+                     .select(*ordered_pair(F.col("x.key"), F.col("y.key"))))
+    return sides[0].union(sides[1]).distinct()
+
+
+def all_pairs(at: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of postings of one n-gram in different components that pass all
+    filters, which are part of the joins: what they reject is never a row.
+
+    Components with several postings of an n-gram are joined as wholes first, so
+    that their own members, which need no comparing, don't meet.
+    """
+    size = at.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("c"))
+    at = materialise(at.join(size, ["gram", "root"]).join(sets.select("key", "first", "maps"), "key"))
+    alone, several = at.where("c = 1"), at.where("c > 1")
+    may = may_link("x", "y", percent, suffix=True)
+    same = F.col("x.gram") == F.col("y.gram")
+    # one posting each: the smaller root is x, so every pair comes once
+    out = [alone.alias("x").join(alone.alias("y"), same & (F.col("x.root") < F.col("y.root")) & may),
+           alone.alias("x").join(several.alias("y"), same & may)]
+    groups = several.select("gram", "root").distinct()
+    met = (groups.alias("g").join(groups.alias("h"), "gram").where(F.col("g.root") < F.col("h.root"))
+           .select("gram", F.col("g.root").alias("root"), F.col("h.root").alias("met")))
+    out.append(several.join(met, ["gram", "root"]).alias("x").join(
+        several.alias("y"), same & (F.col("x.met") == F.col("y.root")) & may))
+    ends = [o.select(*ordered_pair(F.col("x.key"), F.col("y.key"))) for o in out]
+    return ends[0].union(ends[1]).union(ends[2]).distinct()
+
+
 def class_components(rows: DataFrame, profiles: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, root) over classes that are linked with another."""
     spark = rows.sparkSession
@@ -289,40 +348,27 @@ def class_components(rows: DataFrame, profiles: DataFrame, words: int, percent:
     release(spark)
     postings = sets.select(
         F.posexplode(F.slice("grams", F.lit(1), F.col("n_prefix").cast("int"))).alias("i", "gram"),
-        "key", "n", "first", "buckets").select("gram", "key", "n", "buckets",
-                                               (F.col("first") + F.col("i")).alias("pos"))
-    one = F.struct("key", "n", "pos", "buckets")
-    centres = (postings.groupBy("gram").agg(F.min_by(one, "key").alias("lo"), F.max_by(one, "key").alias("hi"))
-               .where("lo.key <> hi.key"))
-    near = None
-    for end in ("lo", "hi"):
-        other = centres.select("gram", F.col(f"{end}.*")).alias("y")
-        some = (postings.alias("x").join(other, F.col("x.gram") == F.col("y.gram"))
-                .where(F.col("x.key") != F.col("y.key")).where(may_link("x", "y", percent))
-                .select(*ordered_pair(F.col("x.key"), F.col("y.key"))))
-        near = some if near is None else near.union(some)
-    tried = materialise(near.distinct())
-    links = materialise(verified(tried, sets, percent))
-    found = materialise(connected_components(links))
+        "key", "n", "first").select("gram", "key", "n", (F.col("first") + F.col("i")).alias("pos"))
+    tried = links = found = None
+    at = mixed(postings, None)
+    for turn in range(ROUNDS):
+        pairs = star_pairs(at, turn, percent)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialise(pairs)
+        new = materialise(verified(pairs, sets, percent))
+        tried = pairs if tried is None else tried.union(pairs)
+        if new.isEmpty():
+            break
+        links = new if links is None else links.union(new)
+        found = materialise(connected_components(links))
+        at = mixed(postings, found)
     release(spark)
-
-    # what is left: pairs of classes in different components
-    at = postings.join(found, F.col("key") == F.col("node"), "left").select(
-        "gram", "key", "n", "pos", "buckets", F.coalesce("root", "key").alias("root"))
-    mixed = at.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(
-        "lo <> hi").select("gram")
-    at = materialise(at.join(mixed, "gram"))
-    groups = at.select("gram", "root").distinct()
-    pairs = (groups.alias("g").join(groups.alias("h"), "gram")
-             .where(F.col("g.root") < F.col("h.root"))
-             .select("gram", F.col("g.root").alias("r"), F.col("h.root").alias("s")))
-    x = pairs.join(at.withColumnRenamed("root", "r"), ["gram", "r"])
-    rest = (x.alias("x").join(at.withColumnRenamed("root", "s").alias("y"),
-                              (F.col("x.gram") == F.col("y.gram")) & (F.col("x.s") == F.col("y.s")))
-            .where(may_link("x", "y", percent))
-            .select(*ordered_pair(F.col("x.key"), F.col("y.key"))).distinct()
-            .join(tried, ["a", "b"], "left_anti"))
+    # what is left: pairs of classes in different components, each but once
+    rest = all_pairs(at, sets, percent).join(tried, ["a", "b"], "left_anti")
     more = materialise(verified(rest, sets, percent))
+    if found is None:
+        return connected_components(more)
     if more.isEmpty():
         return found
     return connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
