@@ -20,7 +20,7 @@ from graphdelta.llm.common import id_text, slices
 HASH_BITS = 18
 WIDTH = 1 << HASH_BITS
 #: Bound of the labelled rows that a model is fitted on.
-FIT_ROWS = 6000
+FIT_ROWS = 10_000
 HELD_OUT = 0.25
 GRADES = 4  # 0: not toxic, 1 to 3: rising severity
 LEAST_ROWS = 5
@@ -146,8 +146,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = FIT_ROWS,
                  id_col: str = "doc_id", text_col: str = "text",
                  label_col: str = "toxic") -> OrdinalModel:
     """Fit on at most ``max_rows`` labelled rows, those of the smallest id hash.
-    A quarter of them, held out, sets the rejection threshold (best F1).  With
-    no labelled rows, or labels of one class, the model rejects nothing."""
+    A quarter of them, held out of a first fit, sets the rejection threshold (best
+    F1); the model itself is fitted on all.  With no labelled rows, or labels of
+    one class, it rejects nothing."""
     chosen = (labels.select(labels[id_col].cast("long").alias("doc_id"),
                             labels[label_col].cast("int").alias("label"))
               .where("doc_id is not null and label is not null")
@@ -174,9 +175,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = FIT_ROWS,
     grades = severity_grades(rows, toxic)
     order = np.random.default_rng(7).permutation(len(rows))
     held, fitted = np.split(order, [int(len(rows) * HELD_OUT)])
-    model = fit_ordinal([rows[i] for i in fitted], grades[fitted])
-    p = np.array([model.above(rows[i])[0] for i in held])
+    trial = fit_ordinal([rows[i] for i in fitted], grades[fitted])
+    p = np.array([trial.above(rows[i])[0] for i in held])
     truth = toxic[held]
+    model = fit_ordinal(rows, grades)
     if truth.any():
         cuts = np.linspace(0.2, 0.8, 25)
         f1 = [2 * (truth & (p >= c)).sum() / max(1, truth.sum() + (p >= c).sum()) for c in cuts]
