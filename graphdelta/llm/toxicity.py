@@ -20,7 +20,8 @@ from graphdelta.llm.common import id_text, slices
 HASH_BITS = 18
 WIDTH = 1 << HASH_BITS
 #: Bound of the labelled rows that a model is fitted on.
-FIT_ROWS = 10_000
+FIT_ROWS = 6000
+CHUNK_ROWS = 500  # rows whose gradient is worked out at a time
 HELD_OUT = 0.25
 GRADES = 4  # 0: not toxic, 1 to 3: rising severity
 LEAST_ROWS = 5
@@ -90,12 +91,9 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = GRAD
     """Maximum likelihood by Adam over all rows, each feature scaled by its
     log-odds.  The thresholds are kept in order by their gaps, whose logarithms
     are the parameters."""
-    sizes = np.array([len(r) for r in rows])
-    columns = np.concatenate([*rows, np.zeros(0, np.int32)])
-    owner = np.repeat(np.arange(len(rows)), sizes)
     y = np.asarray(grades)
     scale = log_odds(rows, y > 0)
-    value = scale[columns]
+    rows = [r[scale[r] != 0] for r in rows]  # the others would never count
     weights = np.zeros(WIDTH)
     share = np.clip([(y > k).mean() for k in range(n_grades - 1)], 1e-3, 1 - 1e-3)
     first = -np.log(share / (1 - share))
@@ -107,19 +105,22 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = GRAD
 
     for step in range(1, steps + 1):
         t = ordered(cuts)
-        score = np.bincount(owner, weights[columns] * value, minlength=len(rows))
-        above = np.c_[np.ones(len(rows)), _sigmoid(score[:, None] - t), np.zeros(len(rows))]
-        slope = above * (1 - above)
-        each = np.arange(len(rows))
-        p = np.maximum(above[each, y] - above[each, y + 1], 1e-9)
-        d_score = -(slope[each, y] - slope[each, y + 1]) / p / len(rows)
-        d_t = np.zeros(n_grades + 1)
-        np.add.at(d_t, y, slope[each, y] / p / len(rows))
-        np.add.at(d_t, y + 1, -slope[each, y + 1] / p / len(rows))
+        d_weights, d_t = l2 * weights, np.zeros(n_grades + 1)
+        for lo in range(0, len(rows), CHUNK_ROWS):
+            part, grade = rows[lo:lo + CHUNK_ROWS], y[lo:lo + CHUNK_ROWS]
+            each, columns = np.arange(len(part)), np.concatenate(part)
+            owner = np.repeat(each, [len(r) for r in part])
+            score = np.bincount(owner, weights[columns] * scale[columns], minlength=len(part))
+            above = np.c_[np.ones(len(part)), _sigmoid(score[:, None] - t), np.zeros(len(part))]
+            slope = above * (1 - above)
+            p = np.maximum(above[each, grade] - above[each, grade + 1], 1e-9) * len(rows)
+            d_score = -(slope[each, grade] - slope[each, grade + 1]) / p
+            d_weights += np.bincount(columns, d_score[owner] * scale[columns], minlength=WIDTH)
+            np.add.at(d_t, grade, slope[each, grade] / p)
+            np.add.at(d_t, grade + 1, -slope[each, grade + 1] / p)
         d_t = d_t[1:-1]
         tail = np.cumsum(d_t[::-1])[::-1]
-        grads = (np.bincount(columns, d_score[owner] * value, minlength=WIDTH) + l2 * weights,
-                 np.r_[tail[0], tail[1:] * np.exp(cuts[1:])])
+        grads = (d_weights, np.r_[tail[0], tail[1:] * np.exp(cuts[1:])])
         for i, (param, g) in enumerate(((weights, grads[0]), (cuts, grads[1]))):
             m, v = moments[2 * i], moments[2 * i + 1]
             m += 0.1 * (g - m)
