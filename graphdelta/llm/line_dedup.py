@@ -44,22 +44,28 @@ def lines_of(rows: DataFrame) -> DataFrame:
 def shingles(content: Column, words: int) -> Column:
     """64-bit hashes of a line's shingles; a shorter line is one shingle."""
     def of(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(1))),
-                           lambda i: F.xxhash64(F.slice(w, i, words)))
+        return F.transform(places(w, words), lambda i: shingle_at(w, i, words))
     return bound(F.split(content, " "), of)
 
 
+def places(w: Column, words: int) -> Column:
+    """Where a line's shingles begin."""
+    return F.sequence(F.lit(0), F.greatest(F.size(w) - words, F.lit(0)))
+
+
+def shingle_at(w: Column, i: Column, words: int) -> Column:
+    """Words beyond the line's end are null, which the hash passes over."""
+    return F.xxhash64(*(F.get(w, i + k) for k in range(words)))
+
+
 def frequency_classes(lines: DataFrame, words: int) -> Column:
     """Literal array: the frequency class (0 to 255) of every bucket, from counts
     over all lines.  What reaches the driver is one count for each bucket."""
     w = F.split("content", " ")
-    placed = lines.select(w.alias("w")).select(
-        "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - words, F.lit(0)))).alias("i"))
     # the same hash as in shingles(), but over rows, which Spark compiles
-    whole = F.size("w") >= words
-    one = F.xxhash64(*(F.get("w", F.col("i") + k) for k in range(words)))
-    hashed = F.when(whole, one).otherwise(F.xxhash64("w"))
-    counts = (placed.select(F.shiftrightunsigned(hashed, 64 - BUCKET_BITS).alias("bucket"))
+    hashed = lines.select(w.alias("w")).select("w", F.explode(places(F.col("w"), words)).alias("i")).select(
+        shingle_at(F.col("w"), F.col("i"), words).alias("hash"))
+    counts = (hashed.select(F.shiftrightunsigned("hash", 64 - BUCKET_BITS).alias("bucket"))
               .groupBy("bucket").count().collect())
     classes = [0] * (1 << BUCKET_BITS)
     for r in counts:
