@@ -10,7 +10,9 @@ and its prefix, but are dropped as soon as their frequency is known.
 
 Groups of near copies would give a pair for every two members.  For components
 that isn't needed: each prefix n-gram first proposes pairs with two of its members
-only; after that, pairs are proposed between different components alone.
+only; after that, pairs are proposed between different components alone.  No link
+leads out of a component, so for the links themselves every two classes of a
+component are compared afterwards, block by block, without a row for a pair.
 """
 from __future__ import annotations
 
@@ -37,6 +39,9 @@ COUNT_ENTRIES = 2_000_000  # n-grams a task holds while it counts
 BLOCK_ENTRIES = 400_000
 MAPS = 16  # words of 64 bits, for the suffix filter
 ROUNDS = 3  # of proposing pairs with a few members of an n-gram's list
+#: Classes, and n-grams of them, in a block of a component whose links are counted.
+LINK_CLASSES = 256
+LINK_ENTRIES = 400_000
 
 _LOW48 = np.uint64((1 << 48) - 1)
 
@@ -341,8 +346,9 @@ def all_pairs(at: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return ends[0].union(ends[1]).union(ends[2]).distinct()
 
 
-def class_components(rows: DataFrame, profiles: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, root) over classes that are linked with another."""
+def class_components(rows: DataFrame, profiles: DataFrame, words: int,
+                     percent: int) -> tuple[DataFrame, DataFrame]:
+    """(node, root) over classes that are linked with another, and the classes' sets."""
     spark = rows.sparkSession
     sets = materialise(prefixes(shared_grams(rows, words, frequent(profiles)), percent))
     release(spark)
@@ -368,16 +374,88 @@ def class_components(rows: DataFrame, profiles: DataFrame, words: int, percent:
     rest = all_pairs(at, sets, percent).join(tried, ["a", "b"], "left_anti")
     more = materialise(verified(rest, sets, percent))
     if found is None:
-        return connected_components(more)
+        return connected_components(more), sets
     if more.isEmpty():
-        return found
-    return connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+        return found, sets
+    return connected_components(
+        found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), sets
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many n-grams each two sets of either side share."""
+    known, at = np.unique(np.concatenate(left), return_inverse=True)
+    owner = np.repeat(np.arange(len(left)), [len(g) for g in left])
+    order = np.argsort(at, kind="stable")
+    owner, edges = owner[order], np.r_[0, np.cumsum(np.bincount(at, minlength=len(known)))]
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    for j, grams in enumerate(right):
+        k = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        k = k[known[k] == grams]
+        size = edges[k + 1] - edges[k]
+        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        out[:, j] = np.bincount(owner[np.repeat(edges[k], size) + step], minlength=len(left))
+    return out
+
+
+def linked_blocks(found: DataFrame, sets: DataFrame, percent: int, pairs: bool) -> DataFrame:
+    """All links within components: the pairs (a, b, same) or, for each class of a
+    pair of blocks, how many classes it is linked with: (key, n_links).
+
+    Every two blocks of a component meet once, so a set is sent once for each block
+    of its component.
+    """
+    at = materialise(sets.join(found, F.col("key") == F.col("node")).select("key", "root", "n", "grams"))
+    size = at.groupBy("root").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / F.lit(LINK_CLASSES)),
+        F.ceil(F.sum(F.size("grams")) / F.lit(LINK_ENTRIES))).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    dealt = (at.join(size, "root").withColumn("block", block)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("key", "root", "n", "grams", "block", F.least("block", "other").alias("lo"),
+                     F.greatest("block", "other").alias("hi")))
+    schema = "a binary, b binary, same long" if pairs else "key binary, n_links long"
+
+    def compare(table: pa.Table) -> pa.Table:
+        lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
+        keys = table["key"].to_pylist()
+        n = table["n"].to_numpy()
+        grams = [np.array(g, dtype=np.int64) for g in table["grams"].to_pylist()]
+        block = table["block"].to_numpy()
+        x, y = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        if not len(x) or not len(y):
+            i = j = same = np.zeros(0, dtype=np.int64)
+        else:
+            same = overlaps([grams[k] for k in x], [grams[k] for k in y])
+            hit = 100 * same >= percent * (n[x][:, None] + n[y][None, :] - same)
+            if lo == hi:
+                hit = np.triu(hit, 1)
+            i, j = np.nonzero(hit)
+            same, i, j = same[i, j], x[i], y[j]
+        if not pairs:
+            count = np.bincount(np.r_[i, j], minlength=len(keys))
+            return pa.table({"key": pa.array(keys, pa.binary()), "n_links": pa.array(count, pa.int64())})
+        ends = [sorted((keys[k], keys[m])) for k, m in zip(i, j)]
+        return pa.table({"a": pa.array([e[0] for e in ends], pa.binary()),
+                         "b": pa.array([e[1] for e in ends], pa.binary()),
+                         "same": pa.array(same, pa.int64())})
+
+    return dealt.groupBy("root", "lo", "hi").applyInArrow(compare, schema)
+
+
+def near_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
+               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every link between classes, each once: (a, b, same), ``same`` the n-grams that
+    both have.  ``key`` of ``near_duplicates`` tells which rows are in a class; rows
+    of one class are copies and no link of their own."""
+    _, found, sets = _classes(docs, words, percent, id_col, text_col)
+    return linked_blocks(found, sets, percent, pairs=True)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose n-gram sets have a Jaccard similarity of at
-    least ``percent`` / 100: (doc_id, doc, th, n_shingles, component_id, root).
+    least ``percent`` / 100: (doc_id, doc, th, n_shingles, component_id, root, key,
+    n_links).
 
     Words are lower-cased (A-Z) runs of characters other than ASCII white space;
     a text of fewer words is one n-gram of all of them.  ``component_id`` is the
@@ -385,20 +463,37 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     repeated rows included.  Null, empty and blank texts have no n-grams and are
     linked with nothing, not even each other.  Null ids take part, but are no
     smallest id unless a component has no other.  (doc, th) tell rows apart as in
-    ``repeats.keyed``; ``root`` names the component, null without n-grams.  N-grams are compared by 48 bits and more of hash within a
+    ``repeats.keyed``; ``root`` names the component and ``key`` the class, null
+    without n-grams; ``n_links`` is the number of other classes that the class is
+    linked with.  N-grams are compared by 48 bits and more of hash within a
     pair, sets of equal classes by 128.
     """
+    profiles, linked, sets = _classes(docs, words, percent, id_col, text_col)
+    links = linked_blocks(linked, sets, percent, pairs=False).groupBy("key").agg(
+        F.sum("n_links").alias("n_links"))
+    grouped = _grouped(profiles, linked)
+    return grouped.join(materialise(links), "key", "left").select(
+        "doc_id", "doc", "th", "n_shingles", "component_id", "root", "key",
+        F.when(F.col("root").isNull(), F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0)))
+        .cast("long").alias("n_links"))
+
+
+def _classes(docs: DataFrame, words: int, percent: int, id_col: str,
+             text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = keyed(docs, id_col, text_col)
     profiles = materialise(profile(rows, words))
-    linked = class_components(rows, profiles, words, percent)
+    return profiles, *class_components(rows, profiles, words, percent)
+
+
+def _grouped(profiles: DataFrame, linked: DataFrame) -> DataFrame:
     filled = profiles.where("n > 0")
     classes = filled.groupBy("key").agg(F.min("doc_id").alias("least"))
     at = (classes.join(linked, F.col("key") == F.col("node"), "left")
           .select("key", "least", F.coalesce("root", "key").alias("root")))
     least = at.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = at.join(least, "root").select("key", "root", "component_id")
-    columns = ["doc_id", "doc", "th", F.col("n").alias("n_shingles"), "component_id", "root"]
-    alone = profiles.where("n = 0").select(
+    columns = ["doc_id", "doc", "th", F.col("n").alias("n_shingles"), "component_id", "root", "key"]
+    alone = profiles.where("n = 0").withColumn("key", F.lit(None).cast("binary")).select(
         "*", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("root"))
     return filled.join(labels, "key").select(*columns).union(alone.select(*columns))
 
@@ -408,7 +503,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PER
     """One document of each component, all columns kept: the one of the smallest id
     (of equal ids the smallest row hash; a null id counts as 0).  Of repeated rows
     one stays.  Documents without words are linked with nothing and all stay."""
-    grouped = near_duplicates(docs, words, percent, id_col, text_col).where("root is not null")
+    profiles, linked, _ = _classes(docs, words, percent, id_col, text_col)
+    grouped = _grouped(profiles, linked).where("root is not null")
     chosen = grouped.groupBy("root").agg(F.min(F.struct("doc", "th")).alias("one")).select("one.*")
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))

@@ -125,6 +125,29 @@ def test_a_large_group_of_near_copies(spark):
     assert got == {i: least[r] for (i, _), r in zip(corpus_, root)}
 
 
+@pytest.mark.parametrize("block", [7, ngram_join.LINK_CLASSES])
+def test_links_inside_a_component_equal_brute_force(spark, docs, corpus, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "LINK_CLASSES", block)
+    sets = {}
+    for _, t in corpus:
+        if grams_of(t):
+            sets.setdefault(grams_of(t), len(sets))
+    classes = list(sets)
+    want = Counter()
+    links = Counter()
+    for i, s in enumerate(classes):
+        for t in classes[:i]:
+            if 100 * len(s & t) >= 80 * len(s | t):
+                want[s] += 1
+                want[t] += 1
+                links[len(s & t)] += 1
+    got = Counter((r.doc_id, r.n_links) for r in ngram_join.near_duplicates(docs).collect())
+    assert got == Counter((i, want[grams_of(t)]) for i, t in corpus)
+    pairs = ngram_join.near_links(docs).collect()
+    assert Counter(r.same for r in pairs) == links
+    assert len({(r.a, r.b) for r in pairs}) == len(pairs) > len(classes) / 4
+
+
 # decontamination
 
 ITEMS = [(1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (2, "one two three"),
