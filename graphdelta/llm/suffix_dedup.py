@@ -6,6 +6,10 @@ whose first words occur nowhere else can't be in a repeated passage and are
 dropped.  The others are sorted over the whole corpus; each is compared with its
 neighbours, and the common part is extended to the right and to the left.
 
+Where more suffixes share their first words than all meet as neighbours, the
+partner of a match can lie anywhere among them.  There the windows of ``least``
+words around each suffix are counted as well: equal ones are a match.
+
 A passage of ``least`` words has a suffix within its first ``RUN`` words, so the
 words that two such suffixes must share (``least`` - ``RUN`` + 1) and ``RUN`` words
 on either side show every match of ``least`` words, and the spans of successive
@@ -30,6 +34,7 @@ KMER = 8
 RUN = 16
 NEIGHBOURS = 4  # on either side, in sorted order
 SUFFIXES_PER_PART = 500_000
+BROADCAST_KEYS = 500_000  # of 8 bytes; more are joined by a shuffle
 
 SUFFIX = "key long, right binary, left binary, after int, before int, doc long, th long, at long"
 SPAN = "doc long, th long, start long, end long"
@@ -139,6 +144,44 @@ def suffixes(rows: DataFrame, least: int, kmer: int, run: int) -> DataFrame:
     return texts.join(found, ["doc", "th"]).select("doc", "th", "text", "found").mapInArrow(build, SUFFIX)
 
 
+def crowded_windows(rows: DataFrame, kept: DataFrame, least: int, run: int) -> DataFrame:
+    """Spans of the windows of ``least`` words that stand elsewhere too, around the
+    suffixes whose key is too frequent for each to meet each as neighbours.
+
+    Equal windows have suffixes at equal places, so all of them are read.
+    """
+    keys = materialise(kept.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+                       .where(F.col("c") > NEIGHBOURS + 1).select("key"))
+    near = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    places = kept.select("key", "doc", "th", "at").join(near, "key").groupBy("doc", "th").agg(
+        F.collect_list("at").alias("places"))
+
+    def windows(row: dict):
+        words = word_hashes(row["text"].encode("utf-8", "surrogatepass"))
+        first = np.array(row["places"], dtype=np.int64)[:, None] - np.arange(run)
+        pos = np.unique(first[(first >= 0) & (first + least <= len(words))])
+        return (pos.astype(np.uint32), window_hashes(words, least)[pos],
+                (window_hashes(words, least, 1)[pos] >> np.uint64(32)).astype(np.uint32))
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                pos = np.sort(np.frombuffer(r["positions"], dtype=np.uint32).astype(np.int64))
+                if not len(pos):
+                    continue
+                cut = np.flatnonzero(np.diff(pos) > 1)
+                start, end = pos[np.r_[0, cut + 1]], pos[np.r_[cut, len(pos) - 1]] + least
+                out.append((np.full(len(start), r["doc"]), np.full(len(start), r["th"]), start, end))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)],
+                                                 names=["doc", "th", "start", "end"])
+
+    asked = materialise(rows.select("doc", "th", "text").dropDuplicates(["doc", "th"])
+                        .join(places, ["doc", "th"]))
+    return repeats.repeated(asked, repeats.parts_for(asked), True, windows).mapInArrow(spans, SPAN)
+
+
 def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS, kmer: int = KMER, run: int = RUN,
                       id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, doc, th, spans): for every row the stretches of words, as (start,
@@ -149,7 +192,8 @@ def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS, kmer: int = KME
     occurrence is shown, the first one too.  Null and empty texts and those of
     fewer words have no spans.  Rows equal in id and text are one document.  Of
     several matches of a suffix those with its ``NEIGHBOURS`` on either side, in the
-    order by right, then left context, count.
+    order by right, then left context, are extended; where its key has more suffixes,
+    equal windows of ``least`` words are counted too, so no match is lost.
     """
     rows = repeats.keyed(docs, id_col, text_col)
     spark, fixed = docs.sparkSession, least - run + 1
@@ -218,6 +262,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS, kmer: int = KME
               .join(listed("first", "begins", "next_part"), "next_part")
               .select("ends", "begins").mapInArrow(close, SPAN))
     spans = done.where("edge is null").select("doc", "th", "start", "end").union(joined)
+    spans = spans.union(crowded_windows(rows, kept, least, run))
     whole = spans.distinct().groupBy("doc", "th").agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("all"))
     # overlapping and touching spans become one

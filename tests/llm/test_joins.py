@@ -267,6 +267,26 @@ def test_suffix_dedup_equals_brute_force(docs, corpus):
     assert got == want
 
 
+def test_suffix_dedup_finds_partners_far_away_in_a_crowded_key(spark):
+    """Pairs that share a few own words before a passage which stands in many
+    documents, each of which goes on in its own way."""
+    rnd = np.random.default_rng(4)
+    hot = [f"h{i}" for i in range(40)]
+    texts = []
+    for k in range(60):
+        own = [f"o{k}x{i}" for i in range(12)]
+        for side in range(2):
+            after = [f"a{k}y{side}z{i}r{rnd.integers(10**6)}" for i in range(30)]
+            before = [f"b{k}y{side}z{i}r{rnd.integers(10**6)}" for i in range(30)]
+            texts.append(" ".join(before + own + hot + after))
+    rows, masks = brute_windows(list(enumerate(texts)), 50)
+    want = {i: sum(m) for i, m in enumerate(masks)}
+    assert set(want.values()) == {52}
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = suffix_dedup.digest(suffix_dedup.repeated_passages(frame, 50)).collect()
+    assert {r.doc_id: r.n_repeated for r in got} == want
+
+
 def test_minimisers_by_hand():
     words = word_hashes(b" ".join(f"{i % 37}x{i % 11}".encode() for i in range(300)))
     h = window_hashes(words, 8, 1)
