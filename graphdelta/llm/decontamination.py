@@ -7,8 +7,11 @@ weighted shingles (weight: how often the window has it), as every item does.
 
 A multi-index finds all pairs of fingerprints within the radius: cut into
 ``RADIUS + 1`` blocks, two fingerprints that differ in at most ``RADIUS`` bits
-agree in a block.  Pairs from the index are verified by the exact weighted Jaccard
-similarity of their shingles.
+agree in a block.  Fingerprints follow the angle of the weights, which a phrase that
+is repeated and changed can turn far at little loss of similarity, so the index
+alone is no guarantee: a document that has enough of an item's shingles for a match
+is paired with it whatever the bits say.  All pairs are verified by the exact
+weighted Jaccard similarity of their shingles.
 """
 from __future__ import annotations
 
@@ -21,8 +24,8 @@ from graphdelta.llm.repeats import keyed
 
 WORDS = 5
 PERCENT = 80
-# Similar windows (weighted Jaccard 0.8: an angle of 27 degrees) differ in about
-# 10 of 64 bits, give or take 3; the radius lies over three deviations beyond.
+# Similar windows of distinct shingles (Jaccard 0.8: an angle of 27 degrees) differ in
+# about 10 of 64 bits, give or take 3; the radius lies over three deviations beyond.
 RADIUS = 20
 BITS = 64
 #: Rows of the benchmark's side (shingles, index blocks) that may be broadcast;
@@ -85,8 +88,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS,
 
     A window has as many consecutive words as its item, or all words of a shorter
     document.  It matches if the weighted Jaccard similarity of its word shingles
-    to the item's is at least ``percent`` / 100 and their fingerprints differ in at
-    most ``radius`` bits.  Words are lower-cased.  Null and empty texts and items
+    to the item's is at least ``percent`` / 100.  ``radius`` says which pairs the index
+    proposes and loses no match.  Words are lower-cased.  Null and empty texts and items
     match nothing; items of fewer words are one shingle.  Items of equal text are
     told apart by id, repeated items count once, items without an id are left out.
     Rows equal in id and text have the same result each; an empty table on
@@ -114,11 +117,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS,
         hits = at if hits is None else hits.union(at)
     # where the item would begin, moved into the document
     length = F.least("m", "n")
-    windows = materialise(
+    met = materialise(
         hits.join(seeds, ["token", "size"])
-        .select("doc", "th", "m", "size", length.alias("length"),
+        .select("doc", "th", "item_id", "j", "m", "size", length.alias("length"),
                 F.least(F.greatest(F.col("i") - F.col("j"), F.lit(0)), F.col("n") - length).alias("start"))
-        .distinct())
+        .groupBy("doc", "th", "item_id", "m", "size", "length")
+        .agg(F.size(F.collect_set("j")).alias("n_met"), F.collect_set("start").alias("starts")))
+    windows = materialise(met.select("doc", "th", "m", "size", "length", F.explode("starts").alias("start"))
+                          .distinct())
 
     wanted = windows.groupBy("doc", "th").agg(
         F.collect_list(F.struct("m", "size", "length", "start")).alias("wanted"))
@@ -137,7 +143,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS,
             .select("doc", "th", "start", "m", "fingerprint", "at.*")
             .join(index, ["m", "block", "bits"])
             .where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))) <= radius)
-            .select("doc", "th", "start", "m", "item_id").distinct())
+            .select("doc", "th", "start", "m", "item_id"))
+    # a match shares at least `percent` % of the item's shingles, each counted by its place
+    enough = met.where(100 * F.col("n_met") >= percent * (F.col("m") - F.col("size") + 1)).select(
+        "doc", "th", F.explode("starts").alias("start"), "m", "item_id")
+    near = near.union(enough).distinct()
     same = overlap(F.col("tokens"), F.col("item_tokens"))
     checked = (near.join(found.select("doc", "th", "start", "m", "length", "tokens"),
                          ["doc", "th", "start", "m"])

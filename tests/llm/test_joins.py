@@ -196,6 +196,20 @@ def test_decontamination_equals_brute_force(spark, docs):
     assert kept.columns == ["doc_id", "text", "th"]
 
 
+def test_a_changed_refrain_is_found_beyond_the_radius(spark):
+    """A word repeated fifty times and replaced: similarity 0.82, fingerprints apart."""
+    items, texts = [], []
+    for k in range(4):
+        rest = [f"w{k}x{i}" for i in range(500)]
+        items.append((k, " ".join(rest[:250] + [f"la{k}"] * 50 + rest[250:])))
+        texts.append((k, "before " + " ".join(rest[:250] + [f"lo{k}"] * 50 + rest[250:]) + " after"))
+    want = brute_leaks(texts, items)
+    assert set(want) == {(k, k) for k in range(4)}
+    got = decontamination.contaminated(spark.createDataFrame(texts, "doc_id long, text string"),
+                                       spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): (r.similarity, r.start) for r in got.collect()} == want
+
+
 def test_simhash_and_its_index(spark):
     """Bits by vote; fingerprints within the radius always share a block."""
     rng = np.random.default_rng(0)
