@@ -235,6 +235,34 @@ def test_network_learns_and_keeps_the_recall():
         assert (p[y[held] > 0] >= net.threshold).mean() >= 0.9
 
 
+def test_recall_is_kept_below_one_half():
+    """Rare findings among lookalikes score under 0.5: the threshold follows them."""
+    rng = np.random.default_rng(2)
+    x = np.zeros((900, 2, secrets.LENGTH), np.uint8)
+    x[:, 0] = rng.integers(1, 30, x[:, 0].shape)
+    x[:, 1, secrets.CONTEXT:secrets.CONTEXT + 30] = 1
+    y = (np.arange(900) % 15 == 0).astype(np.float32)
+    net = secrets.CharCNN()
+    net.calibrate(x, y, recall=0.95)
+    p = net.probability(x[y > 0])
+    assert p.max() < 0.5
+    assert (p >= net.threshold).mean() >= 0.95
+
+
+def test_rare_findings_are_learnt_from_all_documents(spark, monkeypatch):
+    """25 findings in 15,000 documents are enough, wherever they are."""
+    rare = [t for t in labelled_corpus(100) if "password" in t]
+    texts = rare + [f"number {10**12 + i}-{chr(97 + i % 26) * 3}{chr(97 + i // 26 % 26) * 3} of the list"
+                    for i in range(15_000 - len(rare))]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert secrets.fit_secret_model(frame.where("doc_id < 20")).network is None
+    seen = []
+    monkeypatch.setattr(secrets.CharCNN, "fit", lambda self, x, y: seen.append(int(y.sum())))
+    monkeypatch.setattr(secrets.CharCNN, "calibrate", lambda self, x, y, recall: seen.append(int(y.sum())))
+    secrets.fit_secret_model(frame)
+    assert sum(seen) == len({w for t in rare for label, w in secrets.labelled_windows(t) if label})
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     x = np.zeros((6, 2, secrets.LENGTH), np.uint8)
