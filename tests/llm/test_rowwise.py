@@ -263,6 +263,28 @@ def test_rare_findings_are_learnt_from_all_documents(spark, monkeypatch):
     assert sum(seen) == len({w for t in rare for label, w in secrets.labelled_windows(t) if label})
 
 
+def test_every_long_run_is_read_whole():
+    """Without a digit, parted by marks, and in the middle of a long candidate."""
+    key = "kqXvTzWmNpRsBdLc"
+    parted = "aB3.kQ9~xV7.zW2"
+    text = f'use {key} or "{parted}", see end.'
+    assert [text[s:e] for s, e in secrets.candidates(text)] == [key, parted]
+    glued = f"{key}{parted[3:]}"
+    assert [glued[s:e] for s, e in secrets.candidates(glued)][0] == key
+    for n in (12, 56, 57, 84, 85, 300):
+        at = secrets.pieces(5, 5 + n)
+        assert {i for s, e in at for i in range(s, e)} == set(range(5, 5 + n))
+        assert all(e - s <= secrets.INSIDE for s, e in at)
+
+    class Marked:
+        threshold = 0.5
+
+        def probability(self, x):  # one odd symbol, deep inside
+            return ((x[:, 0] == secrets._TABLE[ord("+")]) & (x[:, 1] == 1)).any(axis=1).astype(float)
+    long = "x" * 150 + "+" + "y" * 150
+    assert secrets.find_spans([long, "z" * 300], secrets.SecretModel(Marked())) == [[(0, 3, 301)], []]
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     x = np.zeros((6, 2, secrets.LENGTH), np.uint8)
