@@ -443,10 +443,10 @@ def q_trace_summary(spark, sf):
 
 
 def q_calibrate_sigma(spark, sf):
-    """Up to 20 rounds of four runs; the walk is the short one (d = 1) throughout."""
+    """Up to 20 rounds of four runs, by the same walk as all detections."""
     pts = tables.nation_points(spark, sf, YEARS)
     tr = ev.calibrate_sigma(pts, SIGMA, S1, S2, STARTS, LEARNING_RATES, ITERATIONS,
-                            threshold=SWEEP_THRESHOLD, d=1)
+                            threshold=SWEEP_THRESHOLD)
     return tr.select("run_id", "iter", _r("sigma"), _r("loss"), "same", _r("learning_rate"))
 
 

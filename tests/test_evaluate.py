@@ -75,6 +75,20 @@ def test_one_sigma_is_scored_by_loss_or_match(spark):
     assert r.loss > 0 and r.score == (0.0 if r.same else r.loss)
 
 
+def test_calibration_query_walks_as_all_detections(monkeypatch):
+    from graphdelta.plans import queries
+
+    class Trace:
+        def select(self, *columns):
+            return self
+    given = {}
+    monkeypatch.setattr(queries.tables, "nation_points", lambda *a: None)
+    monkeypatch.setattr(queries, "_r", lambda *a: None)
+    monkeypatch.setattr(queries.ev, "calibrate_sigma", lambda *a, **k: given.update(k) or Trace())
+    queries.q_calibrate_sigma(None, "")
+    assert given == {"threshold": queries.SWEEP_THRESHOLD}
+
+
 def test_top_fraction_and_perturb(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(0, 1, (30, 3))
