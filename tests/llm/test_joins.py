@@ -285,7 +285,9 @@ def test_suffix_dedup_finds_partners_far_away_in_a_crowded_key(spark):
     """Pairs that share a few own words before a passage which stands in many
     documents, each of which goes on in its own way."""
     rnd = np.random.default_rng(4)
-    hot = [f"h{i}" for i in range(40)]
+    passages = [[f"h{v}x{i}" for i in range(40)] for v in range(60)]
+    # the one whose first words draw the minimisers away from the own ones
+    hot = min(passages, key=lambda p: window_hashes(word_hashes(" ".join(p).encode()), 8, 1)[:6].min())
     texts = []
     for k in range(60):
         own = [f"o{k}x{i}" for i in range(12)]
