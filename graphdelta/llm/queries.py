@@ -62,9 +62,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphdelta.llm.fill_in_middle import digest, fill_in_middle
+    return digest(fill_in_middle(documents(spark, sf_dir)))
+
+
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphdelta.llm.topk_search import top_k
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return top_k(vectors, vectors["vec_id"] % 20 == 0, k=20, scale=64.0)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphdelta.llm.divergence import source_divergence
+    return source_divergence(documents(spark, sf_dir), least_docs=10, top_terms=10)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_benchmark_decontamination, op3_secret_scans, op4_token_counts,
     op5_document_fingerprints, op6_packing, op7_suffix_array_dedup, op8_substring_dedup,
-    op9_line_dedup, op10_toxicity)}
+    op9_line_dedup, op10_toxicity, op11_fill_in_middle, op12_topk_search, op13_source_divergence)}
 
 __all__ = ["QUERIES", "SQL"]

@@ -115,5 +115,75 @@ SELECT d.doc_id, CAST(len(string_split(coalesce(any_value(d.text), ''), chr(10))
   count(r.k) AS n_removed, coalesce(string_agg(CAST(r.k AS VARCHAR), ',' ORDER BY r.k), '') AS removed
 FROM documents d LEFT JOIN removed r ON d.doc_id = r.doc_id GROUP BY d.doc_id"""
 
+OP11 = r"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+         sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+numbers AS (
+  SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS x, ('0x' || h[9:16])::BIGINT % (n + 1) AS y,
+         ('0x' || h[17:24])::BIGINT % 100 AS f, ('0x' || h[25:32])::BIGINT % 100 AS g FROM drawn),
+cuts AS (
+  SELECT doc_id, t, n, least(x, y) AS a, greatest(x, y) AS b,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR f >= 90
+              THEN 'plain' WHEN g < 20 THEN 'spm' ELSE 'psm' END AS form FROM numbers),
+parts AS (
+  SELECT *, left(t, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1) AS s FROM cuts)
+SELECT doc_id, n::BIGINT AS n, form,
+       CASE WHEN form <> 'plain' THEN a END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN b - a END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256
+FROM parts"""
+
+OP12 = """
+WITH whole AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM whole q JOIN whole c ON q.r <> c.r WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 20"""
+
+OP13 = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+found AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (
+  SELECT lang, term, count(*) AS c FROM found GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (
+  SELECT lang, source, term, count(*) AS c FROM found SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+vocabulary AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang),
+totals AS (SELECT lang, source, sum(c) AS n FROM counts GROUP BY ALL),
+every AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+         1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 2)) // (coalesce(t.n, 0) + 2 * v.v) AS p,
+         1 + (1000000000::HUGEINT * (k.c + 2)) // (v.n + 2 * v.v) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN vocabulary v USING (lang)
+  LEFT JOIN totals t USING (lang, source)
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item FROM groups a JOIN groups b
+  ON a.lang = b.lang AND a.source <> b.source),
+pair_values AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM every a JOIN every b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+items AS (
+  SELECT lang, source, 'pair' AS part, item, coalesce(value, 0) AS value
+  FROM pairs LEFT JOIN pair_values USING (lang, source, item)
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM every WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM items)
+WHERE part = 'pair' OR rank <= 10"""
+
 SQL = {"op1_ngram_jaccard_join": OP1, "op2_benchmark_decontamination": OP2, "op7_suffix_array_dedup": OP7,
-       "op8_substring_dedup": OP8, "op9_line_dedup": OP9}
+       "op8_substring_dedup": OP8, "op9_line_dedup": OP9,
+       "op11_fill_in_middle": OP11, "op12_topk_search": OP12, "op13_source_divergence": OP13}
