@@ -174,13 +174,14 @@ def _cell(key, counts: pa.Table, sources: pa.Table) -> pa.Table:
     number = {s: i for i, s in enumerate(names)}
     first, second = np.flatnonzero(tiles == tile_a), np.flatnonzero(tiles == tile_b)
     sums = np.zeros((len(names), len(names)), dtype=np.int64)
+    terms, unseen = (int(sources.column(c)[0].as_py()) for c in ("terms", "in_block"))
     if counts.num_rows:
-        terms = int(sources.column("terms")[0].as_py())
         codes = counts.column("term_key").combine_chunks().dictionary_encode()
         if isinstance(codes, pa.ChunkedArray):
             codes = codes.combine_chunks()
         column = np.asarray(codes.indices).astype(np.int64)
         width = int(column.max()) + 1
+        unseen -= width
         source = np.array([number[s] for s in counts.column("source").to_pylist()])
         n = np.asarray(counts.column("n"))
         by_term = np.argsort(column, kind="stable")
@@ -197,6 +198,10 @@ def _cell(key, counts: pa.Table, sources: pa.Table) -> pa.Table:
                     j = others[part:part + 16]
                     off = p[j] - p[i]
                     sums[i, j] += (off * off // (p[j] + p[i])).sum(axis=1)
+    if unseen:  # terms of the block that only sources of other tiles have
+        p = _shares(np.zeros(len(names), dtype=np.int64), totals, terms)
+        off = p[:, None] - p
+        sums += unseen * (off * off // (p[:, None] + p))
     i, j = np.meshgrid(first, second, indexing="ij")
     use = i < j if tile_a == tile_b else np.ones_like(i, dtype=bool)
     i, j = i[use], j[use]
@@ -268,9 +273,11 @@ def source_divergence(table: DataFrame, least_docs: int = 10, top_terms: int = 1
                   .select(*cell[:2], *sides, "source", "n",
                           F.concat(F.col("digest").cast("string").cast("binary"), F.lit(b":"), "split")
                            .alias("term_key")))
+    in_block = spelling.groupBy("lang", of_term.alias("block")).agg(F.count(F.lit(1)).alias("in_block"))
     placed = (groups.withColumn("tile", of_source)
                     .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-                    .select("*", all_tiles).select(*cell[:2], *sides, "source", "tile", "total", "terms"))
+                    .join(in_block, ["lang", "block"], "left").na.fill(0, ["in_block"]).select("*", all_tiles)
+                    .select(*cell[:2], *sides, "source", "tile", "total", "terms", "in_block"))
     sums = (counts.groupBy(*cell).cogroup(placed.groupBy(*cell))
                   .applyInArrow(_cell, "lang string, a string, b string, value long")
                   .groupBy("lang", "a", "b").agg(F.sum("value").alias("value")))

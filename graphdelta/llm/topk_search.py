@@ -137,8 +137,8 @@ def _cells(row: dict, prefix: str = "") -> np.ndarray:
 
 def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Scores of numbers too large for doubles."""
-    big = q.T.astype(object) @ c.astype(object) if len(q) else np.zeros((q.shape[1], c.shape[1]))
-    return np.clip(np.vectorize(int, otypes=[object])(big), int(_LAST.min), int(_LAST.max)).astype(np.int64)
+    q, c = (np.array([[int(x) for x in row] for row in m.tolist()], dtype=object) for m in (q, c))
+    return np.clip(q.T @ c, int(_LAST.min), int(_LAST.max)).astype(np.int64)
 
 
 def _squares(q: np.ndarray) -> np.ndarray:
@@ -156,7 +156,7 @@ def search_block(q: np.ndarray, c: np.ndarray, bound: np.ndarray) -> tuple[np.nd
     q, c = (np.vstack([m, np.zeros((d - len(m), m.shape[1]), m.dtype)]) if len(m) < d else m for m in (q, c))
     most = d * (float(np.abs(q).max(initial=0)) or 1.0) * (float(np.abs(c).max(initial=0)) or 1.0)
     if most >= 2**53:
-        score = _exact(np.asarray(q, dtype=np.float64), np.asarray(c, dtype=np.float64))
+        score = _exact(q, c)
         qi, ci = np.nonzero(score >= bound[:, None])
         return qi, ci, score[qi, ci]
     real = np.float32 if most < 2**24 else np.float64  # whole numbers, added exactly
