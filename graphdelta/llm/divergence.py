@@ -9,7 +9,8 @@ digest, and only those are counted again by their strings.  A digest that is not
 needs no such look, since the terms under it are in fewer documents still.  Texts of
 terms are joined back to the few rows that are put out.
 
-Within a task terms are counted exactly, as strings, and handed on under their digest.
+Within a task digests are counted in arrays of fixed-width rows; the hash of a text's
+terms is worked out for all of them at once.
 
 ``value`` compares two smoothed shares in billionths, all in whole numbers:
 ``p = 1 + floor(1e9 * (count + 2) / (N + 2 V))``, ``f = floor((p - q)^2 / (p + q))``.
@@ -30,11 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphdelta.llm.common import materialise, slices
+from graphdelta.llm.textops import span_hashes
 
 # Runs of letters A-Z, a-z and of all characters beyond ASCII, in UTF-8.
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
@@ -42,98 +43,165 @@ GAP = re.compile(rb"[^A-Za-z\x80-\xff]")
 PIECE = 1 << 20
 TILE = 128  # sources in a tile
 ROWS_PER_CELL = 200_000
-HELD = 300_000  # entries a task counts before it hands them on
-HELD_BYTES = 64 << 20
+SLICE = 1 << 20  # bytes of text hashed at a time
+HELD = 2_000_000  # counted digests a task holds before it hands them on
+# Terms, as strings, that a task holds, and the text it reads before it hands them on.
+SPELLED, SPELLED_BYTES = 600_000, 256 << 20
 SALTS = 32
 
-COUNTS = "lang string, source string, digest long, term binary, n long, docs long"
+_IN_TERM = np.array([chr(x).isalpha() and x < 128 or x >= 128 for x in range(256)])
 
+COUNTS = "lang string, source string, digest long, n long, docs long"
 
-def _terms(text: str) -> Iterator[list[bytes]]:
-    """The terms of a text, of a long one in pieces cut between terms."""
-    raw = text.encode().lower()  # of bytes, lower() turns A-Z alone
+
+def _pieces(raw: bytes) -> Iterator[tuple[int, int]]:
+    """Cuts of a long text, made between terms."""
     lo = 0
     while len(raw) - lo > 2 * PIECE:
         gap = GAP.search(raw, lo + PIECE)
         if gap is None:
             break
-        yield TERM.findall(raw, lo, gap.start())
+        yield lo, gap.start()
         lo = gap.start()
-    yield TERM.findall(raw, lo)
+    yield lo, len(raw)
+
+
+def _terms(raw: bytes) -> Iterator[list[bytes]]:
+    return (TERM.findall(raw, lo, hi) for lo, hi in _pieces(raw))
+
 
+def _digests(raw: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each term of a lower-case text starts and its digest, a signed number of
+    ``bits`` bits."""
+    starts, out = [], []
+    for lo, hi in _pieces(raw):
+        b = np.frombuffer(raw, dtype=np.uint8, count=hi - lo, offset=lo)
+        inside = np.zeros(len(b) + 2, dtype=np.int8)
+        inside[1:-1] = _IN_TERM[b]
+        step = np.diff(inside)
+        start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        starts.append(start + lo)
+        out.append(span_hashes(b, start, end) >> np.uint64(64 - bits))
+    return np.concatenate(starts), np.concatenate(out).view(np.int64)
 
-def _digest(term: bytes, bits: int) -> int:
-    """Digest of a term as a signed 64-bit number, ``bits`` of it in use."""
-    x = xxhash.xxh3_64_intdigest(term) >> (64 - bits)
-    return x - (1 << 64) if x >= 1 << 63 else x
 
+def _summed(group: np.ndarray, digest: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows of equal group and digest added up, in order of both."""
+    order = np.argsort(digest)
+    small = group.astype(np.uint16) if len(group) and group.max() < 1 << 16 else group
+    order = order[np.argsort(small[order], kind="stable")]
+    group, digest = group[order], digest[order]
+    first = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (digest[1:] != digest[:-1])]
+                           [:len(group)])
+    return group[first], digest[first], *(np.add.reduceat(x[order], first) if len(first) else x for x in sums)
 
-def _counter(bits: int, spelled: bool):
-    """Counts terms by group: ``n`` occurrences in ``docs`` documents; the term itself
-    goes out only where ``spelled``."""
+
+def _counter(bits: int):
+    """Counts digests by group: ``n`` occurrences in ``docs`` documents.  What a task
+    holds is arrays of fixed-width rows, merged as they grow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        held = 0
-
-        def flush():
-            rows = [(lang, source, t, n, docs[t]) for (lang, source), (counts, docs) in groups.items()
-                    for t, n in counts.items()]
-            for lo in range(0, len(rows), 50_000):
-                lang, source, term, n, docs = zip(*rows[lo:lo + 50_000])
+        groups: dict[tuple[str, str], int] = {}
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def merged():
+            return _summed(*(np.concatenate(x) for x in zip(*held)))
+
+        def out():
+            group, digest, n, docs = merged()
+            lang, source = (pa.array(x, pa.string()) for x in zip(*groups))
+            for lo in range(0, len(group), 200_000):
+                at = pa.array(group[lo:lo + 200_000])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lang, pa.string()), pa.array(source, pa.string()),
-                     pa.array([_digest(t, bits) for t in term], pa.int64()),
-                     pa.array(term if spelled else [None] * len(term), pa.binary()),
-                     pa.array(n, pa.int64()), pa.array(docs, pa.int64())],
-                    names=["lang", "source", "digest", "term", "n", "docs"])
+                    [lang.take(at), source.take(at), *(pa.array(x[lo:lo + 200_000]) for x in (digest, n, docs))],
+                    names=["lang", "source", "digest", "n", "docs"])
+
+        for b in slices(batches, size=SLICE):
+            raws = [t.encode().lower() for t in b.column("text").to_pylist()]  # of bytes: A-Z alone
+            ends = np.cumsum([len(r) + 1 for r in raws])
+            start, digest = _digests(b"\n".join(raws), bits)
+            if not len(start):
+                continue
+            doc, digest, n = _summed(np.searchsorted(ends, start, side="right"), digest,
+                                     np.ones(len(start), dtype=np.int64))
+            group = np.array([groups.setdefault(g, len(groups)) for g in
+                              zip(b.column("lang").to_pylist(), b.column("source").to_pylist())])
+            held.append((group[doc], digest, n, np.ones(len(doc), dtype=np.int64)))
+            size += len(doc)
+            if size > 2 * HELD:
+                held = [merged()]
+                size = len(held[0][0])
+                if size > HELD:
+                    yield from out()
+                    groups, held, size = {}, [], 0
+        if held:
+            yield from out()
 
-        size = 0
-        for b in slices(batches):
+    return run
+
+
+def _strings(terms: list[bytes], bits: int) -> tuple[pa.Array, pa.Array]:
+    """Digests of terms, and the terms."""
+    return pa.array(_digests(b"\n".join(terms), bits)[1]), pa.array(terms, pa.binary())
+
+
+def _speller(bits: int):
+    """Distinct terms of each language, ``(lang, digest, term)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, set[bytes]] = {}
+
+        def out():
+            for lang, terms in seen.items():
+                terms = list(terms)
+                for lo in range(0, len(terms), 50_000):
+                    digest, term = _strings(terms[lo:lo + 50_000], bits)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(term), pa.string()), digest, term],
+                                                     names=["lang", "digest", "term"])
+
+        read = 0
+        for b in slices(batches, size=SLICE):
+            by_lang: dict[str, list[str]] = {}
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
+                by_lang.setdefault(lang, []).append(text)
+            for lang, texts in by_lang.items():
+                seen.setdefault(lang, set()).update(*_terms("\n".join(texts).encode().lower()))
+            entries = sum(map(len, seen.values()))
+            read += b.nbytes
+            if entries > SPELLED or read > SPELLED_BYTES:
+                yield from out()
+                seen, read = {}, 0
+        yield from out()
+
+    return run
+
+
+def _split_counter(bits: int):
+    """Counts as ``_counter`` gives them, by the terms themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, size=SLICE):
+            groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
             for lang, source, text in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text"))):
                 counts, docs = groups.setdefault((lang, source), (Counter(), Counter()))
-                held -= len(counts)
                 distinct: set[bytes] = set()
-                for found in _terms(text):
+                for found in _terms(text.encode().lower()):
                     counts.update(found)
                     distinct.update(found)
                 docs.update(distinct)
-                held += len(counts)
-                size += sum(map(len, distinct))
-                if held > HELD or size > HELD_BYTES:
-                    yield from flush()
-                    groups, held, size = {}, 0, 0
-        yield from flush()
+            for (lang, source), (counts, docs) in groups.items():
+                if counts:
+                    digest, term = _strings(list(counts), bits)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(term), pa.string()), pa.array([source] * len(term), pa.string()),
+                         digest, pa.array(counts.values(), pa.int64()),
+                         pa.array([docs[t] for t in counts], pa.int64()), term],
+                        names=["lang", "source", "digest", "n", "docs", "term"])
 
     return run
 
 
-def _spelled(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Distinct terms of each language, ``(lang, digest, term)``."""
-    seen: dict[str, set[bytes]] = {}
-    size = 0
-
-    def flush():
-        for lang, terms in seen.items():
-            terms = list(terms)
-            for lo in range(0, len(terms), 50_000):
-                part = terms[lo:lo + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(part), pa.string()),
-                     pa.array([_digest(t, bits) for t in part], pa.int64()), pa.array(part, pa.binary())],
-                    names=["lang", "digest", "term"])
-
-    for b in slices(batches):
-        for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-            found = set().union(*_terms(text))
-            seen.setdefault(lang, set()).update(found)
-            size += sum(map(len, found)) // 8 + len(found) // 8
-        if sum(map(len, seen.values())) > HELD or size > HELD_BYTES:
-            yield from flush()
-            seen, size = {}, 0
-    yield from flush()
-
-
 def share(count: Column, total: Column, terms: Column) -> Column:
     """``1 + floor(1e9 * (count + 2) / (total + 2 * terms))`` in whole numbers, three
     digits at a time, so that nothing leaves 64 bits below 9e15 occurrences."""
@@ -216,12 +284,12 @@ def term_counts(docs: DataFrame, least_docs: int, bits: int) -> tuple[DataFrame,
     group, and ``(lang, digest, split, term)``.  ``split`` tells the terms of a shared
     digest apart and is empty elsewhere."""
     by_digest = materialise(
-        docs.mapInArrow(_counter(bits, spelled=False), COUNTS)
+        docs.mapInArrow(_counter(bits), COUNTS)
             .groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
     frequent = materialise(by_digest.groupBy("lang", "digest").agg(F.sum("docs").alias("docs"))
                                     .filter(F.col("docs") >= least_docs).select("lang", "digest"))
     ends = materialise(
-        docs.mapInArrow(lambda it: _spelled(it, bits), "lang string, digest long, term binary")
+        docs.mapInArrow(_speller(bits), "lang string, digest long, term binary")
             .join(frequent, ["lang", "digest"], "left_semi")
             .groupBy("lang", "digest").agg(F.min("term").alias("least"), F.max("term").alias("most")))
     shared = F.col("least") != F.col("most")
@@ -231,7 +299,7 @@ def term_counts(docs: DataFrame, least_docs: int, bits: int) -> tuple[DataFrame,
     spelling = ends.filter(~shared).select("lang", "digest", empty.alias("split"), F.col("least").alias("term"))
     if not ends.filter(shared).isEmpty():
         apart = materialise(
-            docs.mapInArrow(_counter(bits, spelled=True), COUNTS)
+            docs.mapInArrow(_split_counter(bits), COUNTS + ", term binary")
                 .join(ends.filter(shared).select("lang", "digest"), ["lang", "digest"], "left_semi")
                 .groupBy("lang", "source", "digest", F.col("term").alias("split"))
                 .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))

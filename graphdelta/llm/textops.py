@@ -50,6 +50,11 @@ def _spans(values: np.ndarray, powers: _Powers, start: np.ndarray, end: np.ndarr
     return (sums[end] - sums[start]) * down[start]
 
 
+def span_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of a text's bytes."""
+    return scramble(_spans(_BYTES[b], _IN_WORD, start, end) + (end - start).astype(np.uint64))
+
+
 def _pieces(raw: bytes):
     """Cut long texts at white space, so that arrays stay small."""
     lo = 0
@@ -70,8 +75,7 @@ def word_hashes(raw: bytes) -> np.ndarray:
         step = np.diff(word)
         start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
         if len(start):
-            out.append(scramble(_spans(_BYTES[b], _IN_WORD, start, end)
-                                + (end - start).astype(np.uint64)))
+            out.append(span_hashes(b, start, end))
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 

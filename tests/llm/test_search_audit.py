@@ -282,9 +282,21 @@ def test_divergence_counts_long_texts_in_pieces(monkeypatch):
     monkeypatch.setattr(divergence, "PIECE", 10)
     text = "Some words, and a_very_LONG" + "é" * 40 + " one; then more " * 9
     want = [t.encode() for t in TERM.findall(text.translate(LOWER))]
-    pieces = list(divergence._terms(text))
+    raw = text.encode().lower()
+    pieces = list(divergence._terms(raw))
     assert [t for p in pieces for t in p] == want and len(pieces) > 3
-    assert [t for p in divergence._terms("é" * 200) for t in p] == ["é".encode() * 200]
+    start, digest = divergence._digests(raw, 64)
+    assert [raw[s:s + len(t)] for s, t in zip(start, want)] == want
+    assert digest.tolist() == divergence._strings(want, 64)[0].to_pylist() and len(set(digest)) == len(set(want))
+    assert [t for p in divergence._terms(("é" * 200).encode()) for t in p] == ["é".encode() * 200]
+
+
+def test_counts_held_by_a_task_are_merged(spark, audit, monkeypatch):
+    rows, want = audit
+    monkeypatch.setattr(divergence, "SLICE", 300)
+    monkeypatch.setattr(divergence, "HELD", 150)
+    monkeypatch.setattr(divergence, "SPELLED", 50)
+    assert audited(spark, rows) == want
 
 
 def test_divergence_without_rows_or_terms(spark):
