@@ -7,8 +7,10 @@ dropped.  The others are sorted over the whole corpus; each is compared with its
 neighbours, and the common part is extended to the right and to the left.
 
 Where more suffixes share their first words than all meet as neighbours, the
-partner of a match can lie anywhere among them.  There the windows of ``least``
-words around each suffix are counted as well: equal ones are a match.
+partner of a match can lie anywhere among them, in another part of the sort too.  There
+the windows of ``least`` words around each suffix are counted as well: equal ones are a
+match.  All other keys lie whole in one part, so the result does not depend on the
+number of parts.
 
 A passage of ``least`` words has a suffix within its first ``RUN`` words, so the
 words that two such suffixes must share (``least`` - ``RUN`` + 1) and ``RUN`` words
@@ -21,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,16 +145,21 @@ def suffixes(rows: DataFrame, least: int, kmer: int, run: int) -> DataFrame:
     return texts.join(found, ["doc", "th"]).select("doc", "th", "text", "found").mapInArrow(build, SUFFIX)
 
 
-def crowded_windows(rows: DataFrame, kept: DataFrame, least: int, run: int) -> DataFrame:
+def crowded_keys(kept: DataFrame) -> DataFrame:
+    """Keys of more suffixes than all meet each other as neighbours, ``(key, crowded)``;
+    marked for broadcast if they are, counted, within the bound."""
+    keys = materialise(kept.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+                       .where(F.col("c") > NEIGHBOURS + 1).select("key", F.lit(True).alias("crowded")))
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def crowded_windows(rows: DataFrame, kept: DataFrame, crowded: DataFrame, least: int, run: int) -> DataFrame:
     """Spans of the windows of ``least`` words that stand elsewhere too, around the
     suffixes whose key is too frequent for each to meet each as neighbours.
 
     Equal windows have suffixes at equal places, so all of them are read.
     """
-    keys = materialise(kept.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-                       .where(F.col("c") > NEIGHBOURS + 1).select("key"))
-    near = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-    places = kept.select("key", "doc", "th", "at").join(near, "key").groupBy("doc", "th").agg(
+    places = kept.select("key", "doc", "th", "at").join(crowded, "key").groupBy("doc", "th").agg(
         F.collect_list("at").alias("places"))
 
     def windows(row: dict):
@@ -199,12 +205,13 @@ def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS, kmer: int = KME
     spark, fixed = docs.sparkSession, least - run + 1
     kept = materialise(suffixes(rows, least, kmer, run))
     release(spark)
+    crowded = crowded_keys(kept)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                 -(-kept.count() // SUFFIXES_PER_PART))
-    order = ["key", "right", "left", "doc", "th", "at"]
+    order = ["right", "left", "doc", "th", "at"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, sent = TaskContext.get().partitionId(), None, 0
+        held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -213,56 +220,17 @@ def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS, kmer: int = KME
             index = np.arange(both.num_rows)
             near = ((index[:-d], index[d:]) for d in range(1, NEIGHBOURS + 1))
             if len(spans := Context(both, run).spans(near, fixed, least)):
-                yield shown(part, None, spans, None)
-            if sent < NEIGHBOURS:
-                yield shown(part, "first", None, batch.slice(0, NEIGHBOURS - sent))
-                sent += min(batch.num_rows, NEIGHBOURS - sent)
+                yield pa.RecordBatch.from_arrays([pa.array(spans[:, c]) for c in range(4)],
+                                                 names=["doc", "th", "start", "end"])
             held = both.slice(max(0, both.num_rows - NEIGHBOURS))
-        if held is not None:
-            yield shown(part, "last", None, held)
-
-    names = ["part", "edge", "start", "end", *[f.name for f in _SUFFIX]]
-
-    def shown(part: int, edge: str | None, spans, suffix) -> pa.RecordBatch:
-        n = len(spans) if suffix is None else suffix.num_rows
-        none = pa.nulls(n)
-        if suffix is None:
-            given = {"doc": pa.array(spans[:, 0]), "th": pa.array(spans[:, 1]),
-                     "start": pa.array(spans[:, 2]), "end": pa.array(spans[:, 3])}
-        else:
-            given = dict(zip(suffix.schema.names, suffix.columns))
-        kinds = {f.name: f.type for f in _SUFFIX} | {"part": pa.int32(), "edge": pa.string(),
-                                                     "start": pa.int64(), "end": pa.int64()}
-        given |= {"part": pa.array([part] * n, pa.int32()), "edge": pa.array([edge] * n, pa.string())}
-        return pa.RecordBatch.from_arrays([given.get(k, none.cast(kinds[k])) for k in names], names=names)
-
-    kinds = "part int, edge string, start long, end long, " + SUFFIX
-    done = materialise(kept.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-                       .mapInArrow(compare, kinds))
-    # neighbours across the parts' ends: a few suffixes of each part
-    used = sorted(r.part for r in done.where("edge = 'first'").select("part").distinct().collect())
-    after = spark.createDataFrame(list(zip(used, used[1:])), "part int, next_part int")
-    own = [f.name for f in _SUFFIX]
-
-    def listed(edge: str, name: str, part: str) -> DataFrame:
-        return (done.where(F.col("edge") == edge).groupBy(F.col("part").alias(part))
-                .agg(F.collect_list(F.struct(*own)).alias(name)))
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                n, m = len(r["ends"]), len(r["begins"])
-                both = Context(pa.RecordBatch.from_pylist(r["ends"] + r["begins"], schema=_SUFFIX), run)
-                pairs = ((np.array([i]), np.array([n + j])) for i in range(n) for j in range(m))
-                if len(spans := both.spans(pairs, fixed, least)):
-                    yield pa.RecordBatch.from_arrays([pa.array(spans[:, c]) for c in range(4)],
-                                                     names=["doc", "th", "start", "end"])
-
-    joined = (listed("last", "ends", "part").join(after, "part")
-              .join(listed("first", "begins", "next_part"), "next_part")
-              .select("ends", "begins").mapInArrow(close, SPAN))
-    spans = done.where("edge is null").select("doc", "th", "start", "end").union(joined)
-    spans = spans.union(crowded_windows(rows, kept, least, run))
+
+    # The sort is global.  Its parts end between keys, so that all suffixes of a key meet
+    # in one; only within a crowded key may they end at any suffix, and what lies beyond
+    # is found by its windows.
+    ends = ["key", *(F.when(F.col("crowded"), F.col(c)) for c in order)]
+    spans = (kept.join(crowded, "key", "left").repartitionByRange(parts, *ends)
+             .sortWithinPartitions("key", *order).drop("crowded").mapInArrow(compare, SPAN))
+    spans = spans.union(crowded_windows(rows, kept, crowded, least, run))
     whole = spans.distinct().groupBy("doc", "th").agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("all"))
     # overlapping and touching spans become one

@@ -1,6 +1,7 @@
 """Operators on pairs and repeats against brute force: n-gram join, decontamination,
 suffix array, substring and line dedup."""
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -281,6 +282,34 @@ def test_suffix_dedup_equals_brute_force(docs, corpus):
     assert got == want
 
 
+@pytest.mark.parametrize("parts", [1, 4, 600])
+def test_suffix_dedup_at_any_number_of_parts(spark, parts):
+    """Groups of four texts that share 40 words, two of them ten more before these; with
+    many parts most hold fewer suffixes than are compared, or none."""
+    rnd = random.Random(8)
+    words = iter("w%07d" % x for x in rnd.sample(range(10**7), 60_000))
+
+    def take(n):
+        return [next(words) for _ in range(n)]
+    texts, want = [], {}
+    for _ in range(80):
+        shared, before = take(40), take(10)
+        for k in range(4):
+            doc = len(texts)
+            texts.append((doc, " ".join(take(20) + (before if k < 2 else take(10)) + shared + take(20))))
+            want[doc] = 50 if k < 2 else 0
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+        got = suffix_dedup.digest(suffix_dedup.repeated_passages(frame, 50)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert {r.doc_id: r.n_repeated for r in got} == want
+
+
 def test_suffix_dedup_finds_partners_far_away_in_a_crowded_key(spark):
     """Pairs that share a few own words before a passage which stands in many
     documents, each of which goes on in its own way."""
