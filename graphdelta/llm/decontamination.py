@@ -3,15 +3,16 @@
 Every window that could match an item has a shingle of it, so shingles shared with
 the benchmark say where windows are read: at the places where the item would have
 to begin.  Each such window, as long as its item, gets a 64-bit SimHash of its
-weighted shingles (weight: how often the window has it), as every item does.
-
-A multi-index finds all pairs of fingerprints within the radius: cut into
-``RADIUS + 1`` blocks, two fingerprints that differ in at most ``RADIUS`` bits
-agree in a block.  Fingerprints follow the angle of the weights, which a phrase that
-is repeated and changed can turn far at little loss of similarity, so the index
-alone is no guarantee: a document that has enough of an item's shingles for a match
-is paired with it whatever the bits say.  All pairs are verified by the exact
-weighted Jaccard similarity of their shingles.
+weighted shingles, as every item does.  A shingle's weight, how often the window has
+it, enters as so many numbered occurrences: the weighted Jaccard similarity is then
+that of two sets, and the angle between fingerprints follows it also where a phrase
+is repeated.
+
+A multi-index finds all pairs of fingerprints within the radius and is the only source
+of pairs: cut into ``RADIUS + 1`` blocks, two fingerprints that differ in at most
+``RADIUS`` bits agree in a block.  The pairs are verified by the exact weighted Jaccard
+similarity of their shingles.  With ``radius=64`` every window meets every item of its
+length: the exact path, against which recall is tested.
 """
 from __future__ import annotations
 
@@ -24,13 +25,14 @@ from graphdelta.llm.repeats import keyed
 
 WORDS = 5
 PERCENT = 80
-# Similar windows of distinct shingles (Jaccard 0.8: an angle of 27 degrees) differ in
-# about 10 of 64 bits, give or take 3; the radius lies over three deviations beyond.
+# At a similarity of 0.8 two sets lie at most 27 degrees apart and differ in about 10 of
+# 64 bits, give or take 3; the radius lies over three deviations beyond, so of pairs
+# right at the threshold some 0.03 % are missed and of closer ones fewer.
 RADIUS = 20
 BITS = 64
-#: Rows of the benchmark's side (shingles, index blocks) that may be broadcast;
-#: a larger benchmark is joined by shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Bytes of the benchmark's side (shingles, index blocks) that may be broadcast, as
+#: counted; a larger benchmark is joined by shuffles.
+BROADCAST_BYTES = 64 << 20
 
 WHITE = "[\\x20\\x09-\\x0D]+"
 
@@ -46,6 +48,18 @@ def shingles(words: Column, size: Column) -> Column:
                        lambda i: F.xxhash64(F.slice(words, i, size)))
 
 
+def numbered(tokens: Column) -> Column:
+    """Tokens in which repeated ones are told apart by their number, in no certain
+    order: a set that stands for the counts."""
+    def apart(inorder: Column) -> Column:
+        def name(t: Column, i: Column) -> Column:
+            nth = i + 1 - F.array_position(inorder, t)
+            return F.when(nth == 0, t).otherwise(F.xxhash64(t, nth))
+        return F.transform(inorder, name)
+    return F.when(F.size(F.array_distinct(tokens)) == F.size(tokens), tokens).otherwise(
+        bound(F.array_sort(tokens), apart))
+
+
 def simhash(tokens: Column) -> Column:
     """Bit k is set if more tokens, counted with their weight, have it than not."""
     def votes(k: Column) -> Column:
@@ -60,22 +74,16 @@ def blocks(fingerprint: Column, radius: int) -> Column:
     """Array of (block, bits): ``radius`` + 1 blocks that share out all bits."""
     edges = [BITS * k // (radius + 1) for k in range(radius + 2)]
     return F.array(*(F.struct(F.lit(k).alias("block"),
-                              F.shiftrightunsigned(fingerprint, lo).bitwiseAND(
-                                  F.lit((1 << (hi - lo)) - 1)).alias("bits"))
+                              (fingerprint if hi - lo == BITS else
+                               F.shiftrightunsigned(fingerprint, lo).bitwiseAND(
+                                   F.lit((1 << (hi - lo)) - 1))).alias("bits"))
                      for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:]))))
 
 
-def overlap(a: Column, b: Column) -> Column:
-    """Shared weight of two token lists: the lesser count of every token."""
-    def count(tokens: Column, t: Column) -> Column:
-        return F.size(F.filter(tokens, lambda u: u == t))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0),
-                       lambda n, t: n + F.least(count(a, t), count(b, t)))
-
-
-def small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if its rows, counted, are within the bound."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, width: Column | int) -> DataFrame:
+    """Marked for broadcast if its bytes, counted as ``width`` a row, are within the bound."""
+    size = df.agg(F.sum(F.lit(width) if isinstance(width, int) else width)).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS,
@@ -88,13 +96,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS,
 
     A window has as many consecutive words as its item, or all words of a shorter
     document.  It matches if the weighted Jaccard similarity of its word shingles
-    to the item's is at least ``percent`` / 100.  ``radius`` says which pairs the index
-    proposes and loses no match.  Words are lower-cased.  Null and empty texts and items
+    to the item's is at least ``percent`` / 100 and the fingerprints differ in at most
+    ``radius`` bits (0 to 64; 64 is no condition).  Words are lower-cased.  Null and empty texts and items
     match nothing; items of fewer words are one shingle.  Items of equal text are
     told apart by id, repeated items count once, items without an id are left out.
     Rows equal in id and text have the same result each; an empty table on
     either side gives no rows.
     """
+    if not 0 <= radius <= BITS:
+        raise ValueError(f"radius {radius} is not in 0..{BITS}")
     rows = keyed(docs, id_col, text_col)
     items = materialise(
         benchmark.select(benchmark[item_col].cast("long").alias("item_id"),
@@ -102,8 +112,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS,
         .where("item_id is not null and size(w) > 0").dropDuplicates(["item_id", "w"])
         .select("item_id", F.size("w").alias("m"), F.least(F.size("w"), F.lit(words)).alias("size"),
                 shingles(F.col("w"), F.least(F.size("w"), F.lit(words))).alias("tokens"))
-        .withColumn("fingerprint", bound(F.col("tokens"), simhash)))
-    seeds = small(items.select("item_id", "m", "size", F.posexplode("tokens").alias("j", "token")))
+        .withColumn("set", numbered(F.col("tokens")))
+        .withColumn("fingerprint", bound(F.col("set"), simhash)))
+    seeds = small(items.select("item_id", "m", "size", F.posexplode("tokens").alias("j", "token")), 48)
     # at most `words` different shingle sizes, most often one
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect()) or [words]
 
@@ -117,14 +128,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS,
         hits = at if hits is None else hits.union(at)
     # where the item would begin, moved into the document
     length = F.least("m", "n")
-    met = materialise(
+    windows = materialise(
         hits.join(seeds, ["token", "size"])
-        .select("doc", "th", "item_id", "j", "m", "size", length.alias("length"),
+        .select("doc", "th", "m", "size", length.alias("length"),
                 F.least(F.greatest(F.col("i") - F.col("j"), F.lit(0)), F.col("n") - length).alias("start"))
-        .groupBy("doc", "th", "item_id", "m", "size", "length")
-        .agg(F.size(F.collect_set("j")).alias("n_met"), F.collect_set("start").alias("starts")))
-    windows = materialise(met.select("doc", "th", "m", "size", "length", F.explode("starts").alias("start"))
-                          .distinct())
+        .distinct())
 
     wanted = windows.groupBy("doc", "th").agg(
         F.collect_list(F.struct("m", "size", "length", "start")).alias("wanted"))
@@ -132,28 +140,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS,
             .select("doc", "th", word_list(F.col("text")).alias("w"), "wanted")
             .select("doc", "th", "w", F.explode("wanted").alias("s"))
             .select("doc", "th", "s.*", F.slice("w", F.col("s.start") + 1, F.col("s.length")).alias("w"))
-            .withColumn("tokens", shingles(F.col("w"), F.col("size"))).drop("w")
-            .withColumn("fingerprint", bound(F.col("tokens"), simhash)))
+            .withColumn("set", numbered(shingles(F.col("w"), F.col("size")))).drop("w")
+            .withColumn("fingerprint", bound(F.col("set"), simhash)))
     found = materialise(read)
     index = small(items.select("item_id", "m", F.col("fingerprint").alias("item_fingerprint"),
                                F.explode(blocks(F.col("fingerprint"), radius)).alias("at"))
-                  .select("item_id", "m", "item_fingerprint", "at.*"))
+                  .select("item_id", "m", "item_fingerprint", "at.*"), 56)
     near = (found.select("doc", "th", "start", "m", "fingerprint",
                          F.explode(blocks(F.col("fingerprint"), radius)).alias("at"))
             .select("doc", "th", "start", "m", "fingerprint", "at.*")
             .join(index, ["m", "block", "bits"])
             .where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))) <= radius)
-            .select("doc", "th", "start", "m", "item_id"))
-    # a match shares at least `percent` % of the item's shingles, each counted by its place
-    enough = met.where(100 * F.col("n_met") >= percent * (F.col("m") - F.col("size") + 1)).select(
-        "doc", "th", F.explode("starts").alias("start"), "m", "item_id")
-    near = near.union(enough).distinct()
-    same = overlap(F.col("tokens"), F.col("item_tokens"))
-    checked = (near.join(found.select("doc", "th", "start", "m", "length", "tokens"),
+            .select("doc", "th", "start", "m", "item_id").distinct())
+    held = small(items.select("item_id", F.col("set").alias("item_set")), 8 * F.size("item_set") + 32)
+    checked = (near.join(found.select("doc", "th", "start", "m", "length", "set"),
                          ["doc", "th", "start", "m"])
-               .join(small(items.select("item_id", F.col("tokens").alias("item_tokens"))), "item_id")
-               .withColumn("same", same)
-               .withColumn("all", F.size("tokens") + F.size("item_tokens") - F.col("same"))
+               .join(held, "item_id")
+               .withColumn("same", F.size(F.array_intersect("set", "item_set")))
+               .withColumn("all", F.size("set") + F.size("item_set") - F.col("same"))
                .where(100 * F.col("same") >= percent * F.col("all")))
     best = checked.groupBy("doc", "th", "item_id").agg(F.max(F.struct(
         (F.col("same") / F.col("all")).alias("similarity"), (-F.col("start")).alias("start"),

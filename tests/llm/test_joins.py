@@ -197,8 +197,9 @@ def test_decontamination_equals_brute_force(spark, docs):
     assert kept.columns == ["doc_id", "text", "th"]
 
 
-def test_a_changed_refrain_is_found_beyond_the_radius(spark):
-    """A word repeated fifty times and replaced: similarity 0.82, fingerprints apart."""
+def test_a_changed_refrain_is_found(spark):
+    """A word repeated fifty times and replaced: similarity 0.82.  Numbered occurrences
+    keep the fingerprints within the radius."""
     items, texts = [], []
     for k in range(4):
         rest = [f"w{k}x{i}" for i in range(500)]
@@ -211,6 +212,44 @@ def test_a_changed_refrain_is_found_beyond_the_radius(spark):
     assert {(r.doc_id, r.item_id): (r.similarity, r.start) for r in got.collect()} == want
 
 
+def test_recall_of_the_index(spark):
+    """Windows that lost or changed words, down to the threshold, some with refrains; the
+    exact path meets every item of the window's length."""
+    rnd = random.Random(11)
+    items, texts = [], []
+    for k in range(150):
+        size = rnd.choice([6, 12, 25, 60, 120])
+        words = [f"k{k}w{i}" if rnd.random() < 0.8 else f"k{k}la" for i in range(size)]
+        items.append((k, " ".join(words)))
+        for _ in range(3):
+            changed = list(words)
+            for _ in range(rnd.randint(0, max(1, size // 45))):
+                changed[rnd.choice([0, size - 1, rnd.randrange(size)])] = f"new{rnd.random()}"
+            texts.append((len(texts), " ".join([f"before{len(texts)}"] * 7 + changed + ["after"])))
+    texts = spark.createDataFrame(texts, "doc_id long, text string")
+    items = spark.createDataFrame(items, "item_id long, text string")
+
+    def found(radius):
+        return {(r.doc_id, r.item_id, r.start, r.similarity) for r in
+                decontamination.contaminated(texts, items, radius=radius).collect()}
+    exact, near, copies = found(64), found(decontamination.RADIUS), found(0)
+    assert len(exact) > 250 and sum(r[3] < 0.85 for r in exact) > 10
+    assert near <= exact and len(near) >= 0.99 * len(exact)
+    assert {r for r in exact if r[3] == 1.0} <= copies <= exact
+    with pytest.raises(ValueError):
+        decontamination.contaminated(texts, items, radius=65)
+
+
+def test_decontamination_of_repeated_rows_and_long_texts(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    long = " ".join(["filler words go on"] * 30_000 + [item] + ["and on"] * 1000)
+    rows = [(1, long), (1, long), (1, "another text"), (None, item), (2, item.upper()), (2, item.upper())]
+    got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"),
+                                       spark.createDataFrame([(5, item), (5, item)], "item_id long, text string"))
+    assert sorted(((r.doc_id, r.item_id, r.start, r.similarity) for r in got.collect()), key=repr) == [
+        (1, 5, 120_000, 1.0), (1, 5, 120_000, 1.0), (2, 5, 0, 1.0), (2, 5, 0, 1.0), (None, 5, 0, 1.0)]
+
+
 def test_simhash_and_its_index(spark):
     """Bits by vote; fingerprints within the radius always share a block."""
     rng = np.random.default_rng(0)
