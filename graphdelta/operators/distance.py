@@ -55,11 +55,12 @@ def gather_pairs(pairs: DataFrame, z: DataFrame, keys=("snapshot",),
     zi = z.select(*ks, "chunk", F.col("node").alias("i"), *[F.col(c).alias("a" + c) for c in cols])
     zj = z.select(*ks, "chunk", F.col("node").alias("j"), *[F.col(c).alias("b" + c) for c in cols])
     p = pairs.select(*ks, "i", "j")
-    if _fits(z.count(), width, broadcast_limit):
+    n_rows, n_chunks = (z.groupBy(*ks, "chunk").agg(F.count("*").alias("n"))
+                        .agg(F.sum("n"), F.count("*")).first())
+    if _fits(n_rows or 0, width, broadcast_limit):
         zi, zj = F.broadcast(zi), F.broadcast(zj)
         # pairs x chunks joined rows per task, not the pair table's bytes, set
         # the partition count (capped by the configured shuffle partitions)
-        n_chunks = z.select(*ks, "chunk").distinct().count()
         n_parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         work = max(1, math.ceil(p.count() * max(n_chunks, 1) / ROWS_PER_TASK))
         p = p.repartition(min(n_parts, work), *ks, "i", "j")

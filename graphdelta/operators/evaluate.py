@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernel import rbf_graph
-from .score import detect
+from .score import anomalous_nodes, detect
 
 
 def edge_diff(truth: DataFrame, pred: DataFrame, group_keys=(), value: str = "delta_e") -> DataFrame:
@@ -119,9 +119,10 @@ def _detected(points: DataFrame, keys, s1, s2, snapshot: str, min_weight: float,
     ks = list(keys)
     graph = ks if "sigma" in ks else ks + ["sigma"]
     edges = rbf_graph(points, "sigma", min_weight, keys=graph + [snapshot])
-    flagged, nodes = detect(edges.select(*ks, snapshot, "src", "dst", "w"), s1, s2, ks, snapshot,
-                            **detect_opts)
-    return flagged.checkpoint(eager=True), nodes.checkpoint(eager=True)
+    flagged, _ = detect(edges.select(*ks, snapshot, "src", "dst", "w"), s1, s2, ks, snapshot,
+                        **detect_opts)
+    flagged = flagged.checkpoint(eager=True)
+    return flagged, anomalous_nodes(flagged, ks)
 
 
 def _compared(flagged: DataFrame, nodes: DataFrame, truth: DataFrame, truth_nodes: DataFrame,

@@ -161,6 +161,74 @@ def _salted_edges(P: DataFrame, ks: list[str], n_parts: int, min_bucket: int,
     return salted, hot
 
 
+def _sizes(c: DataFrame, ks: list[str], width: int) -> tuple[int, int, int, int]:
+    """Of a dense vector, in one job: its rows; its chunks, added over the graphs; the
+    rows and the cells that a dense matrix over the same nodes has."""
+    blocks = F.countDistinct(F.when(F.col("chunk") == 0, floor_div("node", width)))
+    graphs = (c.groupBy(*ks).agg(F.count("*").alias("rows"), (F.max("chunk") + 1).alias("nch"),
+                                 blocks.alias("blocks"))
+              .withColumn("n", F.col("rows") / F.col("nch")))
+    got = graphs.agg(F.sum("rows"), F.sum("nch"), F.sum(F.col("n") * F.col("blocks")),
+                     F.sum(F.col("n") * F.col("n"))).first()
+    return tuple(int(v or 0) for v in got)
+
+
+def _doubling_pays(K: int, m: int, n_rows: int, power_rows: int, cells: int, width: int,
+                   limit: int) -> bool:
+    """Whether the powers of P cost less than the steps they spare: they take no more
+    room than the vector, both fit the broadcast, and the products of all doublings
+    (dense at worst) are no more than the edges of all steps."""
+    applied = K.bit_length() + bin(K).count("1") - 2
+    return (power_rows <= n_rows and _fits(n_rows + power_rows, width, limit)
+            and 2 * applied * cells <= K * m)
+
+
+def _doubled(P: DataFrame, c: DataFrame, K: int, ks: list[str], width: int,
+             n_parts: int) -> DataFrame:
+    """The series by doubling: ``S_2m = S_m + P^m S_m`` and ``P^2m = P^m P^m``, with
+    ``S_m+1 = c + P S_m`` and ``P^m+1 = P P^m`` where the binary form of K has a one.
+
+    The power travels beside the sums as further columns of the same wide table
+    (``power`` rows: chunk and column are those of the destination), so each of the
+    some 2 log2 K applications is one join and one sum.
+    """
+    cols = xcols(width)
+    at = F.pmod(F.col("dst"), F.lit(width))
+    power = (P.groupBy(*ks, floor_div("dst", width).alias("chunk"), F.col("src").alias("node"))
+             .agg(*[F.sum(F.when(at == u, F.col("p")).otherwise(0.0)).alias(x)
+                    for u, x in enumerate(cols)]))
+    layout = [*ks, "power", "chunk", "node", *cols]
+    base = (c.withColumn("chunk", F.col("chunk").cast("bigint")).withColumn("power", F.lit(False))
+            .select(*layout).unionByName(power.withColumn("power", F.lit(True)).select(*layout)))
+    base = base.checkpoint(eager=True)
+
+    def cells(table: DataFrame) -> DataFrame:
+        long = table.filter("power").select(
+            *ks, F.col("node").alias("src"), "chunk", F.posexplode(F.array(*cols)).alias("u", "p"))
+        out = long.filter(F.col("p") != 0).select(
+            *ks, "src", (F.col("chunk") * F.lit(width) + F.col("u")).alias("dst"), "p")
+        return out.repartition(n_parts, *ks, "src", "dst") if n_parts > 1 else out
+
+    def apply(matrix: DataFrame, table: DataFrame, plus: DataFrame, last: bool) -> DataFrame:
+        if last:
+            table = table.filter(~F.col("power"))
+        moved = cells(matrix).join(F.broadcast(table.withColumnRenamed("node", "dst")), ks + ["dst"])
+        moved = moved.select(*ks, "power", "chunk", F.col("src").alias("node"),
+                             *[(F.col("p") * F.col(x)).alias(x) for x in cols])
+        return (moved.unionByName(plus.filter(~F.col("power")))
+                .groupBy(*ks, "power", "chunk", "node").agg(*[F.sum(x).alias(x) for x in cols])
+                .checkpoint(eager=True))
+
+    state, bits = base, bin(K)[3:]
+    for n, bit in enumerate(bits):
+        end = n == len(bits) - 1
+        state = apply(state, state, state, end and bit == "0")
+        if bit == "1":
+            state = apply(base, state, base, end)
+    return state.filter(~F.col("power")).select(
+        *ks, F.col("chunk").cast("int").alias("chunk"), "node", *cols)
+
+
 def walk_series(edges: DataFrame, b: DataFrame, K: int, keys=("snapshot",),
                 broadcast_limit: int = BROADCAST_LIMIT,
                 checkpoint_every: int = CHECKPOINT_EVERY,
@@ -180,6 +248,8 @@ def walk_series(edges: DataFrame, b: DataFrame, K: int, keys=("snapshot",),
     * Larger vector: P is laid out once, hash partitioned on (keys, dst, salt)
       with hub destinations salted (see ``_salted_edges``); each step shuffles
       only the vector (hub rows replicated per salt) and the partial sums.
+    * A dense graph with no more nodes than slots (counted, see ``_doubling_pays``)
+      is walked by doubling instead of step by step; the terms are the same.
 
     Lineage is cut with a reliable ``checkpoint()`` every ``checkpoint_every``
     steps (into ``spark.checkpoint.dir``), so a lost executor recomputes at most
@@ -209,7 +279,7 @@ def walk_series(edges: DataFrame, b: DataFrame, K: int, keys=("snapshot",),
     if K <= 0:
         return c.select(*ks, "chunk", "node", *[F.lit(0.0).alias(x) for x in cols])
 
-    n_rows = c.count()
+    n_rows, n_chunks, power_rows, cells = _sizes(c, ks, width)
     bc = _fits(n_rows, width, broadcast_limit)
     P = row_normalize(edges, ks)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -220,8 +290,9 @@ def walk_series(edges: DataFrame, b: DataFrame, K: int, keys=("snapshot",),
         # the configured shuffle partitions.  Hashing (src, dst), not src, keeps
         # a hub's edges spread too.
         m = edges.count()
-        n_chunks = chunks.agg(F.sum("_n")).first()[0] or 0
         work_parts = max(1, math.ceil(m * max(n_chunks, 1) / ROWS_PER_TASK))
+        if _doubling_pays(K, m, n_rows, power_rows, cells, width, broadcast_limit):
+            return _doubled(P, c, K, ks, width, min(n_parts, work_parts))
         P = (P.repartition(min(n_parts, work_parts), *ks, "src", "dst")
               .persist(StorageLevel.MEMORY_AND_DISK))
         hot = None
