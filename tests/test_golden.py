@@ -194,3 +194,44 @@ def test_salted_path_on_activity_graph(spark):
     c = {(r.snapshot, r.chunk, r.node): [r[c] for c in cols] for r in z2.collect()}
     assert a.keys() == c.keys() and len(a) > 100
     assert all(x == pytest.approx(y, rel=1e-9, abs=1e-12) for k in a for x, y in zip(a[k], c[k]))
+
+
+def test_doubling_equals_the_steps(spark, monkeypatch):
+    """Numbers of terms with and without ones in binary, sparse and negative node ids,
+    a node without edges to the rest, two graphs: the same columns."""
+    from graphdelta.operators import walk
+    from graphdelta.operators.linalg import half_edges
+    moved = {s: {(13 * i - 40, 13 * j - 40): w for (i, j), w in g.items()} for s, g in ((1, G1), (2, G2))}
+    moved[2][(500, 499)] = 2.5
+    e = edges_df(spark, moved).checkpoint()
+    b = walk.incidence_sketch(half_edges(e), 20).checkpoint()
+    cols = walk.xcols(walk.vector_width(b))
+    for K in (2, 6, 7):
+        out = []
+        for pays in (True, False):
+            monkeypatch.setattr(walk, "_doubling_pays", lambda *a, pays=pays: pays)
+            z = walk.walk_series(e, b, K)
+            assert z.columns == ["snapshot", "chunk", "node", *cols]
+            out.append({(r.snapshot, r.chunk, r.node): [r[c] for c in cols] for r in z.collect()})
+        assert out[0].keys() == out[1].keys() and len(out[0]) == (8 + 10) * 3
+        assert all(x == pytest.approx(y, abs=1e-12) for k in out[0] for x, y in zip(out[0][k], out[1][k]))
+
+
+def test_doubling_only_where_it_pays():
+    from graphdelta.operators.walk import _doubling_pays
+    dense = dict(K=48, m=600, n_rows=1575, power_rows=100, cells=625, width=8)
+    assert _doubling_pays(**dense, limit=1 << 20)
+    assert not _doubling_pays(**dense, limit=1 << 10)                        # doesn't fit
+    assert not _doubling_pays(**dict(dense, power_rows=2000), limit=1 << 20)  # more nodes than slots
+    assert not _doubling_pays(**dict(dense, m=60), limit=1 << 20)            # sparse
+
+
+def test_cells_are_numbered_in_blocks(spark, monkeypatch):
+    from graphdelta.operators import kernel
+    g = spark.createDataFrame([(1, 2, 3, 5.0), (2, 6, 4, 7.0)], "k INT, row BIGINT, col INT, value DOUBLE")
+    for block in (1, 4, 35, 100_000):
+        monkeypatch.setattr(kernel, "CELL_BLOCK", block)
+        rows = kernel.dense_grid(g, 7, 5, 0.0, ["k"]).collect()
+        want = {(k, r, c): 0.0 for k in (1, 2) for r in range(7) for c in range(5)}
+        want[1, 2, 3], want[2, 6, 4] = 5.0, 7.0
+        assert {(r.k, r.row, r.col): r.value for r in rows} == want and len(rows) == 70
