@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import DEFAULT_D, DEFAULT_EPS, DEFAULT_TOL, series_length, sketch_width
-from .linalg import half_edges
+from .linalg import HUB_ROWS, find_hubs, half_edges, hub_join
 from .walk import (BROADCAST_LIMIT, MAX_WIDTH, ROWS_PER_TASK, _fits, incidence_exact,
                    incidence_sketch, walk_series, xcols, vector_width)
 
@@ -44,31 +44,36 @@ def solve_columns(edges: DataFrame, keys=("snapshot",), mode: str = "sketch",
 
 
 def gather_pairs(pairs: DataFrame, z: DataFrame, keys=("snapshot",),
-                 broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
+                 broadcast_limit: int = BROADCAST_LIMIT, bucket: int = HUB_ROWS) -> DataFrame:
     """sum over slots of (z[i] - z[j])^2 for ``pairs (keys..., i, j)`` (C6 + D3).
 
-    Pairs whose endpoints have no solved row get no output row (distance 0).
+    Pairs whose endpoints have no solved row get no output row (distance 0).  Where the
+    solved vector is too large to broadcast, both joins shuffle, and an end with more
+    than ``bucket`` pairs is split by the other end in either of them.
     """
     ks = list(keys)
     width = vector_width(z)
     cols = xcols(width)
-    zi = z.select(*ks, "chunk", F.col("node").alias("i"), *[F.col(c).alias("a" + c) for c in cols])
-    zj = z.select(*ks, "chunk", F.col("node").alias("j"), *[F.col(c).alias("b" + c) for c in cols])
+    zi = z.select(*ks, "chunk", "node", *cols).toDF(*ks, "chunk", "i", *["a" + c for c in cols])
+    zj = z.select(*ks, "chunk", "node", *cols).toDF(*ks, "chunk", "j", *["b" + c for c in cols])
     p = pairs.select(*ks, "i", "j")
     n_rows, n_chunks = (z.groupBy(*ks, "chunk").agg(F.count("*").alias("n"))
                         .agg(F.sum("n"), F.count("*")).first())
-    if _fits(n_rows or 0, width, broadcast_limit):
+    fits = _fits(n_rows or 0, width, broadcast_limit)
+    if fits:
         zi, zj = F.broadcast(zi), F.broadcast(zj)
         # pairs x chunks joined rows per task, not the pair table's bytes, set
         # the partition count (capped by the configured shuffle partitions)
         n_parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         work = max(1, math.ceil(p.count() * max(n_chunks, 1) / ROWS_PER_TASK))
         p = p.repartition(min(n_parts, work), *ks, "i", "j")
-    sq = None
-    for c in cols:
-        t = (F.col("a" + c) - F.col("b" + c)) * (F.col("a" + c) - F.col("b" + c))
-        sq = t if sq is None else sq + t
-    joined = p.join(zi, ks + ["i"]).join(zj, ks + ["chunk", "j"])
+    sq = F.expr(" + ".join(f"(a{c} - b{c}) * (a{c} - b{c})" for c in cols))
+    if fits:
+        joined = p.join(zi, ks + ["i"]).join(zj, ks + ["chunk", "j"])
+    else:
+        # hubs among j are counted on the pairs, not on pairs times chunks
+        joined = hub_join(hub_join(p, zi, ks + ["i"], "j", bucket), zj, ks + ["chunk", "j"], "i",
+                          hubs=find_hubs(p, ks + ["j"], bucket))
     return joined.groupBy(*ks, "i", "j").agg(F.sum(sq).alias("d"))
 
 

@@ -114,11 +114,11 @@ def trace_summary(trace: DataFrame, by: str = "learning_rate") -> DataFrame:
 
 
 def _detected(points: DataFrame, keys, s1, s2, snapshot: str, min_weight: float,
-              detect_opts: dict) -> tuple[DataFrame, DataFrame]:
+              detect_opts: dict, dims: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Graph and detection of ``points (keys..., sigma, snapshot, node, x)``."""
     ks = list(keys)
     graph = ks if "sigma" in ks else ks + ["sigma"]
-    edges = rbf_graph(points, "sigma", min_weight, keys=graph + [snapshot])
+    edges = rbf_graph(points, "sigma", min_weight, keys=graph + [snapshot], dims=dims)
     flagged, _ = detect(edges.select(*ks, snapshot, "src", "dst", "w"), s1, s2, ks, snapshot,
                         **detect_opts)
     flagged = flagged.checkpoint(eager=True)
@@ -176,6 +176,7 @@ def evaluate_sigma(points: DataFrame, sigma: float, truth_sigma: float, s1, s2,
 
 
 TRACE = "run_id int, learning_rate double, iter int, sigma double, loss double, same boolean"
+TRUTH_RUN = -1
 
 
 def calibrate_sigma(points: DataFrame, truth_sigma: float, s1, s2, starts, learning_rates,
@@ -186,31 +187,48 @@ def calibrate_sigma(points: DataFrame, truth_sigma: float, s1, s2, starts, learn
     sigma, loss, same)``, one row for each sigma tried.
 
     The trace is the whole state.  Each round judges the current sigma of all open
-    runs in one batched pass (the run is a graph key), adds a row to each, and takes
-    their next sigma from ``secant_step``.  A run is closed by a match after its
-    first row, by a step that does not move or has no slope, at sigma 0, or after
-    ``iterations`` rounds.  Per round a row of scalars for each run reaches the driver.
+    runs in one batched pass (the run is a graph key; the first round has the truth
+    as a run of its own), adds a row to each, and takes their next sigma from
+    ``secant_step``.  A run is closed by a match after its first row, by a step that
+    does not move or has no slope, at sigma 0, or after ``iterations`` rounds.  Per
+    round a row of scalars for each run reaches the driver.
+
+    The sketch is as wide as the nodes of ``points`` ask for, in every round, also
+    where a narrow sigma leaves some without an edge (``n_nodes`` overrides it).
     """
     spark = points.sparkSession
-    opts = dict(detect_opts, mode=mode, threshold=threshold)
     points = points.checkpoint(eager=True)
-    truth, truth_nodes = _detected(points.withColumn("sigma", F.lit(float(truth_sigma))), (), s1, s2,
-                                   snapshot, min_weight, opts)
+    n_nodes, lo, hi = points.agg(F.countDistinct("node"), F.min(F.size("x")),
+                                 F.max(F.size("x"))).first()
+    if lo != hi:
+        raise ValueError(f"points must share one dimension (found {lo}..{hi})")
+    opts = dict({"n_nodes": n_nodes}, **detect_opts, mode=mode, threshold=threshold)
     rates = {i: float(lr) for i, (lr, _) in enumerate(itertools.product(learning_rates, starts))}
     open_runs = {i: float(s) for i, (_, s) in enumerate(itertools.product(learning_rates, starts))}
     trace: list[tuple] = []
+    truth = truth_nodes = None
     for it in range(iterations):
+        at_truth = {} if truth else {TRUTH_RUN: float(truth_sigma)}
+        flagged, nodes = _detected(
+            _for_each(points, list((open_runs | at_truth).items()), ["run_id", "sigma"]),
+            ["run_id"], s1, s2, snapshot, min_weight, opts, lo)
+        is_truth = F.col("run_id") == TRUTH_RUN
+        if at_truth:
+            truth = flagged.filter(is_truth).drop("run_id")
+            truth_nodes = nodes.filter(is_truth).drop("run_id")
         runs = [(i,) for i in open_runs]
-        at = spark.createDataFrame(list(open_runs.items()), "run_id int, sigma double")
-        flagged, nodes = _detected(_for_each(points, list(open_runs.items()), ["run_id", "sigma"]),
-                                   ["run_id"], s1, s2, snapshot, min_weight, opts)
-        judged = _compared(flagged, nodes, _for_each(truth, runs, ["run_id"]),
-                           _for_each(truth_nodes, runs, ["run_id"]), at, ["run_id"])
-        trace += [(r.run_id, rates[r.run_id], it, r.sigma, r.loss, r.same) for r in judged.collect()]
-        stepped = secant_step(spark.createDataFrame(trace, TRACE)).filter(F.col("iter") == it)
-        moves = stepped.filter((~F.col("same") | (F.col("iter") == 0))
-                               & (F.col("next_sigma") != F.col("sigma")) & (F.col("next_sigma") != 0))
-        open_runs = {r.run_id: r.next_sigma for r in moves.collect()}
+        now = spark.createDataFrame([(i, rates[i], it, s) for i, s in open_runs.items()],
+                                    "run_id int, learning_rate double, iter int, sigma double")
+        judged = _compared(flagged.filter(~is_truth), nodes.filter(~is_truth),
+                           _for_each(truth, runs, ["run_id"]),
+                           _for_each(truth_nodes, runs, ["run_id"]), now, ["run_id"])
+        # of the rows before, the step needs the last one of each open run alone
+        before = [r for r in trace if r[0] in open_runs and r[2] == it - 1]
+        stepped = secant_step(judged.drop("n_nodes").unionByName(spark.createDataFrame(before, TRACE)))
+        rows = stepped.filter(F.col("iter") == it).collect()
+        trace += [(r.run_id, r.learning_rate, it, r.sigma, r.loss, r.same) for r in rows]
+        open_runs = {r.run_id: r.next_sigma for r in rows if (not r.same or it == 0)
+                     and r.next_sigma is not None and r.next_sigma != r.sigma and r.next_sigma != 0}
         if not open_runs:
             break
     return spark.createDataFrame(trace, TRACE)

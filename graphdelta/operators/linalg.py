@@ -23,20 +23,28 @@ def _k(keys) -> list[str]:
 HUB_ROWS = 100_000  # rows of one join key that a task takes
 
 
+def find_hubs(big: DataFrame, on: list[str], bucket: int = HUB_ROWS) -> DataFrame:
+    """Keys with more than ``bucket`` rows and how many parts each is split into: at
+    most rows / ``bucket`` rows, from a partially aggregated count."""
+    return (big.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > bucket)
+            .select(*on, F.ceil(F.col("_n") / F.lit(bucket)).cast("int").alias("_parts")))
+
+
 def hub_join(big: DataFrame, small: DataFrame, on: list[str], by: str,
-             bucket: int = HUB_ROWS) -> DataFrame:
+             bucket: int = HUB_ROWS, hubs: DataFrame | None = None) -> DataFrame:
     """Inner join in which a key with more than ``bucket`` rows of ``big`` (a hub) is
     split by hash of the column ``by``; its rows of ``small`` go to every part.
 
     The table of hubs has at most rows / ``bucket`` rows, so Spark measures it as
-    small and broadcasts it; keys that are no hubs stay whole.
+    small and broadcasts it; keys that are no hubs stay whole.  ``hubs`` gives it where
+    the caller knows it, for some of the columns ``on`` or for all.
     """
-    hubs = (big.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > bucket)
-            .select(*on, F.ceil(F.col("_n") / F.lit(bucket)).cast("int").alias("_parts")))
+    hubs = find_hubs(big, on, bucket) if hubs is None else hubs
+    hub_on = [c for c in on if c in hubs.columns]
     parts = F.coalesce("_parts", F.lit(1))
-    dealt = (big.join(hubs, on, "left")
+    dealt = (big.join(hubs, hub_on, "left")
              .withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts"))
-    spread = (small.join(hubs, on, "left")
+    spread = (small.join(hubs, hub_on, "left")
               .withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts"))
     return dealt.join(spread, on + ["_part"]).drop("_part")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import DEFAULT_D, DEFAULT_EPS, DEFAULT_THRESHOLD, DEFAULT_TOL
@@ -11,6 +11,9 @@ from .linalg import scope_filter
 from .ordered import running_sum
 from .walk import BROADCAST_LIMIT
 
+NO_MAGNITUDE = -2000       # below that of every positive double
+GROUP_BROADCAST = 100_000  # groups, counted, up to which their bounds are broadcast
+
 
 def _with_key(df: DataFrame, keys) -> tuple[DataFrame, list[str], bool]:
     """Guarantee at least one grouping key (a constant one if none is given) so
@@ -78,6 +81,49 @@ def anomaly_cut(scores: DataFrame, threshold: float = DEFAULT_THRESHOLD, group_k
     return out.drop("_g") if added else out
 
 
+def banded_cut(scores: DataFrame, threshold: float = DEFAULT_THRESHOLD, group_keys=(),
+               value: str = "delta_e", on_none: str = "all",
+               n_partitions: int | None = None) -> DataFrame:
+    """The flag of ``anomaly_cut`` without ordering all rows (E3, E4): ``scores`` with
+    ``anomalous``, no running sum.
+
+    Values, which are not negative, are summed by binary magnitude (zeros on their own),
+    at most some 2,100 sums a group; these say in which magnitude the running sum passes
+    the threshold.  Rows of lower magnitudes are not anomalous, those of higher ones are,
+    and only the rows of that one magnitude, the band, are ordered by (value, i, j).
+    ``scores`` is read twice: hand in a stored or checkpointed table.  Sums are added in
+    another order than in ``anomaly_cut``, so a running sum that equals the threshold up
+    to rounding may fall on the other side.
+    """
+    if on_none not in ("all", "empty"):
+        raise ValueError(f"unknown on_none {on_none!r}")
+    df, gk, added = _with_key(scores, group_keys)
+    t = F.lit(float(threshold))
+    df = df.withColumn("_mag", F.when(F.col(value) > 0, F.floor(F.log2(value)).cast("int"))
+                       .otherwise(F.lit(NO_MAGNITUDE)))
+    sums = df.groupBy(*gk, "_mag").agg(F.sum(value).alias("_s"))
+    upto = Window.partitionBy(*gk).orderBy("_mag").rowsBetween(Window.unboundedPreceding, 0)
+    passed = F.col("_upto") > t
+    bounds = (sums.withColumn("_upto", F.sum("_s").over(upto)).groupBy(*gk).agg(
+        F.min(F.when(passed, F.col("_mag"))).alias("_cut"),
+        F.coalesce(F.max(F.when(~passed, F.col("_upto"))), F.lit(0.0)).alias("_before"))
+        .checkpoint(eager=True))  # one row per group
+    if bounds.count() <= GROUP_BROADCAST:
+        bounds = F.broadcast(bounds)
+    at = df.join(bounds, gk)
+    in_band = F.coalesce(F.col("_mag") == F.col("_cut"), F.lit(False))
+    rest = at.filter(~in_band).withColumn(
+        "anomalous", F.coalesce(F.col("_mag") > F.col("_cut"), F.lit(on_none == "all")))
+    band = running_sum(at.filter(in_band), value, [value, "i", "j"], gk, "_run", n_partitions)
+    last = band.groupBy(*gk).agg(F.max("_run").alias("_last"))
+    # the magnitudes say that the sum is passed here: by the last row of the band, if
+    # rounding hides it
+    band = band.join(last, gk).withColumn(
+        "anomalous", (F.col("_before") + F.col("_run") > t) | (F.col("_run") == F.col("_last")))
+    out = rest.unionByName(band.drop("_run", "_last")).drop("_mag", "_cut", "_before")
+    return out.drop("_g") if added else out
+
+
 def anomalous_nodes(flagged: DataFrame, group_keys=()) -> DataFrame:
     """Distinct endpoints of the anomalous edges ``(group_keys..., node)`` (F2)."""
     gk = list(group_keys)

@@ -38,6 +38,14 @@ def xcols(width: int) -> list[str]:
     return [f"x{u}" for u in range(width)]
 
 
+def each_x(template: str, width: int) -> list[F.Column]:
+    """``template`` for every value column, as SQL text with ``{x}`` for the column and
+    ``{u}`` for its number: one call to the JVM a column.  Built from ``Column``
+    operations, the wide expressions of a walk on a small graph took longer to
+    write down than to run."""
+    return [F.expr(template.format(x=f"x{u}", u=u)).alias(f"x{u}") for u in range(width)]
+
+
 def chunking(n_slots: int, max_width: int = MAX_WIDTH) -> tuple[int, int]:
     """(number of chunks, width) that spreads ``n_slots`` evenly over chunks."""
     if n_slots <= 0:
@@ -51,17 +59,17 @@ def vector_width(vec: DataFrame) -> int:
 
 
 def _sum_by_node(rows: DataFrame, keys, width: int) -> DataFrame:
-    return rows.groupBy(*keys, "chunk", "node").agg(
-        *[F.sum(c).alias(c) for c in xcols(width)])
+    return rows.groupBy(*keys, "chunk", "node").agg(*each_x("sum({x})", width))
 
 
 def _endpoints(signed: DataFrame, ks: list[str], width: int) -> DataFrame:
     """+values at i, -values at j, in one pass over ``signed`` (an explode of two
     structs rather than a union, which would compute the signs twice)."""
     cols = xcols(width)
-    plus = F.struct(F.col("i").alias("node"), *[F.col(c).alias(c) for c in cols])
-    minus = F.struct(F.col("j").alias("node"), *[(-F.col(c)).alias(c) for c in cols])
-    return (signed.select(*ks, "chunk", F.explode(F.array(plus, minus)).alias("_e"))
+    plus = ", ".join(["i AS node"] + [f"{c} AS {c}" for c in cols])
+    minus = ", ".join(["j AS node"] + [f"-{c} AS {c}" for c in cols])
+    ends = F.expr(f"explode(array(struct({plus}), struct({minus})))")
+    return (signed.select(*ks, "chunk", ends.alias("_e"))
                   .select(*ks, "chunk", "_e.node", *[f"_e.{c}" for c in cols]))
 
 
@@ -90,19 +98,16 @@ def incidence_sketch(half: DataFrame, k: int, keys=("snapshot",), seed: int = 0,
                                    for b in range(-(-k // 32) if sign_hash == "md5" else 0)])
     e = (half.select(*ks, "i", "j", wv.alias("wv"), digits.alias("_digits"))
              .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(nch - 1)))))
-    vals = []
-    for u in range(width):
-        t = F.col("chunk") * F.lit(width) + F.lit(u)
-        if sign_hash == "md5":
-            digit = F.substring(F.col("_digits"), t + 1, F.lit(1))
-            sign = F.when(digit < F.lit("8"), F.lit(1.0)).otherwise(F.lit(-1.0))
-        elif sign_hash == "xxhash64":
-            sign = F.when(F.xxhash64(F.lit(int(seed)), *(ks if independent else []), "i", "j", t) >= 0,
-                          F.lit(1.0)).otherwise(F.lit(-1.0))
-        else:
-            raise ValueError(f"unknown sign_hash {sign_hash!r}")
-        v = F.col("wv") * sign * F.lit(scale)
-        vals.append(F.when(t < F.lit(k), v).otherwise(F.lit(0.0)).alias(f"x{u}"))
+    slot = f"(chunk * {width} + {{u}})"
+    if sign_hash == "md5":
+        positive = f"substring(_digits, {slot} + 1, 1) < '8'"
+    elif sign_hash == "xxhash64":
+        names = "".join(f"`{c}`, " for c in ks) if independent else ""
+        positive = f"xxhash64({int(seed)}, {names}i, j, {slot}) >= 0"
+    else:
+        raise ValueError(f"unknown sign_hash {sign_hash!r}")
+    vals = each_x(f"CASE WHEN {slot} < {k} THEN wv * CASE WHEN {positive} THEN 1.0D ELSE -1.0D END"
+                  f" * {scale!r}D ELSE 0.0D END", width)
     signed = e.select(*ks, "chunk", "i", "j", *vals)
     return _sum_by_node(_endpoints(signed, ks, width), ks, width)
 
@@ -125,9 +130,8 @@ def incidence_exact(half: DataFrame, keys=("snapshot",), weight_power: float = 1
     e = idx.select(*ks, "i", "j", "wv",
                    floor_div("slot", width).cast("int").alias("chunk"),
                    F.pmod(F.col("slot"), F.lit(width)).cast("int").alias("col"))
-    vals = [F.when(F.col("col") == F.lit(u), F.col("wv")).otherwise(F.lit(0.0)).alias(f"x{u}")
-            for u in range(width)]
-    signed = e.select(*ks, "chunk", "i", "j", *vals)
+    signed = e.select(*ks, "chunk", "i", "j",
+                      *each_x("CASE WHEN col = {u} THEN wv ELSE 0.0D END", width))
     return _sum_by_node(_endpoints(signed, ks, width), ks, width)
 
 
@@ -193,10 +197,8 @@ def _doubled(P: DataFrame, c: DataFrame, K: int, ks: list[str], width: int,
     some 2 log2 K applications is one join and one sum.
     """
     cols = xcols(width)
-    at = F.pmod(F.col("dst"), F.lit(width))
     power = (P.groupBy(*ks, floor_div("dst", width).alias("chunk"), F.col("src").alias("node"))
-             .agg(*[F.sum(F.when(at == u, F.col("p")).otherwise(0.0)).alias(x)
-                    for u, x in enumerate(cols)]))
+             .agg(*each_x(f"sum(CASE WHEN pmod(dst, {width}) = {{u}} THEN p ELSE 0.0D END)", width)))
     layout = [*ks, "power", "chunk", "node", *cols]
     base = (c.withColumn("chunk", F.col("chunk").cast("bigint")).withColumn("power", F.lit(False))
             .select(*layout).unionByName(power.withColumn("power", F.lit(True)).select(*layout)))
@@ -214,9 +216,9 @@ def _doubled(P: DataFrame, c: DataFrame, K: int, ks: list[str], width: int,
             table = table.filter(~F.col("power"))
         moved = cells(matrix).join(F.broadcast(table.withColumnRenamed("node", "dst")), ks + ["dst"])
         moved = moved.select(*ks, "power", "chunk", F.col("src").alias("node"),
-                             *[(F.col("p") * F.col(x)).alias(x) for x in cols])
+                             *each_x("p * {x}", width))
         return (moved.unionByName(plus.filter(~F.col("power")))
-                .groupBy(*ks, "power", "chunk", "node").agg(*[F.sum(x).alias(x) for x in cols])
+                .groupBy(*ks, "power", "chunk", "node").agg(*each_x("sum({x})", width))
                 .checkpoint(eager=True))
 
     state, bits = base, bin(K)[3:]
@@ -274,10 +276,10 @@ def walk_series(edges: DataFrame, b: DataFrame, K: int, keys=("snapshot",),
              .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n"))
     c = (dense.join(b, ks + ["chunk", "node"], "left")
               .select(*ks, "chunk", "node",
-                      *[(F.coalesce(F.col(x), F.lit(0.0)) * F.col("inv")).alias(x) for x in cols]))
+                      *each_x("coalesce({x}, 0.0D) * inv", width)))
     c = c.checkpoint(eager=True)
     if K <= 0:
-        return c.select(*ks, "chunk", "node", *[F.lit(0.0).alias(x) for x in cols])
+        return c.select(*ks, "chunk", "node", *each_x("0.0D", width))
 
     n_rows, n_chunks, power_rows, cells = _sizes(c, ks, width)
     bc = _fits(n_rows, width, broadcast_limit)
@@ -310,7 +312,7 @@ def walk_series(edges: DataFrame, b: DataFrame, K: int, keys=("snapshot",),
                     .drop("S"))
             joined = P.join(yv, ks + ["dst", "salt"])
         moved = joined.select(*ks, "chunk", F.col("src").alias("node"),
-                              *[(F.col("p") * F.col(x)).alias(x) for x in cols])
+                              *each_x("p * {x}", width))
         y = _sum_by_node(moved.unionByName(c), ks, width)
         if step % checkpoint_every == 0 and step != K - 1:
             y = y.checkpoint(eager=True)

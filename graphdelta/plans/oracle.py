@@ -8,6 +8,7 @@ detector's SQL is assembled the same way for each query that needs it.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from ..functions.scalar import DEFAULT_D, DEFAULT_EPS, DEFAULT_THRESHOLD, DEFAULT_TOL, series_length
@@ -318,8 +319,11 @@ FROM edges GROUP BY snapshot""")
   {rnd(f'sum(CASE WHEN src % {T} = 0 AND dst % {T} = 1 THEN w ELSE 0.0 END)', 'second')}
 FROM edges GROUP BY ALL""")
     out["whole_tile"] = out["trade_edges"]
-    ys = ", ".join(map(str, Q.YEARS))
-    out["stored_edge_list"] = _trade(f"SELECT snapshot, src, dst FROM edges WHERE snapshot IN ({ys})")
+    out["stored_edge_list"] = _trade("SELECT snapshot, src, dst FROM edges")
+    out["stored_tiles"] = _trade(f"""SELECT snapshot, CAST(src // {T} AS BIGINT) AS bi,
+  CAST(dst // {T} AS BIGINT) AS bj, src, dst,
+  {rnd(f'CASE WHEN src // {T} = dst // {T} THEN 2 * w ELSE w END', 'w')}
+FROM edges WHERE src // {T} >= dst // {T}""")
     out["edge_order"] = _trade("""SELECT snapshot, src AS i, dst AS j,
   row_number() OVER (PARTITION BY snapshot ORDER BY dst, src) - 1 AS place FROM edges WHERE src > dst""")
     out["matvec"] = _trade(
@@ -386,6 +390,7 @@ FROM sv_half h LEFT JOIN dist d ON h.snapshot = d.snapshot AND h.i = d.i AND h.j
     out["stored_result"] = _pair(f"""SELECT i, j, {rnd('delta_e', 'delta_e')}, anomalous,
   i IN (SELECT node FROM det_nodes) AS i_found, j IN (SELECT node FROM det_nodes) AS j_found FROM det""", dt)
     out["anomaly_cut"] = _pair(flag_select("det") + " WHERE anomalous", dt)
+    out["banded_cut"] = _pair(f"SELECT i, j, {rnd('delta_e', 'delta_e')}, anomalous FROM det", dt)
     out["anomalous_nodes"] = _pair("SELECT CAST(node AS BIGINT) AS node FROM det_nodes", dt)
     out["detect_trade_cross_block"] = _pair(
         flag_select("det"), detect_ctes("edges", S1, S2, [], "sketch", "det", "cross_block", T))
@@ -510,4 +515,44 @@ FROM (SELECT *, lag(sigma) OVER (PARTITION BY run_id ORDER BY iter) AS ps,
   {rnd('first(loss ORDER BY iter)', 'first_loss')}, {rnd('first(loss ORDER BY iter DESC)', 'last_loss')},
   {rnd('min(loss)', 'min_loss')}, CAST(first(iter ORDER BY loss, iter) AS INTEGER) AS argmin_iter
 FROM trace GROUP BY learning_rate""")
+    out["calibrate_sigma"] = calibrate_sql()
     return out
+
+
+def calibrate_sql() -> str:
+    """The secant search as a recursive query: a row of the working table is a run with
+    the sigma it judges next; a round judges the open runs, all in one."""
+    S1, S2, snapshot = Q.S1, Q.S2, "snapshot"
+    runs = ", ".join(f"({i}, {lr!r}, {s!r})" for i, (lr, s) in enumerate(
+        itertools.product(Q.LEARNING_RATES, Q.STARTS)))
+    truth = [("tpoints", "SELECT snapshot, node, x FROM points")]
+    truth += rbf_ctes("tpoints", [snapshot], SIG, "tedges")
+    truth += detect_ctes("tedges", S1, S2, [], "sketch", "td", threshold=Q.SWEEP_THRESHOLD)
+    rnds = [("cur", f"""SELECT run_id, lr, iter + 1 AS iter, next_sigma AS sigma, sigma AS prev_sigma, loss AS prev_loss
+FROM cal WHERE iter + 1 < {Q.ITERATIONS} AND next_sigma IS NOT NULL AND next_sigma <> 0
+  AND (iter < 0 OR ((iter = 0 OR NOT same) AND next_sigma <> sigma))"""),
+            ("rpoints", "SELECT c.run_id, p.snapshot, p.node, p.x, c.sigma FROM points p, cur c")]
+    rnds += rbf_ctes("rpoints", ["run_id", snapshot], "a.sigma", "redges")
+    rnds += detect_ctes("redges", S1, S2, ["run_id"], "sketch", "rd", threshold=Q.SWEEP_THRESHOLD)
+    rnds += [
+        ("lossp", """SELECT run_id, i, j, sum(t) AS diff FROM (
+  SELECT c.run_id, t.i, t.j, t.delta_e AS t FROM td t, cur c
+  UNION ALL SELECT run_id, i, j, -delta_e AS t FROM rd) GROUP BY ALL"""),
+        ("lossr", "SELECT run_id, sum(diff * diff) AS loss FROM lossp GROUP BY run_id"),
+        ("nodesr", """SELECT run_id, node, sum(s) AS s FROM (
+  SELECT c.run_id, t.node, 1 AS s FROM td_nodes t, cur c
+  UNION ALL SELECT run_id, node, -1 AS s FROM rd_nodes) GROUP BY ALL"""),
+        ("mism", "SELECT run_id, count(*) AS n FROM nodesr WHERE s <> 0 GROUP BY run_id"),
+        ("judged", """SELECT c.*, coalesce(l.loss, 0.0) AS loss, coalesce(m.n, 0) = 0 AS same
+FROM cur c LEFT JOIN lossr l ON l.run_id = c.run_id LEFT JOIN mism m ON m.run_id = c.run_id"""),
+    ]
+    step = with_sql(rnds, """SELECT run_id, lr, iter, sigma, loss, same,
+  CASE WHEN iter = 0 THEN sigma + 0.4 WHEN sigma = prev_sigma THEN NULL
+       ELSE sigma - lr * ((loss - prev_loss) / (sigma - prev_sigma)) END AS next_sigma FROM judged""")
+    cal = ("cal", f"""SELECT CAST(run_id AS INTEGER) AS run_id, CAST(lr AS DOUBLE) AS lr, -1 AS iter,
+  CAST(NULL AS DOUBLE) AS sigma, CAST(NULL AS DOUBLE) AS loss, FALSE AS same, CAST(s AS DOUBLE) AS next_sigma
+FROM (VALUES {runs}) AS v(run_id, lr, s)
+UNION ALL SELECT * FROM ({step})""")
+    body = with_sql(nation_points_ctes() + truth + [cal], f"""SELECT run_id, CAST(iter AS INTEGER) AS iter, {rnd('sigma', 'sigma')},
+  {rnd('loss', 'loss')}, same, {rnd('lr', 'learning_rate')} FROM cal WHERE iter >= 0""")
+    return body.replace("WITH ", "WITH RECURSIVE ", 1)

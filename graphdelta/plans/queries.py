@@ -130,9 +130,24 @@ def q_whole_tile(spark, sf):
 
 
 def q_stored_edge_list(spark, sf):
-    """The edge list without weights of two snapshots, from a stored graph."""
+    """The edge list without weights of every snapshot, from a stored graph."""
     path = _stored(spark, _edges(spark, sf), lambda e, p: snapshots.write_snapshot(e, p, TILE))
-    return snapshots.edge_pairs(snapshots.read_snapshot(spark, path, YEARS))
+    return snapshots.edge_pairs(snapshots.read_snapshot(spark, path))
+
+
+def q_stored_tiles(spark, sf):
+    """The graph stored by tiles; the diagonal ones are written once more with twice the
+    weight; then a manifest of the tiles on and under the diagonal is read."""
+    e = _edges(spark, sf).checkpoint(eager=True)
+    path = _stored(spark, e, lambda t, p: snapshots.write_tiles(t, p, TILE))
+    tile = [F.floor(F.col(c) / TILE).cast("bigint") for c in ("src", "dst")]
+    twice = e.filter(tile[0] == tile[1]).withColumn("w", F.col("w") * 2)
+    snapshots.write_tiles(twice, path, TILE)
+    manifest = _stored(spark, e.select("snapshot", tile[0].alias("bi"), tile[1].alias("bj")).distinct(),
+                       lambda m, p: m.write.parquet(p))
+    wanted = spark.read.parquet(manifest).filter("bi >= bj")
+    return snapshots.read_tiles_of(spark, path, wanted).select(
+        "snapshot", "bi", "bj", "src", "dst", _r("w"))
 
 
 def q_stored_result(spark, sf):
@@ -244,6 +259,13 @@ def q_anomaly_cut(spark, sf):
     return _flag_out(flagged.filter("anomalous"))
 
 
+def q_banded_cut(spark, sf):
+    """The flags alone, from sums by magnitude and one ordered band."""
+    scored, _ = score.detect(_pair_edges(spark, sf), S1, S2)
+    scores = scored.drop("anomalous", "running_sum").checkpoint(eager=True)
+    return score.banded_cut(scores).select("i", "j", _r("delta_e"), "anomalous")
+
+
 def q_anomalous_nodes(spark, sf):
     _, nodes = score.detect(_pair_edges(spark, sf), S1, S2)
     return nodes.select(F.col("node").cast("bigint"))
@@ -460,6 +482,7 @@ QUERIES = {
     "tiles_roundtrip": q_tiles_roundtrip,
     "whole_tile": q_whole_tile,
     "stored_edge_list": q_stored_edge_list,
+    "stored_tiles": q_stored_tiles,
     "stored_result": q_stored_result,
     "stored_trace": q_stored_trace,
     "edge_order": q_edge_order,
@@ -475,6 +498,7 @@ QUERIES = {
     "delta_e": q_delta_e,
     "detect_trade": q_detect_trade,
     "anomaly_cut": q_anomaly_cut,
+    "banded_cut": q_banded_cut,
     "anomalous_nodes": q_anomalous_nodes,
     "detect_trade_cross_block": q_detect_trade_cross_block,
     "detect_trade_sketch": q_detect_trade_sketch,

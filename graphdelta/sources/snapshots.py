@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import floor_div
 
+TILE_SPLITS = 8  # tasks that may write the edges of one tile
 EDGE_SCHEMA = "snapshot INT, src BIGINT, dst BIGINT, w DOUBLE"
 
 
@@ -82,6 +83,39 @@ def read_snapshot(spark: SparkSession, path: str, snapshots=None) -> DataFrame:
     return df.select("snapshot", "src", "dst", "w")
 
 
+TILE_KEYS = ["snapshot", "bi", "bj"]
+
+
+def write_tiles(edges: DataFrame, path: str, block_size: int) -> None:
+    """Edges as COO Parquet partitioned by ``(snapshot, bi, bj)`` (A4, A8): a tile is a
+    folder of its own, so reading one leaves the others unopened.  Written again to the
+    same path, the tiles in ``edges`` are replaced whole and the others stay (dynamic
+    overwrite).  A tile with many edges is written by several tasks, split by hash of
+    the source."""
+    p = int(block_size)
+    parts = F.pmod(F.xxhash64("src"), F.lit(TILE_SPLITS))
+    (edges.select("snapshot", floor_div("src", p).alias("bi"), floor_div("dst", p).alias("bj"),
+                  "src", "dst", "w")
+     .repartition(*TILE_KEYS, parts)
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*TILE_KEYS).parquet(path))
+
+
+def read_tiles_of(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """The edges of the tiles that ``manifest (snapshot, bi, bj)`` lists (A1); repeated
+    entries count once, those without a tile give nothing.
+
+    The manifest is a table, joined on the partition columns: with a filter of its own it
+    prunes the tiles at run time (dynamic partition pruning), so unlisted tiles are not
+    read.  Nothing is listed on the driver but the folders that Spark lists itself."""
+    wanted = manifest.select(*[F.col(c).cast("bigint").alias("_" + c) for c in TILE_KEYS]).distinct()
+    tiles = spark.read.schema("src BIGINT, dst BIGINT, w DOUBLE, snapshot BIGINT, bi BIGINT, "
+                              "bj BIGINT").parquet(path)
+    match = [F.col(c) == F.col("_" + c) for c in TILE_KEYS]
+    return tiles.join(wanted, match, "left_semi").select(
+        F.col("snapshot").cast("int").alias("snapshot"), "bi", "bj", "src", "dst", "w")
+
+
 def edge_pairs(edges: DataFrame, keys=("snapshot",)) -> DataFrame:
     """The edge list without weights (A2)."""
     return edges.select(*list(keys), "src", "dst")

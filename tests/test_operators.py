@@ -306,3 +306,75 @@ def test_hubs_are_split_and_change_nothing(spark):
         assert all(x[:-1] == y[:-1] and x[-1] == pytest.approx(y[-1]) for x, y in zip(one, split))
     parts = linalg.hub_join(e, v.withColumnRenamed("node", "dst"), ["snapshot", "dst"], "src", 3)
     assert parts.count() == e.count()
+
+
+@pytest.mark.parametrize("threshold", [-1.0, 0.0, 0.75, 1.0, 6.5, 40.0, 1e6])
+def test_banded_cut_equals_the_ordered_cut(spark, threshold):
+    # exact in binary, so sums do not depend on their order; many ties and zeros
+    values = [0.0, 0.0, 0.125, 0.125, 0.25, 0.25, 0.25, 1.0, 1.0, 1.5, 1.75, 4.0, 4.0, 4.0, 7.5]
+    rows = [(g, n % 4, n, v * (g + 1)) for g in (0, 1) for n, v in enumerate(values)]
+    rows += [(2, 0, n, 0.0) for n in range(3)]
+    df = spark.createDataFrame(rows, "g INT, i BIGINT, j BIGINT, delta_e DOUBLE").repartition(5)
+    for keys, on_none in ((["g"], "all"), (["g"], "empty"), ([], "all")):
+        want = score.anomaly_cut(df, threshold, keys, on_none=on_none).drop("running_sum")
+        got = score.banded_cut(df, threshold, keys, on_none=on_none)
+        assert got.columns == want.columns
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_banded_cut_orders_the_band_alone(spark, monkeypatch):
+    df = spark.range(1000).selectExpr("id AS i", "0L AS j", "CAST(id AS DOUBLE) AS delta_e")
+    seen = []
+    ordered = score.running_sum
+    monkeypatch.setattr(score, "running_sum", lambda d, *a: seen.append(d.count()) or ordered(d, *a))
+    flagged = score.banded_cut(df, 1000.0).filter("anomalous").agg(F.min("i")).first()[0]
+    assert flagged == 45 and seen == [32]               # 0 + .. + 45 > 1000; band 32 to 63
+    with pytest.raises(ValueError):
+        score.banded_cut(df, on_none="some")
+
+
+def test_banded_cut_of_nothing(spark):
+    df = spark.createDataFrame([], "i BIGINT, j BIGINT, delta_e DOUBLE")
+    assert score.banded_cut(df, 0.1).collect() == []
+
+
+def test_tiles_are_replaced_and_pruned(spark, tmp_path):
+    path = str(tmp_path / "tiles")
+    e = edges_df(spark, {1: {(i, j): i + j / 8 for i in range(7) for j in range(i)},
+                         2: {(1, 0): 5.0}})
+    snapshots.write_tiles(e, path, 3)
+    snapshots.write_tiles(e.filter("snapshot = 1 AND src < 3 AND dst < 3")
+                          .withColumn("w", F.col("w") + 100), path, 3)
+    want = {(r.snapshot, r.src, r.dst): r.w + 100 * (r.snapshot == 1 and r.src < 3 and r.dst < 3)
+            for r in e.collect()}
+    manifest = spark.createDataFrame([(1, 0, 0), (1, 0, 0), (1, 1, 0), (2, 0, 0), (1, 9, 9)],
+                                     "snapshot INT, bi BIGINT, bj BIGINT")
+    manifest.write.parquet(str(tmp_path / "manifest"))
+    listed = spark.read.parquet(str(tmp_path / "manifest"))
+    got = snapshots.read_tiles_of(spark, path, listed)
+    assert {(r.snapshot, r.src, r.dst): r.w for r in got.collect()} == {
+        k: w for k, w in want.items() if (k[0], k[1] // 3, k[2] // 3) in
+        {(1, 0, 0), (1, 1, 0), (2, 0, 0)}}
+    one = snapshots.read_tiles_of(spark, path, listed.filter("snapshot = 2"))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    assert one.select("src", "dst", "w").orderBy("src").collect() == [(0, 1, 5.0), (1, 0, 5.0)]
+    # every folder but the listed one is spoiled: it can only be answered without reading them
+    for f in (tmp_path / "tiles").rglob("*.parquet"):
+        if "snapshot=2" not in str(f):
+            f.write_bytes(b"not parquet")
+    assert one.count() == 2
+    with pytest.raises(Exception):
+        snapshots.read_tiles_of(spark, path, listed).count()
+
+
+def test_hub_ends_of_pairs_are_split_and_change_nothing(spark):
+    from graphdelta.operators.distance import gather_pairs
+    z = spark.range(30).selectExpr("1 AS snapshot", "id AS node", "explode(array(0, 1)) AS chunk",
+                                   "CAST(id AS DOUBLE) AS x0", "CAST(id * id AS DOUBLE) AS x1")
+    pairs = spark.createDataFrame([(1, 29, j) for j in range(29)] + [(1, i, 0) for i in range(1, 29)],
+                                  "snapshot INT, i BIGINT, j BIGINT")
+    want = {(i, j): 2.0 * ((i - j) ** 2 + (i * i - j * j) ** 2) for _, i, j in pairs.collect()}
+    for limit, bucket in ((1 << 30, 100), (0, 100), (0, 4)):
+        got = gather_pairs(pairs, z, broadcast_limit=limit, bucket=bucket).collect()
+        assert {(r.i, r.j): r.d for r in got} == want
