@@ -1,5 +1,6 @@
 """Small operator fixtures (FIXTURES.md section 3) and brute-force checks."""
 import math
+import random
 
 import numpy as np
 import pytest
@@ -378,3 +379,39 @@ def test_hub_ends_of_pairs_are_split_and_change_nothing(spark):
     for limit, bucket in ((1 << 30, 100), (0, 100), (0, 4)):
         got = gather_pairs(pairs, z, broadcast_limit=limit, bucket=bucket).collect()
         assert {(r.i, r.j): r.d for r in got} == want
+
+
+def test_round_unit_is_round(spark):
+    from graphdelta.functions.scalar import round_unit
+    n = 40_000
+    w = spark.range(n).select(F.when(F.col("id") % 2 == 0, F.rand(3)).otherwise(
+        (F.floor(F.rand(4) * 1e9) + 0.5) / 1e9).alias("w")).union(
+        spark.createDataFrame([(0.0,), (1.0,), (5e-10,), (4.9e-10,), (None,), (5e-324,)], "w double"))
+    assert w.where(~round_unit("w", 9).eqNullSafe(F.round("w", 9))).count() == 0
+
+
+def test_rbf_blocks_compare_every_pair_once(spark):
+    """Nulls, twice the same row, keys that are null and parts of cells: the pairs of the
+    plain double loop, as often as it gives them; no table of points is joined row by row."""
+    rng = random.Random(5)
+    rows = [(k, i, [rng.gauss(0, 1.3) for _ in range(3)]) for k in (1, 2) for i in range(45)]
+    rows += rows[:9] + [(1, 100, [1.0, None, 0.0]), (1, 101, None), (None, 1, [0.0, 0.0, 0.0]),
+                        (None, 2, [0.0, 0.0, 0.0]), (1, None, [0.0, 0.0, 0.0])]
+    pts = spark.createDataFrame(rows, "k int, node bigint, x array<double>")
+    want = {}
+    for a, (k, i, x) in enumerate(rows):
+        for b, (m, j, y) in enumerate(rows):
+            if a != b and k == m and None not in (k, i, j, x, y) and i != j and None not in x + y:
+                d2 = sum((u - v) ** 2 for u, v in zip(x, y))
+                if math.exp(-d2) >= 0.2:
+                    key = (k, i, j, round(math.exp(-d2), 6))
+                    want[key] = want.get(key, 0) + 1
+    for block_rows in (4, 1000):
+        g = kernel.rbf_graph(pts, SIG, 0.2, ["k"], block_rows=block_rows, dims=3, digits=6)
+        got = {}
+        for r in g.collect():
+            got[tuple(r)] = got.get(tuple(r), 0) + 1
+        assert got == want
+    plan = g._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "node" not in "".join(
+        ln.split("[")[1] for ln in plan.splitlines() if "HashJoin" in ln or "SortMergeJoin" in ln)
