@@ -54,6 +54,11 @@ def _edges(spark, sf):
     return tables.trade_edges(spark, sf)
 
 
+def _kept_edges(spark, sf):
+    """All order years, read and joined once for queries that use the graph several times."""
+    return _edges(spark, sf).checkpoint(eager=True)
+
+
 def _pair_edges(spark, sf):
     """The two years that are compared."""
     return tables.trade_edges(spark, sf, YEARS)
@@ -87,7 +92,7 @@ def q_inv_degree(spark, sf):
 
 
 def q_graph_profile(spark, sf):
-    p = linalg.profile(_edges(spark, sf))
+    p = linalg.profile(_kept_edges(spark, sf))
     return p.select("snapshot", "n_entries", "n_nodes", "min_node", "max_node",
                     _r("total_w"), _r("min_w"), _r("max_w"))
 
@@ -123,7 +128,7 @@ def q_tiles_roundtrip(spark, sf):
 
 def q_whole_tile(spark, sf):
     """Every snapshot as one dense tile, written, read and turned back into edges."""
-    e = _edges(spark, sf)
+    e = _kept_edges(spark, sf)
     n = e.agg(F.max("src")).first()[0] + 1
     path = _stored(spark, snapshots.to_tiles(e, n), lambda t, p: t.write.parquet(p))
     return snapshots.read_tiles(spark.read.parquet(path)).select("snapshot", "src", "dst", _r("w"))
@@ -138,7 +143,7 @@ def q_stored_edge_list(spark, sf):
 def q_stored_tiles(spark, sf):
     """The graph stored by tiles; the diagonal ones are written once more with twice the
     weight; then a manifest of the tiles on and under the diagonal is read."""
-    e = _edges(spark, sf).checkpoint(eager=True)
+    e = _kept_edges(spark, sf)
     path = _stored(spark, e, lambda t, p: snapshots.write_tiles(t, p, TILE))
     tile = [F.floor(F.col(c) / TILE).cast("bigint") for c in ("src", "dst")]
     twice = e.filter(tile[0] == tile[1]).withColumn("w", F.col("w") * 2)
@@ -176,13 +181,13 @@ def q_edge_order(spark, sf):
 
 
 def q_matvec(spark, sf):
-    e = _edges(spark, sf)
+    e = _kept_edges(spark, sf)
     x = linalg.inv_degree(e, power=-0.5).select("snapshot", "node", F.col("inv").alias("x"))
     return linalg.matvec(e, x).select("snapshot", "node", _r("x"))
 
 
 def q_matmul(spark, sf):
-    e = _edges(spark, sf)
+    e = _kept_edges(spark, sf)
     return linalg.matmul(e, e).select("snapshot", "src", "dst", _r("w"))
 
 
@@ -195,17 +200,17 @@ def q_mat_subtract(spark, sf):
 
 def q_chain_product(spark, sf):
     from ..operators.chain import chain_product
-    return chain_product(_edges(spark, sf), 3).select("snapshot", "src", "dst", _r("w"))
+    return chain_product(_kept_edges(spark, sf), 3).select("snapshot", "src", "dst", _r("w"))
 
 
 def q_laplacian(spark, sf):
-    return linalg.laplacian(_edges(spark, sf)).select("snapshot", "src", "dst", _r("w"))
+    return linalg.laplacian(_kept_edges(spark, sf)).select("snapshot", "src", "dst", _r("w"))
 
 
 # ---------------------------------------------------------------- walk / distances
 
 def q_incidence_project(spark, sf):
-    e = _edges(spark, sf)
+    e = _kept_edges(spark, sf)
     n = e.groupBy("snapshot").agg(F.countDistinct("src").alias("n")).agg(F.max("n")).first()[0]
     k = sketch_width(n)
     b = incidence_sketch(linalg.half_edges(e), k)
@@ -213,8 +218,9 @@ def q_incidence_project(spark, sf):
 
 
 def q_walk_series(spark, sf):
-    z = solve_columns(_edges(spark, sf), mode="exact")
-    n_slots = linalg.half_edges(_edges(spark, sf)).groupBy("snapshot").count() \
+    e = _kept_edges(spark, sf)
+    z = solve_columns(e, mode="exact")
+    n_slots = linalg.half_edges(e).groupBy("snapshot").count() \
         .agg(F.max("count")).first()[0]
     return to_long(z, n_slots=n_slots).select("snapshot", "slot", "node", _r("x"))
 

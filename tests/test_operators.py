@@ -12,7 +12,7 @@ from graphdelta.operators import kernel, linalg, perturb, score
 from graphdelta.operators.ordered import dense_index, running_sum
 from graphdelta.operators.walk import incidence_exact, walk_series, xcols
 from graphdelta.sources import snapshots
-from conftest import edges_df
+from conftest import G1, G2, edges_df
 
 SIG = 1 / math.sqrt(2)
 
@@ -415,3 +415,19 @@ def test_rbf_blocks_compare_every_pair_once(spark):
     plan = g._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "node" not in "".join(
         ln.split("[")[1] for ln in plan.splitlines() if "HashJoin" in ln or "SortMergeJoin" in ln)
+
+
+def test_walk_series_reads_its_graph_once(spark, monkeypatch):
+    from graphdelta.plans import queries as Q
+    edges, read = edges_df(spark, {1997: G1, 1998: G2}), spark.sparkContext.accumulator(0)
+    n = edges.count()
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+    monkeypatch.setattr(Q, "_edges", lambda spark, sf: edges.mapInArrow(seen, edges.schema))
+    for query in (Q.q_walk_series, Q.q_incidence_project, Q.q_matmul):
+        before = read.value
+        query(spark, "").collect()
+        assert read.value - before == n
