@@ -431,3 +431,21 @@ def test_walk_series_reads_its_graph_once(spark, monkeypatch):
         before = read.value
         query(spark, "").collect()
         assert read.value - before == n
+
+
+@pytest.mark.parametrize("k", [10, 70])
+def test_sketch_signs_are_digest_digits(spark, k):
+    """Chunks that do and do not divide a digest, whose digits are cut out once a chunk."""
+    import hashlib
+    from graphdelta.operators.walk import incidence_sketch, vector_width
+    half = spark.createDataFrame([(1, 7, 3, 2.0), (1, 9, 8, 0.5)], "snapshot int, i bigint, j bigint, w double")
+    b = incidence_sketch(half, k, seed=4)
+    width = vector_width(b)
+    got = {(r.node, r.chunk * width + u): r[f"x{u}"] for r in b.collect() for u in range(width)}
+    for i, j, w in ((7, 3, 2.0), (9, 8, 0.5)):
+        digits = "".join(hashlib.md5(f"4|{i}|{j}|{n}".encode()).hexdigest() for n in range(-(-k // 32)))
+        for t in range(k):
+            x = w / math.sqrt(k) * (1 if digits[t] < "8" else -1)
+            assert got[i, t] == pytest.approx(x) and got[j, t] == pytest.approx(-x)
+    plan = b._jdf.queryExecution().optimizedPlan().toString()
+    assert max(ln.count("substring(_digits") for ln in plan.splitlines()) == 1
