@@ -1,20 +1,19 @@
 """Line deduplication by an exact set-similarity join, in DataFrame operations.
 
 A line is the set of its distinct word shingles.  Equal lines are one class, and
-only classes are joined.  The shingles of a line are ordered by rarity; of two
-lines that overlap enough, the first few of each order have one in common, so the
-join is on these prefixes, with length, positional and bitmap filters, and what
-passes is verified.  A line goes if an earlier one matches it.
-
-Rarity is known by frequency class: shingles are counted in 65,536 buckets over
-the whole table, which is as fine as a bounded literal allows, and a shingle takes
-the class of its bucket; ties go by hash.  Any order common to all lines keeps
-the join exact; this one puts the frequent shingles last.
+only classes are joined.  The shingles of a line have an order; of two lines that
+overlap enough, the first few of each order have one in common, so the join is on
+these prefixes, with length, positional and bitmap filters, and what passes is
+verified.  A line goes if an earlier one matches it.
+
+Any order common to all lines keeps the join exact.  The first prefixes are by hash.
+Pairs that share a shingle of few prefixes are made at once, and the prefixes say how
+much the two can have in common.  Lines with a shingle of many prefixes are joined
+among themselves: by second prefixes, in which what is frequent there comes last.
+Texts are read again only for lines that are left in either.
 """
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +22,8 @@ from graphdelta.llm.repeats import keyed
 
 WORDS = 5
 PERCENT = 80
-BUCKET_BITS = 16
+COMMON = 256  # shingles in more prefixes or lines than this are frequent
+COMMON_LIST = 1 << 14  # of them the most frequent ones come last in the order
 BITMAPS = 4  # of 64 bits each
 
 # what tells lines apart and orders them
@@ -42,79 +42,133 @@ def lines_of(rows: DataFrame) -> DataFrame:
 
 
 def shingles(content: Column, words: int) -> Column:
-    """64-bit hashes of a line's shingles; a shorter line is one shingle."""
+    """64-bit hashes of a line's shingles; a shorter line is one shingle: words beyond
+    the line's end are null, which the hash passes over."""
     def of(w: Column) -> Column:
-        return F.transform(places(w, words), lambda i: shingle_at(w, i, words))
+        places = F.sequence(F.lit(0), F.greatest(F.size(w) - words, F.lit(0)))
+        return F.transform(places, lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(words))))
     return bound(F.split(content, " "), of)
 
 
-def places(w: Column, words: int) -> Column:
-    """Where a line's shingles begin."""
-    return F.sequence(F.lit(0), F.greatest(F.size(w) - words, F.lit(0)))
-
-
-def shingle_at(w: Column, i: Column, words: int) -> Column:
-    """Words beyond the line's end are null, which the hash passes over."""
-    return F.xxhash64(*(F.get(w, i + k) for k in range(words)))
-
-
-def frequency_classes(lines: DataFrame, words: int) -> Column:
-    """Literal array: the frequency class (0 to 255) of every bucket, from counts
-    over all lines.  What reaches the driver is one count for each bucket."""
-    w = F.split("content", " ")
-    # the same hash as in shingles(), but over rows, which Spark compiles
-    hashed = lines.select(w.alias("w")).select("w", F.explode(places(F.col("w"), words)).alias("i")).select(
-        shingle_at(F.col("w"), F.col("i"), words).alias("hash"))
-    counts = (hashed.select(F.shiftrightunsigned("hash", 64 - BUCKET_BITS).alias("bucket"))
-              .groupBy("bucket").count().collect())
-    classes = [0] * (1 << BUCKET_BITS)
-    for r in counts:
-        classes[r["bucket"]] = min(255, int(8 * math.log2(r["count"])))
-    return F.expr(f"cast(split('{','.join(map(str, classes))}', ',') as array<int>)")
+def tokens_of(content: Column, words: int) -> Column:
+    """Distinct shingles in the order of their hashes."""
+    return F.sort_array(F.array_distinct(shingles(content, words)))
 
 
-def by_rarity(hashes: Column, classes: Column) -> Column:
-    """Distinct shingles, the rarest first; each is its class and 52 bits of hash."""
-    def ranked(h: Column) -> Column:
-        bucket = F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")
-        return (F.shiftleft(F.element_at(classes, bucket + 1).cast("long"), 52)
-                .bitwiseOR(h.bitwiseAND(F.lit((1 << 52) - 1))))
-    return F.sort_array(F.array_distinct(F.transform(hashes, ranked)))
+def prefix_size(percent: int) -> Column:
+    return F.expr(f"n - cast(({percent} * n + 99) div 100 as int) + 1")
 
 
-def classes_of(lines: DataFrame, words: int, percent: int, rarity: Column) -> DataFrame:
+def classes_of(lines: DataFrame, words: int, percent: int) -> DataFrame:
     """One row for each distinct line: both hashes, its first place, how often it
     occurs, its number of shingles and its prefix."""
     hashed = lines.select(
         *PLACE, F.xxhash64("content").alias("h1"), F.xxhash64(F.lit(1), "content").alias("h2"),
-        by_rarity(shingles(F.col("content"), words), rarity).alias("tokens"))
+        tokens_of(F.col("content"), words).alias("tokens"))
     shown = hashed.select(*PLACE, "h1", "h2", F.size("tokens").alias("n"), "tokens").select(
         F.struct(*PLACE).alias("place"), "h1", "h2", "n",
-        F.slice("tokens", F.lit(1), F.expr(f"n - cast(({percent} * n + 99) div 100 as int) + 1")).alias("prefix"))
+        F.slice("tokens", F.lit(1), prefix_size(percent)).alias("prefix"))
     return shown.groupBy("h1", "h2").agg(
         F.min("place").alias("place"), F.count(F.lit(1)).alias("copies"),
         F.first("n").alias("n"), F.first("prefix").alias("prefix"))
 
 
-def bitmap(tokens: Column, k: int) -> Column:
-    """64 bits, one for each shingle whose hash falls into the k-th map."""
-    mine = F.filter(tokens, lambda t: F.shiftrightunsigned(t, 6).bitwiseAND(F.lit(BITMAPS - 1)) == k)
-    return F.aggregate(mine, F.lit(0).cast("long"),
-                       lambda b, t: b.bitwiseOR(F.call_function(
-                           "shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
+def dealt(postings: DataFrame, line: str) -> DataFrame:
+    """(token, line, room): length and what is left of it from the token on, in one
+    number."""
+    n = F.col("n")
+    return postings.select("token", line, F.shiftleft(n.cast("long"), 32).bitwiseOR(
+        (n - F.col("pos")).cast("long")).alias("room"))
+
+
+def length(room: str) -> Column:
+    return F.shiftright(room, 32)
+
+
+def left(room: str) -> Column:
+    return F.col(room).bitwiseAND(F.lit((1 << 32) - 1))
 
 
-def contents_of(rows: DataFrame, places: DataFrame, words: int, rarity: Column) -> DataFrame:
-    """(place, n, tokens, map0..) of the lines at these places."""
-    wanted = places.select("place.*").groupBy("doc", "th").agg(F.collect_set("line").alias("wanted"))
-    lines = (rows.join(wanted, ["doc", "th"])
-             .select("doc", "th", "wanted", F.posexplode(F.split("text", "\n")).alias("line", "content"))
+def may_share(x: str, y: str, percent: int) -> Column:
+    """Length and positional filter on two rooms of a token."""
+    n, m = length(x), length(y)
+    return ((100 * F.least(n, m) >= percent * F.greatest(n, m))
+            & (F.least(left(x), left(y)) >= least_overlap(n, m, percent)))
+
+
+def shared_tokens(rooms: DataFrame, line: str, percent: int) -> DataFrame:
+    """(token, c) of the tokens in two lines or more.  Where there are just two,
+    they pass the length and positional filters."""
+    counts = rooms.groupBy("token").agg(
+        F.count(F.lit(1)).alias("c"), F.min("room").alias("lo"), F.max("room").alias("hi"),
+        F.min(line).alias("one"), F.max(line).alias("other"))
+    return (counts.where((F.col("c") > 1) & (F.col("one") != F.col("other"))
+                         & ((F.col("c") > 2) | may_share("lo", "hi", percent))).select("token", "c"))
+
+
+def close_pairs(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(x, y): hashes of lines that share a token which is not frequent and whose
+    prefixes have as much in common as a match needs."""
+    few = shared.where(F.col("c") <= COMMON)
+    x, y = (few.select("token", F.col("h1").alias(end), F.col("room").alias(f"room_{end}")) for end in "xy")
+    pairs = (x.join(y, "token").where(F.col("x") < F.col("y")).where(may_share("room_x", "room_y", percent))
+             .select("x", "y").distinct())
+
+    def side(end: str) -> DataFrame:
+        return classes.select(F.col("h1").alias(end), F.col("n").alias(f"n_{end}"),
+                              F.col("prefix").alias(f"prefix_{end}"))
+    both = side("x").join(pairs.hint("shuffle_hash"), "x")
+    both = side("y").join(both.hint("shuffle_hash"), "y")
+    # beyond the prefix that ends first, all the rest of its line may be in common
+    rest = {end: F.col(f"n_{end}") - F.size(f"prefix_{end}") for end in "xy"}
+    ends = {end: F.element_at(f"prefix_{end}", -1) for end in "xy"}
+    most = (F.size(F.array_intersect("prefix_x", "prefix_y"))
+            + F.when(ends["x"] < ends["y"], rest["x"]).when(ends["x"] > ends["y"], rest["y"])
+            .otherwise(F.least(rest["x"], rest["y"])))
+    return both.where(most >= least_overlap(F.col("n_x"), F.col("n_y"), percent)).select("x", "y").distinct()
+
+
+def contents_of(rows: DataFrame, places: DataFrame, words: int) -> DataFrame:
+    """(place, n, tokens, hot) of the lines at these (place, hot)."""
+    wanted = places.select("place.*", "hot").groupBy("doc", "th").agg(
+        F.collect_set("line").alias("wanted"), F.collect_set(F.when(F.col("hot"), F.col("line"))).alias("hots"))
+    # equal rows are one document
+    lines = (rows.select("doc", "th", "text").join(wanted, ["doc", "th"]).dropDuplicates(["doc", "th"])
+             .select("doc", "th", "wanted", "hots", F.posexplode(F.split("text", "\n")).alias("line", "content"))
              .where(F.array_contains("wanted", F.col("line"))))
-    tokens = lines.dropDuplicates(list(PLACE)).select(
-        F.struct(*PLACE).alias("place"),
-        by_rarity(shingles(F.col("content"), words), rarity).alias("tokens"))
-    return tokens.select("place", F.size("tokens").alias("n"), "tokens",
-                         *(bitmap(F.col("tokens"), k).alias(f"map{k}") for k in range(BITMAPS)))
+    tokens = lines.select(F.struct(*PLACE).alias("place"), tokens_of(F.col("content"), words).alias("tokens"),
+                          F.array_contains("hots", F.col("line")).alias("hot"))
+    return tokens.select("place", F.size("tokens").alias("n"), "tokens", "hot")
+
+
+def bitmaps_of(contents: DataFrame) -> DataFrame:
+    """(place, map0..): 64 bits each, one for each shingle whose hash falls into the
+    k-th map."""
+    t = F.col("token")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+    mine = F.shiftrightunsigned(t, 6).bitwiseAND(F.lit(BITMAPS - 1))
+    maps = [f"map{k}" for k in range(BITMAPS)]
+    return (contents.select("place.*", F.explode("tokens").alias("token")).groupBy(*PLACE)
+            .agg(*(F.bit_or(F.when(mine == k, bit).otherwise(F.lit(0).cast("long"))).alias(m)
+                   for k, m in enumerate(maps)))
+            .select(F.struct(*PLACE).alias("place"), *maps))
+
+
+def common_tokens(contents: DataFrame) -> list[int]:
+    """The shingles in more than ``COMMON`` of these lines, a bounded list."""
+    often = (contents.select(F.explode("tokens").alias("token"))
+             .groupBy("token").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") > COMMON))
+    return [r["token"] for r in often.orderBy(F.desc("often"), "token").limit(COMMON_LIST).collect()]
+
+
+def rare_first(contents: DataFrame, common: list[int], percent: int) -> DataFrame:
+    """(place, n, pos, token): prefixes by hash, with the common ones last."""
+    tokens = F.col("tokens")
+    if common:
+        tokens = F.concat(F.filter(tokens, lambda t: ~t.isin(common)), F.filter(tokens, lambda t: t.isin(common)))
+    first = contents.select("place", "n", tokens.alias("tokens"))
+    return first.select("place", "n", F.posexplode(
+        F.slice("tokens", F.lit(1), prefix_size(percent))).alias("pos", "token"))
 
 
 def least_overlap(n: Column, m: Column, percent: int) -> Column:
@@ -149,42 +203,63 @@ def verified(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
             .select("later", "earlier"))
 
 
-def matched_places(rows: DataFrame, classes: DataFrame, words: int, percent: int,
-                   rarity: Column) -> DataFrame:
+def matched_places(rows: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """(place) of the classes that an earlier, different class matches."""
     spark = rows.sparkSession
-    postings = classes.select("h1", "n", F.posexplode("prefix").alias("pos", "token"))
-    several = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    shared = materialise(postings.join(several, "token").select("token", "h1", "pos"))
+    # one exchange for the counts and the join
+    rooms = dealt(classes.select("h1", "n", F.posexplode("prefix").alias("pos", "token")),
+                  "h1").repartition("token")
+    shared = materialise(rooms.join(shared_tokens(rooms, "h1", percent).hint("shuffle_hash"), "token"))
     release(spark)
-    # postings know a class by one hash; two classes of equal hash are both taken
-    places = materialise(classes.join(shared.select("h1").distinct(), "h1")
-                         .select("h1", "place", "copies"))
-    contents = materialise(contents_of(rows, places, words, rarity))
+    pairs = materialise(close_pairs(shared, classes, percent))
+    able = (pairs.select(F.explode(F.array("x", "y")).alias("h1"), F.lit(False).alias("hot"))
+            .union(shared.where(F.col("c") > COMMON).select("h1", F.lit(True).alias("hot")))
+            .groupBy("h1").agg(F.max("hot").alias("hot")))
+    # two classes of equal hash are both taken
+    places = materialise(classes.select("h1", "place", "copies").join(able.hint("shuffle_hash"), "h1"))
+    contents = materialise(contents_of(rows, places, words))
     release(spark)
+    x, y = (places.select(F.col("h1").alias(end), F.col("place").alias(f"place_{end}")) for end in "xy")
+    close = (pairs.join(x, "x").join(y, "y").where(F.col("place_x") != F.col("place_y"))
+             .select(F.greatest("place_x", "place_y").alias("later"),
+                     F.least("place_x", "place_y").alias("earlier")))
+    matched = materialise(verified(close, contents, percent).select("later").distinct())
+    hot = contents.where("hot").drop("hot")
+    if not hot.isEmpty():
+        matched = matched.union(matched_among(hot, places, matched, percent)).distinct()
+    return matched.withColumnRenamed("later", "place")
+
+
+def matched_among(contents: DataFrame, places: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(later) of these lines that an earlier one of them matches; those known to
+    match any line may be missing."""
+    postings = materialise(rare_first(contents, common_tokens(contents), percent))
     maps = [f"map{k}" for k in range(BITMAPS)]
-    at = materialise(shared.join(places, "h1").join(contents.select("place", "n", *maps), "place")
+    lines = places.where("hot").select("place", "copies").join(bitmaps_of(contents), "place")
+    several = shared_tokens(dealt(postings, "place"), "place", percent).select("token")
+    at = materialise(postings.join(several, "token").join(lines, "place")
                      .select("token", "place", "copies", "n", "pos", *maps))
+    release(contents.sparkSession)
     one = F.struct("place", "n", "pos", *maps)
     # most lines that match any match the first of their shingle or the most copied
     likely = at.groupBy("token").agg(F.min_by(one, "place").alias("first"),
                                      F.max_by(one, F.struct("copies", "place")).alias("hub"))
+    open_ = at.join(known, F.col("place") == F.col("later"), "left_anti")
     tried = None
     for end in ("first", "hub"):
         y = likely.select("token", F.col(f"{end}.*")).alias("y")
-        pairs = (at.alias("x").join(y, F.col("x.token") == F.col("y.token"))
+        pairs = (open_.alias("x").join(y, F.col("x.token") == F.col("y.token"))
                  .where(F.col("y.place") < F.col("x.place")).where(may_match("x", "y", percent))
                  .select(F.col("x.place").alias("later"), F.col("y.place").alias("earlier")))
         tried = pairs if tried is None else tried.union(pairs)
     tried = materialise(tried.distinct())
     matched = materialise(verified(tried, contents, percent).select("later").distinct())
-    open_ = at.join(matched, F.col("place") == F.col("later"), "left_anti")
+    open_ = open_.join(matched, F.col("place") == F.col("later"), "left_anti")
     rest = (open_.alias("x").join(at.alias("y"), F.col("x.token") == F.col("y.token"))
             .where(F.col("y.place") < F.col("x.place")).where(may_match("x", "y", percent))
             .select(F.col("x.place").alias("later"), F.col("y.place").alias("earlier")).distinct()
             .join(tried, ["later", "earlier"], "left_anti"))
-    return matched.union(verified(rest, contents, percent).select("later")).distinct().select(
-        F.col("later").alias("place"))
+    return matched.union(verified(rest, contents, percent).select("later"))
 
 
 def repeated_lines(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
@@ -201,17 +276,17 @@ def repeated_lines(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     """
     rows = keyed(docs, id_col, text_col)
     lines = lines_of(rows)
-    rarity = frequency_classes(lines, words)
-    classes = materialise(classes_of(lines, words, percent, rarity))
+    classes = materialise(classes_of(lines, words, percent))
     release(rows.sparkSession)
-    matched = materialise(matched_places(rows, classes, words, percent, rarity))
+    matched = materialise(matched_places(rows, classes, words, percent))
     repeated = (classes.join(matched.withColumn("again", F.lit(True)), "place", "left")
                 .where("copies > 1 or again").select("h1", "h2", "place", "again"))
     gone = (lines.select(F.struct(*PLACE).alias("at"), F.xxhash64("content").alias("h1"),
                          F.xxhash64(F.lit(1), "content").alias("h2"))
-            .join(repeated, ["h1", "h2"]).where("again or at <> place").select("at.*"))
+            .join(repeated.hint("shuffle_hash"), ["h1", "h2"]).where("again or at <> place").select("at.*"))
     removed = gone.groupBy("doc", "th").agg(F.sort_array(F.collect_set("line")).alias("removed"))
-    return (rows.select("doc_id", "doc", "th", F.size(F.split("text", "\n")).alias("n_lines"))
+    feeds = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    return (rows.select("doc_id", "doc", "th", (feeds + 1).alias("n_lines"))
             .join(removed, ["doc", "th"], "left")
             .select("doc_id", "doc", "th", "n_lines",
                     F.coalesce("removed", F.array().cast("array<int>")).alias("removed")))

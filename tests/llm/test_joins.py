@@ -438,6 +438,37 @@ def test_line_dedup_with_repeated_rows(docs, corpus):
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in corpus)
 
 
+@pytest.mark.parametrize("common", [2, 8, 1000])
+def test_line_dedup_with_frequent_shingles(spark, monkeypatch, common):
+    """Lines that share a passage, some of them near copies of each other, where what
+    is frequent makes no pairs, and where it does."""
+    monkeypatch.setattr(line_dedup, "COMMON", common)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, "\n".join(f"{' '.join(f'u{i}x{j}x{k}' for k in range(20))} {passage}" for j in range(3)))
+            for i in range(12)]
+    rows += [(20 + i, f"{passage} " + " ".join(f"v{k if k != i else 90 + i}" for k in range(40))) for i in range(9)]
+    rows += [(40 + i, f"{passage} e{i}") for i in range(5)] + [(50, "e1"), (51, None)]
+    want = brute_lines(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.repeated_lines(frame).collect()}
+    assert sum(map(len, want.values())) > 10
+    assert {i: got[i].removed for i, _ in rows} == {(i): want.get((i, t), []) for i, t in rows}
+    assert {i: got[i].n_lines for i, _ in rows} == {i: len((t or "").split("\n")) for i, t in rows}
+
+
+def test_line_dedup_pairs_need_common_prefixes(spark):
+    """One shared shingle makes no pair where the prefixes show too little in common."""
+    a, b = ([f"{x}{i}" for i in range(60)] for x in "ab")
+    texts = [a, [*a[:12], *b[12:]], [*a[:59], "z"]]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    classes = line_dedup.classes_of(line_dedup.lines_of(line_dedup.keyed(frame)), 5, 80)
+    rooms = line_dedup.dealt(classes.select("h1", "n", F.posexplode("prefix").alias("pos", "token")), "h1")
+    shared = rooms.join(line_dedup.shared_tokens(rooms, "h1", 80), "token")
+    doc = {r.h1: r.place.doc for r in classes.collect()}
+    pairs = line_dedup.close_pairs(shared, classes, 80).collect()
+    assert [sorted((doc[r.x], doc[r.y])) for r in pairs] == [[0, 2]]
+
+
 # empty tables
 
 def test_empty_tables(spark, no_docs):
