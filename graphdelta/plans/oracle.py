@@ -413,7 +413,6 @@ FROM (SELECT year(o_orderdate) AS y, month(o_orderdate) AS m FROM orders) GROUP
     ag = rbf_ctes("apts", K, SIG, "agraph")
     out["rbf_graph_grid"] = with_sql(at + [apts] + ag,
                                      f"SELECT snapshot, src, dst, {rnd('w', 'w')} FROM agraph")
-    ag = rbf_ctes("apts", K, SIG, "agraph", Q.DETECT_MIN_WEIGHT)
     out["detect_activity"] = with_sql(
         activity_tiles_ctes(Q.WEEKS) + [apts] + ag + detect_ctes("agraph", Q.WEEKS[0], Q.WEEKS[1], [], "sketch", "det"),
         flag_select("det"))

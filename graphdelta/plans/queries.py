@@ -39,7 +39,6 @@ EVAL_THRESHOLD = 0.3          # flags some of the nodes under either seed
 SWEEP_THRESHOLD = 0.06        # flags some of the nodes at the truth, not all
 LEARNING_RATES, STARTS, ITERATIONS = (0.5, 20.0), (0.25, 1.0), 20
 GRID_SPACING = 7              # a tile is a week of seven users
-DETECT_MIN_WEIGHT = 0.1
 WEEKS = (2817, 2818)          # weeks since Monday, 5 January 1970
 ROUND = 9
 
@@ -345,8 +344,8 @@ def q_rbf_graph_grid(spark, sf):
 
 
 def q_detect_activity(spark, sf):
-    """Two weeks; weights under a tenth are cut, which keeps the graphs sparse."""
-    g = kernel.grid_graph(_activity_tiles(spark, sf, WEEKS), SIGMA, DETECT_MIN_WEIGHT, keys=["snapshot"])
+    """Two weeks, every pair of tiles with a weight."""
+    g = kernel.grid_graph(_activity_tiles(spark, sf, WEEKS), SIGMA, keys=["snapshot"])
     flagged, _ = score.detect(g, WEEKS[0], WEEKS[1])
     return _flag_out(flagged)
 
